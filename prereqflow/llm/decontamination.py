@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import SPACE_CLASS, durable, table
 
 K, PERCENT = 5, 80
 BLOCKS, WIDTH, ERRORS = 8, 8, 2
@@ -23,12 +23,20 @@ RADIUS = BLOCKS * (ERRORS + 1) - 1
 BROADCAST_ROWS = 1_000_000
 
 
-def with_shingles(df: DataFrame, text: str, k: int, to: str) -> DataFrame:
-    """The words are a column of their own first, so that they are split once a row."""
-    tidy = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-    df = df.withColumn("_w", F.split(tidy, " "))
-    n = F.size("_w") - (k - 1)
-    return df.withColumn(to, F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("_w", i, k))))).drop("_w")
+def _words(text: str) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), SPACE_CLASS, " ")), " ")
+
+
+def _shingle(words: str, i: Column, k: int) -> Column:
+    return F.xxhash64(F.slice(words, i, k))
+
+
+def positions(df: DataFrame, text: str, k: int) -> DataFrame:
+    """A row for each k-word shingle: the other columns, _m shingles in all, _p its place from 0, _x its hash."""
+    rest = [c for c in df.columns if c != text]
+    m = F.size("_w") - (k - 1)
+    each = df.select(*rest, _words(text).alias("_w")).select("*", F.explode(F.sequence(F.lit(1), F.greatest(m, F.lit(1)))).alias("_i"))
+    return each.select(*rest, m.alias("_m"), (F.col("_i") - 1).alias("_p"), _shingle("_w", F.col("_i"), k).alias("_x")).where("_p < _m")
 
 
 def _fingerprint(column: str) -> Column:
@@ -55,12 +63,13 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, percent: int = P
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where("doc_id IS NOT NULL")
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_text")).where("item_id IS NOT NULL")
-    items = with_shingles(items, "_text", k, "_ih").where("_ih IS NOT NULL").select("item_id", "_ih", F.size("_ih").alias("_n")).dropDuplicates(["item_id"])
-    items = durable(items.withColumn("_if", _fingerprint("_ih")))
+    items = positions(items.dropDuplicates(["item_id"]), "_text", k).groupBy("item_id").agg(F.array_sort(F.collect_list("_x")).alias("_ih"))
+    items = durable(items.select("item_id", "_ih", F.size("_ih").alias("_n")))
+    items = items.withColumn("_if", _fingerprint("_ih"))
     n_items = items.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
 
     known = items.select("item_id", "_n", F.explode(F.array_distinct("_ih")).alias("_x"))
-    at = with_shingles(docs, "_text", k, "_h").where("_h IS NOT NULL").select("doc_id", F.size("_h").alias("_m"), F.posexplode("_h").alias("_p", "_x"))
+    at = positions(docs, "_text", k)
     hits = _joined(at, known, ["_x"], n_items).groupBy("doc_id", "_m", "item_id", "_n").agg(F.array_sort(F.collect_set("_p")).alias("_p"))
     hits = hits.withColumn("_l", F.least("_n", "_m"))
     hits = hits.withColumn("_need", F.ceil(F.lit(percent) * (F.col("_n") + F.col("_l")) / F.lit(100 + percent)).cast("int")).where(F.size("_p") >= F.col("_need"))
@@ -70,9 +79,10 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, percent: int = P
     n_windows = windows.count()
 
     # whole texts again, but only those of documents with a window
-    hashed = with_shingles(_joined(docs, windows, ["doc_id"], n_windows), "_text", k, "_h")
-    hashed = hashed.where("_h IS NOT NULL AND size(_h) >= _s + _l").select("doc_id", "item_id", "_s", F.slice("_h", F.col("_s") + 1, F.col("_l")).alias("_wh"))
-    prints = hashed.withColumn("_wf", _fingerprint("_wh"))
+    split = _joined(docs, windows, ["doc_id"], n_windows).select("doc_id", "item_id", "_s", "_l", F.explode(F.array(_words("_text"))).alias("_w"))
+    hashed = split.select("doc_id", "item_id", "_s", F.transform(F.sequence(F.col("_s") + 1, F.col("_s") + F.col("_l")), lambda i: _shingle("_w", i, k)).alias("_wh"))
+    # written out, or each of a fingerprint's 64 bits would be taken from the text anew
+    prints = durable(hashed).withColumn("_wf", _fingerprint("_wh"))
     block = lambda f: f"shiftrightunsigned({f}, _k * {WIDTH}) & {(1 << WIDTH) - 1}L"
     errors = [sum(1 << b for b in bits) for bits in _subsets(WIDTH, ERRORS)]
     index = items.select("item_id", "_ih", "_if", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_k"))
