@@ -29,13 +29,13 @@ def _spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return words(np.frombuffer(text, np.uint8))[:2]
 
 
-def encode(texts, ids, doc, anchor, first, last, h, window: int = WINDOW) -> tuple[bytes, np.ndarray]:
+def encode(ready, ids, doc, anchor, first, last, h, window: int = WINDOW) -> tuple[bytes, np.ndarray]:
     """The passages without copies, words joined by a space, one passage a line; and which are copies of an earlier one.
 
     Rows come by hash, then in document order, so the first of equal passages is the first copy."""
     seen: set[tuple] = set()
     keep, same, lines = [], [], []
-    edges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    texts, edges = ready  # the edges of a text's words, once they are needed
     for i, (d, a, f, e, x) in enumerate(zip(doc.tolist(), anchor.tolist(), first.tolist(), last.tolist(), h.tolist(), strict=True)):
         if d not in edges:
             edges[d] = _spans(texts[d])
@@ -138,6 +138,7 @@ def phrase_dedup(df: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
     method = Method(
         window, k,
         values=lambda t: words(np.frombuffer(t, np.uint8))[2],
+        prepare=lambda texts: (texts, {}),
         encode=lambda *a: encode(*a, window),
         find=lambda blobs: find(blobs, window),
         finish=finish if kept else lambda *a: finish(*a)[:3],

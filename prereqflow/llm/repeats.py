@@ -36,13 +36,14 @@ FLAGS, SEGMENTS, SPANS = range(3)
 
 @dataclass(frozen=True)
 class Method:
-    """window, k: symbols of a window and of an anchor's hash. values: hashes of a text's symbols. encode: segments
-    (document, doc id, anchor, first, last) of texts to bytes. find: bytes of every chunk to spans (document, start, end) of each.
+    """window, k: symbols of a window and of an anchor's hash. values: hashes of a text's symbols. prepare: what encode
+    needs of a chunk's texts. encode: that, ids, and segments (document, anchor, first, last, hash) to bytes. find: bytes of every chunk to spans (document, start, end) of each.
     finish: a text and its spans to the result's columns."""
 
     window: int
     k: int
     values: Callable
+    prepare: Callable
     encode: Callable
     find: Callable
     finish: Callable
@@ -127,12 +128,12 @@ def remove_repeats(df: DataFrame, method: Method, id_col: str = "doc_id", text_c
             again[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
         keep = np.flatnonzero(again)
         keep = keep[np.lexsort((anchor[keep], doc[keep], h[keep], own[keep]))]  # by bucket, hash, then the document order
-        rows, copies, at = [], [], 0
+        ready, rows, copies = method.prepare(texts), [], []
         cuts = np.searchsorted(own[keep], np.arange(n + 1, dtype=np.uint64))
         for b in range(n):
             mine = keep[cuts[b] : cuts[b + 1]]
             if len(mine):
-                blob, same = method.encode(texts, ids, doc[mine], anchor[mine], first[mine], last[mine], h[mine])
+                blob, same = method.encode(ready, ids, doc[mine], anchor[mine], first[mine], last[mine], h[mine])
                 rows.append((b, chunk, SEGMENTS, blob))
                 copies.append(mine[same])
         if copies and len(c := np.concatenate(copies)):

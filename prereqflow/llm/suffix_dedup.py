@@ -24,9 +24,8 @@ WINDOW, K = 100, 32
 
 
 def _rows(buf: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-    """A matrix of the width bytes from each start; zeros beyond the ends of buf."""
-    padded = np.concatenate([buf, np.zeros(width, np.uint8)])
-    return np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+    """A matrix of the width bytes from each start."""
+    return np.lib.stride_tricks.sliding_window_view(buf, width)[start]
 
 
 def common_prefixes(m: np.ndarray) -> np.ndarray:
@@ -38,16 +37,17 @@ def common_prefixes(m: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], first])
 
 
-def encode(texts, ids, doc, anchor, first, last, h, window: int = WINDOW, k: int = K) -> tuple[bytes, np.ndarray]:
+def prepare(texts: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in one array, with a gap before each, and where each begins."""
+    sizes = np.array([len(t) + reach for t in texts], np.int64)
+    return np.frombuffer(b"".join([*(bytes(reach) + t for t in texts), bytes(256)]), np.uint8), np.cumsum(sizes) - sizes + reach
+
+
+def encode(ready, ids, doc, anchor, first, last, h, window: int = WINDOW, k: int = K) -> tuple[bytes, np.ndarray]:
     """The front-coded run of these segments, without copies; and which are copies of a segment of a smaller document or start."""
+    buf, base = ready
     reach = window - k
-    used, at = np.unique(doc, return_inverse=True)
-    parts = [np.frombuffer(texts[d], np.uint8) for d in used]
-    base = np.cumsum([reach] + [len(p) + reach for p in parts])[:-1]
-    buf = np.zeros(int(base[-1] + len(parts[-1])), np.uint8)
-    for b, p in zip(base, parts, strict=True):
-        buf[b : b + len(p)] = p
-    place = base[at] + anchor
+    place = base[doc] + anchor
     after, before = last - anchor + window, anchor - first
     right = _rows(buf, place, window)
     right[np.arange(window) >= after[:, None]] = 0
@@ -65,8 +65,8 @@ def encode(texts, ids, doc, anchor, first, last, h, window: int = WINDOW, k: int
     column = np.arange(window)
     rest = m[(column >= shared[:, None]) & (column < length[:, None])]
     lefts = left[order][np.arange(reach) >= reach - before[order][:, None]]
-    own = np.array([np.iinfo(np.int64).max if ids[d] is None else ids[d] for d in used], np.int64)
-    return dump(shared.astype(np.uint8), length.astype(np.uint8), before[order].astype(np.uint8), doc[order].astype(np.int32), own[at[order]], anchor[order].astype(np.int64), rest.tobytes(), lefts.tobytes()), np.flatnonzero(same)
+    own = np.array([np.iinfo(np.int64).max if ids[d] is None else ids[d] for d in doc[order].tolist()], np.int64)
+    return dump(shared.astype(np.uint8), length.astype(np.uint8), before[order].astype(np.uint8), doc[order].astype(np.int32), own, anchor[order].astype(np.int64), rest.tobytes(), lefts.tobytes()), np.flatnonzero(same)
 
 
 def loser_tree_merge(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -220,6 +220,7 @@ def suffix_dedup(df: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
     method = Method(
         window, k,
         values=lambda t: byte_values(np.frombuffer(t, np.uint8)),
+        prepare=lambda texts: prepare(texts, window - k),
         encode=lambda *a: encode(*a, window, k),
         find=lambda blobs: find(blobs, window, k),
         finish=finish if kept else lambda *a: finish(*a)[:4],
