@@ -48,13 +48,13 @@ def entropy_spans(s: str, window: int = WINDOW) -> Iterator[tuple[int, int]]:
     counts: dict[str, int] = {}
     total, begin, end = 0.0, -1, -1  # total: sum of c * log2(c)
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        total += _CLOG[n + 1] - _CLOG[n] if n < window else 0.0
-        counts[c] = n + 1
         if i >= window:
             n = counts[old := s[i - window]]
             total += _CLOG[n - 1] - _CLOG[n]
             counts[old] = n - 1
+        n = counts.get(c, 0)
+        total += _CLOG[n + 1] - _CLOG[n]
+        counts[c] = n + 1
         if i >= window - 1 and math.log2(window) - total / window >= bound - 1e-9:
             if begin >= 0 and i - window + 1 > end:
                 yield begin, end
