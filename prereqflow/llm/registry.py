@@ -21,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op3_substring_dedup": phrase_dedup.OP3_SQL,
     "op5_benchmark_decontamination": decontamination.OP5_SQL,
     "op6_chat_formatting": chat_format.OP6_SQL,

@@ -232,3 +232,18 @@ def suffix_dedup(df: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), kept=False)
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS i, h FROM d WHERE len(h) >= 200),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(h, 2 * i + 1, 200)) ORDER BY doc_id, i) AS k FROM g),
+p AS (SELECT doc_id, i, i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 100 AS new FROM r WHERE k > 1),
+q AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM p),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM q GROUP BY doc_id, s),
+e AS (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM d),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a, b) AS z FROM e),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a, b) AS kept, count(*) - 1 AS n FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST((len(h) - len(kept)) // 2 AS BIGINT) AS n_removed, n AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t ON d.doc_id = t.doc_id
+"""
