@@ -235,9 +235,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, all columns, of which one document of each component stays; of repeated rows of it one."""
+    """The rows, all columns, of which one document of each component stays; of rows with one id and text, one.
+
+    Rows with one id and different texts are told apart by nothing, so they stay or go together. Null ids: all stay.
+    """
     gone = near_duplicates(docs, k, percent).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not _repeats(docs):
+        return left
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 OP7_SQL = r"""

@@ -64,12 +64,18 @@ def test_near_duplicates_edges(spark):
     got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in near_duplicates(df).collect())
     assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False)]
     assert near_duplicates(df.limit(0)).count() == 0
+    rows = [(r.doc_id, r.text) for r in without_near_duplicates(df.union(spark.createDataFrame([(5, None), (5, ""), (5, "")], df.schema))).collect()]
+    assert sorted(rows, key=str) == sorted([(None, "a b c d"), (1, "a b c d"), (5, None), (5, "")], key=str)
 
 
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(20)] + [(100, 102), (102, 101), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(21)}, 100: 100, 101: 100, 102: 100}
+    # stars around their smallest, their largest and a middle node, larger than any share, and a bridge
+    stars = [(1000, i) for i in range(1001, 1400)] + [(3000, i) for i in range(2500, 2900)] + [(4200, i) for i in range(4000, 4400)] + [(2600, 4300)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: 1000 if i < 2000 else 2500 for pair in stars for i in pair}
 
 
 def _contaminated(docs, items, k=5, percent=80):
