@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +57,26 @@ def find_cycle(graph: PrereqGraph) -> list[str] | None:
     return None
 
 
+#: Rows of one level that are sorted in one task; a larger level is sorted by ranges.
+ONE_TASK = 200_000
+
+
+def _in_order(rows: DataFrame, n: int) -> DataFrame:
+    """Checkpointed rows with _i, their place by key from 0. Many rows are dealt to ranges of keys, and a place is the
+    count of the ranges before (a row for each partition) plus the place inside."""
+    if n <= ONE_TASK:
+        return rows.withColumn("_i", F.row_number().over(Window.orderBy("key")) - 1)
+    ranged = durable(rows.repartitionByRange("key").withColumn("_p", F.spark_partition_id()))
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_o", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("key")) - 1
+    return ranged.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("_i", F.col("_i") + F.col("_o")).drop("_p", "_c", "_o")
+
+
 def topological_order(graph: PrereqGraph) -> DataFrame:
     """id, level, pos: first-in first-out order of nodes whose prerequisites are all placed.
 
     A round places one level: the order inside it follows the last-placed prerequisite and that edge's place. The
-    number of rounds is the depth. A cycle raises CycleDetected.
+    number of rounds is the depth. A cycle raises CycleDetected. No concept: no row.
     """
     edges = durable(graph.dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("seq").alias("eseq")))
     nodes = durable(graph.concepts.select("id", "seq"))
@@ -73,17 +90,34 @@ def topological_order(graph: PrereqGraph) -> DataFrame:
             into = edges.join(left.select(F.col("id").alias("dst")), "dst", "left_semi").join(placed.select(F.col("id").alias("src"), "pos"), "src", "left")
             best = into.groupBy(F.col("dst").alias("id")).agg(F.max(F.struct(F.col("pos").alias("seq"), F.col("eseq"))).alias("key"), F.bool_and(F.col("pos").isNotNull()).alias("ok"))
             ready = left.join(best.where("ok").drop("ok"), "id")
-        now = durable(ready.select("id", F.lit(level).alias("level"), (F.row_number().over(Window.orderBy("key")) + placed_n - 1).cast("long").alias("pos")))
-        if not (n := now.count()):
+        ready = durable(ready.select("id", "key"))
+        if not (n := ready.count()):
             raise CycleDetected(find_cycle(graph) or [])
-        placed = now if placed is None else durable(placed.union(now))
-        left = durable(left.join(now.select("id"), "id", "left_anti"))
+        now = _in_order(ready, n).select("id", F.lit(level).alias("level"), (F.col("_i") + placed_n).cast("long").alias("pos"))
+        placed = durable(now if placed is None else placed.union(now))
+        left = durable(left.join(ready.select("id"), "id", "left_anti"))
         placed_n, level = placed_n + n, level + 1
     return placed if placed is not None else nodes.select("id", F.lit(0).alias("level"), F.col("seq").alias("pos"))
 
 
 def levels(graph: PrereqGraph) -> DataFrame:
-    return topological_order(graph).select("id", "level")
+    """id, level: 0 without prerequisites, else one more than the highest level of those; nothing is sorted.
+
+    A round takes the concepts that no edge holds, and drops their edges. A cycle raises CycleDetected. No concept: no row.
+    """
+    held = durable(edges_of(graph.dependencies))
+    left = durable(graph.concepts.select("id"))
+    n, level, parts = left.count(), 0, []
+    while n:
+        ready = durable(left.join(held.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
+        if not (taken := ready.count()):
+            raise CycleDetected(find_cycle(graph) or [])
+        # written together now and then, or a deep graph would be a plan of as many tables as it has levels
+        parts = [durable(reduce(DataFrame.unionAll, [*parts, ready]))] if len(parts) >= 64 else [*parts, ready]
+        left = durable(left.join(ready, "id", "left_anti"))
+        held = durable(held.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
+        n, level = n - taken, level + 1
+    return reduce(DataFrame.unionAll, parts) if parts else left.withColumn("level", F.lit(level))
 
 
 def prerequisite_chain(graph: PrereqGraph, target: str) -> DataFrame:

@@ -79,11 +79,15 @@ def test_orders(spark):
     with pytest.raises(CycleDetected, match="Circular dependency cycle detected in graph: a -> b -> c -> a"):
         sequence.topological_order(ring)
     assert sequence.find_cycle(g) is None and not sequence.has_cycle(g)
+    with pytest.raises(CycleDetected):
+        sequence.levels(ring)
+    assert ids(sequence.levels(PrereqGraph.empty(spark))) == []
 
 
-def test_order_is_first_in_first_out(spark):
+def test_order_is_first_in_first_out(spark, monkeypatch):
     rng = random.Random(11)
-    for _ in range(3):
+    for turn in range(3):
+        monkeypatch.setattr(sequence, "ONE_TASK", 0 if turn else 100)  # levels sorted by ranges, or in one task
         names = [f"n{i}" for i in range(14)]
         pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.2]
         rng.shuffle(pairs)
@@ -98,7 +102,13 @@ def test_order_is_first_in_first_out(spark):
                     need[b] -= 1
                     if not need[b]:
                         queue.append(b)
-        assert order(make(spark, ",".join(listed), ",".join(f"{a}>{b}" for a, b in pairs))) == expected
+        g = make(spark, ",".join(listed), ",".join(f"{a}>{b}" for a, b in pairs))
+        assert order(g) == expected
+        if turn == 2:
+            depth = {}
+            for x in expected:
+                depth[x] = max([depth[a] + 1 for a, b in pairs if b == x], default=0)
+            assert {r.id: r.level for r in sequence.levels(g).collect()} == depth == {r.id: r.level for r in sequence.topological_order(g).collect()}
 
 
 def test_reachability(spark):
