@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round_exact
 from .graph import PrereqGraph
 from .sequence import topological_order
 from .traverse import ancestors, closure, edges_of
@@ -18,7 +19,7 @@ def bottlenecks(graph: PrereqGraph, top_n: int | None = 10, reach: DataFrame | N
     total = graph.concepts.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("_most"))
     out = graph.concepts.join(down, "id", "left").join(direct, "id", "left").fillna(0, ["downstream_count", "direct_dependents_count"]).crossJoin(F.broadcast(total))
     out = out.withColumn("unlocked_concept_ids", F.coalesce("unlocked_concept_ids", F.array().cast("array<string>")))
-    out = out.withColumn("impact_score", F.bround(F.col("downstream_count") / F.col("_most"), 3)).withColumn(
+    out = out.withColumn("impact_score", round_exact(F.col("downstream_count") / F.col("_most"), 3)).withColumn(
         "description", F.concat(F.lit("Mastering '"), "name", F.lit("' unlocks "), F.col("downstream_count").cast("string"), F.lit(" downstream topics ("), F.col("direct_dependents_count").cast("string"), F.lit(" immediate)."))
     )
     out = out.drop("_most").orderBy(F.desc("downstream_count"), F.desc("direct_dependents_count"), "seq")
@@ -46,4 +47,4 @@ def missing_prerequisites(graph: PrereqGraph, target: str, mastery: DataFrame, o
         F.transform(F.array_sort(F.collect_list(F.when(F.col("_k").isNull(), F.struct("pos", "concept_id")))), lambda x: x.concept_id).alias("missing"),
     )
     out = users.join(got, "user_id", "left").fillna(0, ["total", "known"]).withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
-    return out.withColumn("progress_percentage", F.when(F.col("total") == 0, 100.0).otherwise(F.bround(F.col("known") / F.col("total") * 100, 1)))
+    return out.withColumn("progress_percentage", F.when(F.col("total") == 0, 100.0).otherwise(round_exact(F.col("known") / F.col("total") * 100, 1)))

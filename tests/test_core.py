@@ -5,6 +5,7 @@ import random
 import pytest
 
 from prereqflow.errors import ConceptNotFound, CycleDetected, DuplicateConcept, InvalidDependency, SelfLoop
+from prereqflow.functions.numbers import round_exact
 from prereqflow.operators import analytics, infer, recommend, sequence, syllabus, traverse
 from prereqflow.operators.graph import CONCEPTS, DEPENDENCIES, PrereqGraph, first_concepts, upsert_edges
 from prereqflow.sources import store
@@ -111,6 +112,14 @@ def test_order_is_first_in_first_out(spark, monkeypatch):
             assert {r.id: r.level for r in sequence.levels(g).collect()} == depth == {r.id: r.level for r in sequence.topological_order(g).collect()}
 
 
+def test_rounding_is_that_of_python(spark):
+    values = [k / n * 100 for n in (20, 80, 300, 2000) for k in range(n + 1)] + [k / n for n in (80, 160, 1999, 2000) for k in range(n + 1)] + [0.5, -0.25, -1.55, 12345.675, 2.5]
+    df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+    for digits in (1, 3):
+        got = [r[0] for r in df.select(round_exact(df.x, digits)).collect()]
+        assert got == [round(x, digits) for x in values] + [None]
+
+
 def test_reachability(spark):
     edges = traverse.edges_of(make(spark, "a,b,c,d", "a>b,b>c,c>a,c>d").dependencies)
     assert {(r.src, r.dst) for r in traverse.closure(edges).collect()} == {(x, y) for x in "abc" for y in "abcd"}
