@@ -30,30 +30,27 @@ def has_cycle(graph: PrereqGraph) -> bool:
 
 
 def find_cycle(graph: PrereqGraph) -> list[str] | None:
-    """A closed path in edge direction: the first that a search in insertion order meets. Only the part that can't be peeled reaches the driver."""
+    """A closed path in edge direction: the first that a search in insertion order meets; None without a cycle.
+
+    Where every node left leads on to another, such a search never turns back: it takes the first edge of each node, from the
+    first node, until it meets its own path. So the walk doubles its length in each round, and only the walk reaches the driver.
+    """
     part = _cyclic_part(graph.dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "seq"))
-    rows = part.join(graph.concepts.select(F.col("id").alias("src"), F.col("seq").alias("at")), "src").orderBy("at", "seq").select("src", "dst").collect()
-    following: dict[str, list[str]] = {}
-    for r in rows:
-        following.setdefault(r.src, []).append(r.dst)
-    done: set[str] = set()
-    for start in following:
-        if start in done:
-            continue
-        path, todo, place = [start], [iter(following[start])], {start: 0}
-        while path:
-            for n in todo[-1]:
-                if n in place:
-                    return [*path[place[n] :], n]
-                if n not in done:
-                    place[n] = len(path)
-                    path.append(n)
-                    todo.append(iter(following.get(n, ())))
-                    break
-            else:
-                done.add(x := path.pop())
-                todo.pop()
-                del place[x]
+    jump = durable(part.groupBy("src").agg(F.min(F.struct("seq", "dst")).alias("m")).select("src", F.col("m.dst").alias("dst")))
+    start = jump.join(graph.concepts.select(F.col("id").alias("src"), "seq"), "src").orderBy("seq", "src").select("src").first()
+    if start is None:
+        return None
+    walk, length = jump.where(F.col("src") == start.src).select(F.lit(0).cast("long").alias("pos"), F.col("src").alias("id")), 1
+    while not walk.groupBy("id").count().where("count > 1").take(1):
+        further = walk.join(jump, F.col("id") == F.col("src")).select((F.col("pos") + length).alias("pos"), F.col("dst").alias("id"))
+        walk = durable(walk.union(further))
+        jump = durable(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")))
+        length *= 2
+    path: dict[str, int] = {}
+    for r in walk.orderBy("pos").toLocalIterator():
+        if r.id in path:
+            return [*list(path)[path[r.id] :], r.id]
+        path[r.id] = len(path)
     return None
 
 
