@@ -17,10 +17,10 @@ SQL: dict[str, str] = {}
 
 _VIEWS = """
 c AS (SELECT CAST(p_partkey AS BIGINT) AS seq, 'p' || p_partkey AS id, p_name AS name, 'Unit ' || p_size AS unit, CAST(p_size AS INT) AS unit_number, p_type AS description FROM part),
-li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 20 = 0),
-st AS (SELECT a, b FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM li) WHERE b IS NOT NULL AND a <> b),
-e AS (SELECT DISTINCT 'p' || least(a, b) AS s, 'p' || greatest(a, b) AS t, CAST(least(a, b) AS BIGINT) * 4294967296 + greatest(a, b) AS seq FROM st),
-m AS (SELECT DISTINCT o_custkey AS u, 'p' || l_partkey AS id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 50),
+li AS (SELECT l_orderkey, l_linenumber, l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
+st AS MATERIALIZED (SELECT a, b, q FROM (SELECT l_partkey AS a, lead(l_partkey) OVER w AS b, lead(q) OVER w AS q FROM li WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) WHERE b IS NOT NULL AND a <> b),
+e AS MATERIALIZED (SELECT 'p' || a AS s, 'p' || b AS t, CAST(a AS BIGINT) * 4294967296 + b AS seq FROM (SELECT x AS a, y AS b, row_number() OVER (PARTITION BY x ORDER BY sum(q) DESC, y DESC) AS k FROM (SELECT least(a, b) AS x, greatest(a, b) AS y, q FROM st) GROUP BY x, y) WHERE k = 1),
+m AS MATERIALIZED (SELECT DISTINCT CAST(c_nationkey AS BIGINT) * 256 + ascii(c_mktsegment) AS u, 'p' || l_partkey AS id FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey),
 r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s)"""
 
 
@@ -60,7 +60,7 @@ def in_out_degree(spark, d):
 
 @query("SELECT DISTINCT 'p' || a AS source_id, 'p' || b AS target_id, EXISTS (SELECT 1 FROM e WHERE s = 'p' || a AND t = 'p' || b) AS found FROM st")
 def edge_exists_bulk(spark, d):
-    ask = views.dependencies(spark, d, ascending=False).select("source_id", "target_id")
+    ask = views.step_pairs(spark, d).select("source_id", "target_id")
     known = views.dependencies(spark, d).select("source_id", "target_id", F.lit(True).alias("f"))
     return ask.join(known, ["source_id", "target_id"], "left").select("source_id", "target_id", F.coalesce("f", F.lit(False)).alias("found"))
 
@@ -100,7 +100,7 @@ def endpoint_semi_join(spark, d):
 
 @query("SELECT DISTINCT 'p' || a AS source_id, 'p' || b AS target_id FROM st")
 def unit_sequence_edges(spark, d):
-    return views.dependencies(spark, d, ascending=False).select("source_id", "target_id")
+    return views.step_pairs(spark, d).select("source_id", "target_id")
 
 
 @query("SELECT s AS src, t AS dst FROM r")
@@ -108,23 +108,16 @@ def closure_all_pairs(spark, d):
     return traverse.closure(traverse.edges_of(views.dependencies(spark, d)))
 
 
-_SOME = "(SELECT id FROM c WHERE seq % 97 = 3)"
-
-
-def _some(g):
-    return g.concepts.where("seq % 97 = 3").select("id")
-
-
-@query(f"SELECT id AS start, id AS node FROM c WHERE id IN {_SOME} UNION SELECT t, s FROM r WHERE t IN {_SOME}")
+@query("SELECT id AS start, id AS node FROM c UNION SELECT t, s FROM r")
 def ancestors_of(spark, d):
     g = views.graph(spark, d)
-    return traverse.ancestors(traverse.edges_of(g.dependencies), _some(g))
+    return traverse.ancestors(traverse.edges_of(g.dependencies), g.concepts.select("id"))
 
 
-@query(f"SELECT id AS start, id AS node FROM c WHERE id IN {_SOME} UNION SELECT s, t FROM r WHERE s IN {_SOME}")
+@query("SELECT id AS start, id AS node FROM c UNION SELECT s, t FROM r")
 def descendants_of(spark, d):
     g = views.graph(spark, d)
-    return traverse.descendants(traverse.edges_of(g.dependencies), _some(g))
+    return traverse.descendants(traverse.edges_of(g.dependencies), g.concepts.select("id"))
 
 
 _LEVEL = ", w AS (SELECT id, 0 AS l FROM c UNION SELECT e.t, w.l + 1 FROM w JOIN e ON e.s = w.id)"
@@ -140,7 +133,7 @@ def topological_positions(spark, d):
     return sequence.topological_order(views.graph(spark, d))
 
 
-@query("SELECT EXISTS (SELECT 1 FROM (SELECT s AS a, t AS b FROM r WHERE s = t)) AS acyclic_has_cycle, EXISTS (WITH RECURSIVE q AS (SELECT a, b FROM st UNION SELECT q.a, st.b FROM q JOIN st ON q.b = st.a) SELECT 1 FROM q WHERE a = b) AS raw_has_cycle")
+@query("SELECT EXISTS (SELECT 1 FROM (SELECT s AS a, t AS b FROM r WHERE s = t)) AS acyclic_has_cycle, EXISTS (WITH RECURSIVE f AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sum(q) DESC, b DESC) AS k FROM st GROUP BY a, b) WHERE k = 1), q AS (SELECT a, b FROM f UNION SELECT q.a, f.b FROM q JOIN f ON q.b = f.a) SELECT 1 FROM q WHERE a = b) AS raw_has_cycle")
 def cycle_exists(spark, d):
     found = sequence.has_cycle(views.graph(spark, d)), sequence.has_cycle(views.graph(spark, d, ascending=False))
     return spark.createDataFrame([found], "acyclic_has_cycle boolean, raw_has_cycle boolean")
@@ -336,42 +329,42 @@ def lexical_direction(spark, d):
     return g.dependencies.join(a, F.col("source_id") == F.col("a")).join(b, F.col("target_id") == F.col("b")).select("a", "b", T.lexical_direction(F.col("na"), F.col("nb")).alias("way"))
 
 
-@query("SELECT doc_id, len(list_intersect(regexp_extract_all(lower(text), '\\w+'), " + str(list(T.FOUNDATIONAL)) + ")) > 0 AS foundational FROM documents WHERE lang = 'en'", views_too=False)
+@query("SELECT doc_id, len(list_intersect(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), " + str(list(T.FOUNDATIONAL)) + ")) > 0 AS foundational FROM documents", views_too=False)
 def foundational_keywords(spark, d):
-    return views.table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.is_foundational(F.col("text")).alias("foundational"))
+    return views.table(spark, d, "documents").select("doc_id", T.is_foundational(F.col("text")).alias("foundational"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+', ' ', 'g'), '(\w+)-\s*\n\s*(\w+)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents WHERE lang = 'en'", views_too=False)
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{7f}-\x{9f}]', '', 'g'), '[ \t]+', ' ', 'g'), '([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents", views_too=False)
 def clean_text(spark, d):
-    return views.table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return views.table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents WHERE lang = 'en'", views_too=False)
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents", views_too=False)
 def slugify(spark, d):
-    return views.table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return views.table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
-@query(r"SELECT doc_id, upper(regexp_extract(text, '(?i)\b([A-Z]{2,4}\s*[-:]?\s*\d{3,4})\b', 1)) AS code FROM documents WHERE lang = 'en'", views_too=False)
+@query(r"SELECT doc_id, upper(regexp_extract(text, '(?i)(?:^|[^\p{L}\p{N}_])([A-Z]{2,4}\s*[-:]?\s*\d{3,4})(?:$|[^\p{L}\p{N}_])', 1)) AS code FROM documents", views_too=False)
 def course_code(spark, d):
-    return views.table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.course_code(F.col("text")).alias("code"))
+    return views.table(spark, d, "documents").select("doc_id", T.course_code(F.col("text")).alias("code"))
 
 
-_LINES = r"WITH l AS (SELECT doc_id, i AS line_no, regexp_replace(x, '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE lang = 'en')), k AS (SELECT * FROM l WHERE line <> '')"
-_HEAD = r"regexp_matches(line, '(?i)^(?:unit|module|chapter|part|section)\s*[-:]?\s*([0-9ivxlcdm]+|\w+)\s*[-:]?\s*(.*)$')"
+_LINES = r"WITH l AS (SELECT doc_id, i AS line_no, regexp_replace(x, '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)), k AS (SELECT * FROM l WHERE line <> '')"
+_HEAD = r"regexp_matches(line, '(?i)^(?:unit|module|chapter|part|section)\s*[-:]?\s*([0-9ivxlcdm]+|[\p{L}\p{N}_]+)\s*[-:]?\s*(.*)$')"
 
 
-def _english(spark, d):
-    return views.table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+def _outlines(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", "text")
 
 
-@query(_LINES + r", t AS (SELECT doc_id, line, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM k), f AS (SELECT doc_id, min_by(trim(regexp_replace(regexp_replace(line, '(?i)^[A-Z]{2,4}\s*[-:]?\s*\d{3,4}\s*[:|-]?\s*', ''), '(?i)^(course|syllabus|subject)\s*[:|-]\s*', '')), line_no) AS title FROM t WHERE r <= 5 AND length(line) BETWEEN 4 AND 79 AND NOT " + _HEAD + r" GROUP BY doc_id) SELECT d.doc_id, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM k) THEN 'Empty Syllabus' ELSE coalesce(f.title, 'Course Syllabus') END AS title FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id WHERE d.lang = 'en'", views_too=False)
+@query(_LINES + r", t AS (SELECT doc_id, line, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM k), f AS (SELECT doc_id, min_by(trim(regexp_replace(regexp_replace(line, '(?i)^[A-Z]{2,4}\s*[-:]?\s*\d{3,4}\s*[:|-]?\s*', ''), '(?i)^(course|syllabus|subject)\s*[:|-]\s*', '')), line_no) AS title FROM t WHERE r <= 5 AND length(line) BETWEEN 4 AND 79 AND NOT " + _HEAD + r" GROUP BY doc_id) SELECT d.doc_id, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM k) THEN 'Empty Syllabus' ELSE coalesce(f.title, 'Course Syllabus') END AS title FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id", views_too=False)
 def course_title(spark, d):
-    return syllabus.headers(_english(spark, d)).select("doc_id", F.col("course_title").alias("title"))
+    return syllabus.headers(_outlines(spark, d)).select("doc_id", F.col("course_title").alias("title"))
 
 
 @query(_LINES + f" SELECT doc_id, line_no, {_HEAD} AS is_header, CAST(sum(CAST({_HEAD} AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS block FROM k", views_too=False)
 def segment_units(spark, d):
-    return syllabus.blocks(_english(spark, d)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_header", "block")
+    return syllabus.blocks(_outlines(spark, d)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_header", "block")
 
 
 @query()
@@ -415,13 +408,17 @@ def unit_groups_layout(spark, d):
     return c.withColumn("row", row).join(units, "unit").select("id", (F.col("col") * 260 + 50).cast("long").alias("x"), (F.col("row") * 120 + 50).cast("long").alias("y"))
 
 
-@query("SELECT u AS user_id, id AS concept_id FROM m WHERE u <= 25 AND id NOT IN (SELECT id FROM m WHERE u = 26) UNION ALL SELECT us.u, t.id FROM (SELECT DISTINCT u FROM m WHERE u <= 25) us CROSS JOIN (SELECT id FROM m WHERE u = 26) t WHERE (us.u, t.id) NOT IN (SELECT u, id FROM m)")
+_FLIP = "(SELECT min(u) FROM m)"
+
+
+@query(f"SELECT u AS user_id, id AS concept_id FROM m WHERE u <> {_FLIP} AND id NOT IN (SELECT id FROM m WHERE u = {_FLIP}) UNION ALL SELECT us.u, t.id FROM (SELECT DISTINCT u FROM m WHERE u <> {_FLIP}) us CROSS JOIN (SELECT id FROM m WHERE u = {_FLIP}) t WHERE (us.u, t.id) NOT IN (SELECT u, id FROM m)")
 def toggle_mastery(spark, d):
+    """What the first user knows is toggled for everyone else."""
     all_ = views.mastery(spark, d)
-    old = all_.where("user_id <= 25")
-    flips = old.select("user_id").distinct().crossJoin(all_.where("user_id = 26").select("concept_id"))
-    both = old.withColumn("n", F.lit(1)).unionByName(flips.withColumn("n", F.lit(1)))
-    return both.groupBy("user_id", "concept_id").agg(F.sum("n").alias("n")).where("n = 1").select("user_id", "concept_id")
+    least = all_.agg(F.min("user_id")).first()[0]
+    old = all_.where(F.col("user_id") != least)
+    flips = old.select("user_id").distinct().crossJoin(all_.where(F.col("user_id") == least).select("concept_id"))
+    return old.unionByName(flips).groupBy("user_id", "concept_id").agg(F.count("*").alias("n")).where("n = 1").select("user_id", "concept_id")
 
 
 @query("SELECT c.id, c.name, c.unit, c.description, c.unit_number, (SELECT count(*) FROM e WHERE s = c.id) AS out_degree FROM c")

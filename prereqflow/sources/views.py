@@ -20,34 +20,48 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def steps(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
-    """a, b: consecutive parts of an order."""
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0).select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b, quantity: consecutive parts of an order, all orders, with what was ordered of the later part."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_quantity").alias("q"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return rows.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b IS NOT NULL AND a <> b")
+    return rows.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"), F.lead("q").over(w).alias("quantity")).where("b IS NOT NULL AND a <> b")
 
 
 def _edges(pairs: DataFrame) -> DataFrame:
     """A place that grows with (a, b) needs no sort of all edges."""
     name = lambda c: F.concat(F.lit("p"), c)
-    return pairs.distinct().select(
+    return pairs.select(
         (F.col("a").cast("long") * (1 << 32) + F.col("b")).alias("seq"), name("a").alias("source_id"), name("b").alias("target_id"),
         F.lit("unit_sequence").alias("relationship_type"), F.lit(0.8).alias("confidence"), F.lit("").alias("reason"),
     )
 
 
+def step_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of parts that follow each other, as edges."""
+    return _edges(steps(spark, sf_dir).select("a", "b").distinct())
+
+
 def dependencies(spark: SparkSession, sf_dir: str, ascending: bool = True) -> DataFrame:
-    """Without cycles if ascending; as they come, with cycles, if not."""
+    """An edge from each part to the one it most often stands beside, by quantity over all orders (ties: the larger key).
+
+    Ascending: from the smaller key to the larger, so without cycles. Otherwise in the order of lines, so with cycles.
+    Quantities are added map-side before each shuffle; a part that stands in very many orders is no more than its pairs after that.
+    """
     pairs = steps(spark, sf_dir)
-    return _edges(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if ascending else pairs)
+    if ascending:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "quantity")
+    weight = pairs.groupBy("a", "b").agg(F.sum("quantity").alias("quantity"))
+    return _edges(weight.groupBy("a").agg(F.max(F.struct("quantity", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
 
 
 def graph(spark: SparkSession, sf_dir: str, ascending: bool = True) -> PrereqGraph:
     return PrereqGraph(concepts(spark, sf_dir), dependencies(spark, sf_dir, ascending))
 
 
-def mastery(spark: SparkSession, sf_dir: str, most: int | None = 50) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    orders = orders.where(F.col("o_custkey") <= most) if most else orders
+def mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, concept_id: what each cohort of customers (nation and market segment) has ordered, over all orders."""
+    cohort = F.col("c_nationkey").cast("long") * 256 + F.ascii("c_mktsegment")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", cohort.alias("user_id"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.concat(F.lit("p"), "l_partkey").alias("concept_id")).distinct()
+    return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("user_id", F.concat(F.lit("p"), "l_partkey").alias("concept_id")).distinct()
