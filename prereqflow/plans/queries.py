@@ -229,7 +229,7 @@ x AS (SELECT us.u, c.seq, c.id, c.name, c.unit_number, coalesce(nd.n, 0) AS need
   FROM us CROSS JOIN c LEFT JOIN dn ON dn.id = c.id LEFT JOIN nd ON nd.id = c.id LEFT JOIN got ON got.u = us.u AND got.id = c.id LEFT JOIN met ON met.u = us.u AND met.id = c.id
   WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.u = us.u AND m.id = c.id)),
 y AS (SELECT *, CASE WHEN need = 0 THEN 1.0::DOUBLE ELSE met / need END AS ratio FROM x),
-z AS (SELECT *, round_even(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.45::DOUBLE * ratio + 0.30::DOUBLE * least(1.0::DOUBLE, downstream / greatest((SELECT count(*) FROM c) - 1, 1)) + 0.15::DOUBLE * near + 0.10::DOUBLE * (1.0::DOUBLE - unit_number / 20.0::DOUBLE))), 3) AS score,
+z AS (SELECT *, CAST(printf('%.3f', least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.45::DOUBLE * ratio + 0.30::DOUBLE * least(1.0::DOUBLE, downstream / greatest((SELECT count(*) FROM c) - 1, 1)) + 0.15::DOUBLE * near + 0.10::DOUBLE * (1.0::DOUBLE - unit_number / 20.0::DOUBLE)))) AS DOUBLE) AS score,
   CASE WHEN ratio = 1 THEN 'NOW' WHEN ratio >= 0.5 THEN 'NEXT' END AS status FROM y),
 k AS (SELECT *, row_number() OVER (PARTITION BY u, status ORDER BY score DESC, seq) AS rank FROM z WHERE status IS NOT NULL)"""
 
