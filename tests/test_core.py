@@ -8,7 +8,7 @@ from prereqflow.errors import ConceptNotFound, CycleDetected, DuplicateConcept,
 from prereqflow.functions.numbers import round_exact
 from prereqflow.operators import analytics, infer, recommend, sequence, syllabus, traverse
 from prereqflow.operators.graph import CONCEPTS, DEPENDENCIES, PrereqGraph, first_concepts, upsert_edges
-from prereqflow.sources import store
+from prereqflow.sources import store, views
 
 
 def make(spark, ids, edges, units=None):
@@ -112,6 +112,41 @@ def test_order_is_first_in_first_out(spark, monkeypatch):
             assert {r.id: r.level for r in sequence.levels(g).collect()} == depth == {r.id: r.level for r in sequence.topological_order(g).collect()}
 
 
+def test_cycle_is_the_first_that_a_search_meets(spark):
+    rng = random.Random(5)
+    for n, m in ((6, 9), (12, 20), (9, 8)):
+        pairs = dict.fromkeys((rng.randrange(n), rng.randrange(n)) for _ in range(m))
+        edges = [(a, b) for a, b in pairs if a != b]
+        g = make(spark, ",".join(f"n{i}" for i in range(n)), ",".join(f"n{a}>n{b}" for a, b in edges))
+        out = {a: [y for x, y in edges if x == a] for a in range(n)}
+        done = set()
+
+        def search(a, path, out=out, done=done):
+            for b in out[a]:
+                if b in path:
+                    return [*path[path.index(b) :], b]
+                if b not in done and (found := search(b, [*path, b])):
+                    return found
+            done.add(a)
+
+        want = next((c for a in range(n) if a not in done and (c := search(a, [a]))), None)
+        assert sequence.find_cycle(g) == (want and [f"n{x}" for x in want])
+
+
+def test_graph_views_take_every_row(spark, tmp_path):
+    items = [(1, 1, 10, 5.0), (1, 2, 11, 2.0), (1, 3, 12, 9.0), (2, 1, 11, 1.0), (2, 2, 10, 4.0), (3, 1, 10, 1.0), (3, 2, 12, 6.0), (3, 2, 12, 1.0), (4, 1, 10, 3.0)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 8), (3, 7), (4, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, 3, "BUILDING"), (8, 3, "BUILDING"), (9, 0, "MACHINERY")], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    pairs = lambda df: {(r.source_id, r.target_id) for r in df.collect()}
+    # beside each other: 10 and 11 with 2 + 4, 11 and 12 with 9, 10 and 12 with 6: a tie goes to the larger key
+    assert pairs(views.dependencies(spark, str(tmp_path))) == {("p10", "p12"), ("p11", "p12")}
+    assert pairs(views.dependencies(spark, str(tmp_path), ascending=False)) == {("p10", "p12"), ("p11", "p12")}
+    assert pairs(views.step_pairs(spark, str(tmp_path))) == {("p10", "p11"), ("p11", "p12"), ("p11", "p10"), ("p10", "p12")}
+    known = {(r.user_id, r.concept_id) for r in views.mastery(spark, str(tmp_path)).collect()}
+    assert known == {(3 * 256 + 66, "p10"), (3 * 256 + 66, "p11"), (3 * 256 + 66, "p12"), (77, "p10")}
+
+
 def test_rounding_is_that_of_python(spark):
     values = [k / n * 100 for n in (20, 80, 300, 2000) for k in range(n + 1)] + [k / n for n in (80, 160, 1999, 2000) for k in range(n + 1)] + [0.5, -0.25, -1.55, 12345.675, 2.5]
     df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
