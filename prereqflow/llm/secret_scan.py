@@ -31,6 +31,9 @@ ALLOWED = (
     re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=+]+|$))+"),
     re.compile(r".*(?:EXAMPLE|example)(?:KEY|key)?"),
 )
+#: Runs of one class inside a candidate, where a window fits; '=' ends a base64 run as padding or sets a name apart from its value.
+RUNS = tuple(re.compile(r) for r in (r"[0-9a-f]{20,}", r"[0-9A-F]{20,}", r"[A-Za-z0-9]{20,}", r"[A-Za-z0-9+/_-]{20,}=*"))
+PIECE = re.compile(r"[^=]+=*|=+")
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -64,6 +67,25 @@ def entropy_spans(s: str, window: int = WINDOW) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+def entropy_findings(s: str) -> list[tuple[int, int]]:
+    """Spans of a candidate's secrets: the candidate and each run of one class inside it, by the bound and allow-list of its own class.
+
+    A hit is widened to its run, and one of the candidate to the pieces between '=' that it touches, so no part of a key stays.
+    """
+    found = [m.span() for r in RUNS for m in r.finditer(s) if next(entropy_spans(m[0]), None)]
+    pieces = [m.span() for m in PIECE.finditer(s)]
+    for begin, end in entropy_spans(s):
+        touched = [x for x in pieces if x[0] < end and begin < x[1]]
+        found.append((touched[0][0], touched[-1][1]))
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(found):
+        if out and begin <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((begin, end))
+    return out
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of every secret, sorted; code points, end exclusive."""
     found = []
@@ -74,7 +96,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         at, s = run.start(), run[0]
         found += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(s)]
         found += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(s)]
-        for begin, end in entropy_spans(s):
+        for begin, end in entropy_findings(s):
             if not any(a <= at + begin and at + end <= b for a, _, b in found):
                 found.append((at + begin, 3, at + end))
     return sorted(found)

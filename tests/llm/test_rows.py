@@ -181,6 +181,24 @@ def test_entropy_by_recounting():
         assert {j for a, b in secret_scan.entropy_spans(s) for j in range(a, b)} == covered
 
 
+def test_keys_behind_separators():
+    """A key is found behind '=', '/', '-' and '_' as it is bare, and no part of it stays."""
+    rng = random.Random(9)
+    bare = []
+    for symbols, sizes in (("0123456789ABCDEF", (20, 32, 64)), ("0123456789abcdef", (20, 24, 31)), ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", (20, 40))):
+        for key in ("".join(rng.choices(symbols, k=n)) for n in sizes for _ in range(20)):
+            found = secret_scan.scan(key)
+            bare.append(bool(found))
+            for before, after in (("KEY=", ""), ("/", ""), ("id-", ""), ("sk_live_", ""), ("a/b-c_d=", "=="), ("KEY=", "/example")):
+                spans = secret_scan.scan(text := before + key + after)
+                if found:
+                    assert any(a <= len(before) and len(before) + len(key) <= b for a, _, b in spans), text
+                    assert not any(key[i : i + 4] in secret_scan.redact(text, spans) for i in range(len(key) - 3)), text
+    assert sum(bare) > 0.9 * len(bare)
+    for text in ("path/to/one_word-after/another=123456789012345678901", "id=123e4567-e89b-12d3-a456-426614174000", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"):
+        assert secret_scan.scan(text) == []
+
+
 def test_pipeline(spark, tmp_path):
     docs = documents(spark)
     before = None
