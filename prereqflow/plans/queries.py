@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,42 +26,60 @@ m AS MATERIALIZED (SELECT DISTINCT CAST(c_nationkey AS BIGINT) * 256 + ascii(c_m
 r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s)"""
 
 
-def query(sql: str | None = None, name: str | None = None, views_too: bool = True) -> Callable[[Query], Query]:
+#: The same views with every pair as an edge, or with every customer as a student, and what replaces e or m in SQL.
+ALL_PAIRS = SimpleNamespace(**vars(views) | {"dependencies": views.all_dependencies, "graph": views.all_graph})
+ALL_CUSTOMERS = SimpleNamespace(**vars(views) | {"mastery": views.customer_mastery})
+_C_LI_ST, _E, _M_R = _VIEWS[: _VIEWS.index("\ne AS")], _VIEWS[_VIEWS.index("\ne AS") : _VIEWS.index("\nm AS")], _VIEWS[_VIEWS.index("\nm AS") :]
+_PAIR_VIEWS = f"""{_C_LI_ST}
+e AS MATERIALIZED (SELECT 'p' || a AS s, 'p' || b AS t, CAST(a AS BIGINT) * 4294967296 + b AS seq FROM (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM st)),{_M_R}"""
+_CUSTOMER_VIEWS = f"""{_C_LI_ST}{_E}
+m AS MATERIALIZED (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS u, 'p' || l_partkey AS id FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey),
+{_M_R[_M_R.index("r AS") :]}"""
+
+
+def query(sql: str | None = None, name: str | None = None, views_too: bool = True, all_pairs: bool = False, all_customers: bool = False) -> Callable[[Query], Query]:
+    """Registers a query and its SQL; all_pairs and all_customers do so once more over every pair or customer, as NAME_all_pairs or NAME_all_customers."""
+
     def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
+        QUERIES[at := name or f.__name__] = f
         if sql:
-            SQL[name or f.__name__] = f"WITH RECURSIVE {_VIEWS} {sql}" if views_too else sql
+            SQL[at] = f"WITH RECURSIVE {_VIEWS} {sql}" if views_too else sql
+        for wanted, suffix, whole, text in ((all_pairs, "all_pairs", ALL_PAIRS, _PAIR_VIEWS), (all_customers, "all_customers", ALL_CUSTOMERS, _CUSTOMER_VIEWS)):
+            if wanted:
+                QUERIES[f"{at}_{suffix}"] = partial(f, views=whole)
+                if sql:
+                    SQL[f"{at}_{suffix}"] = f"WITH RECURSIVE {text} {sql}"
         return f
 
     return add
 
 
-@query("SELECT (SELECT count(*) FROM c) AS node_count, (SELECT count(*) FROM e) AS edge_count")
-def graph_summary_counts(spark, d):
+@query("SELECT (SELECT count(*) FROM c) AS node_count, (SELECT count(*) FROM e) AS edge_count", all_pairs=True)
+def graph_summary_counts(spark, d, views=views):
     return views.graph(spark, d).counts()
 
 
-@query("SELECT c.id, c.name FROM e JOIN c ON c.id = e.s WHERE e.t IN (SELECT t FROM e GROUP BY t ORDER BY count(*) DESC, t LIMIT 1)")
-def prerequisites_of(spark, d):
+@query("SELECT c.id, c.name FROM e JOIN c ON c.id = e.s WHERE e.t IN (SELECT t FROM e GROUP BY t ORDER BY count(*) DESC, t LIMIT 1)", all_pairs=True)
+def prerequisites_of(spark, d, views=views):
     g = views.graph(spark, d)
     top = g.dependencies.groupBy("target_id").count().orderBy(F.desc("count"), "target_id").first()
     return g.prerequisites(top[0]).select("id", "name")
 
 
-@query("SELECT c.id, c.name FROM e JOIN c ON c.id = e.t WHERE e.s IN (SELECT s FROM e GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)")
-def dependents_of(spark, d):
+@query("SELECT c.id, c.name FROM e JOIN c ON c.id = e.t WHERE e.s IN (SELECT s FROM e GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)", all_pairs=True)
+def dependents_of(spark, d, views=views):
     g = views.graph(spark, d)
     top = g.dependencies.groupBy("source_id").count().orderBy(F.desc("count"), "source_id").first()
     return g.dependents(top[0]).select("id", "name")
 
 
-@query("SELECT c.id, (SELECT count(*) FROM e WHERE t = c.id) AS in_degree, (SELECT count(*) FROM e WHERE s = c.id) AS out_degree FROM c")
-def in_out_degree(spark, d):
+@query("SELECT c.id, (SELECT count(*) FROM e WHERE t = c.id) AS in_degree, (SELECT count(*) FROM e WHERE s = c.id) AS out_degree FROM c", all_pairs=True)
+def in_out_degree(spark, d, views=views):
     return views.graph(spark, d).degrees()
 
 
-@query("SELECT DISTINCT 'p' || a AS source_id, 'p' || b AS target_id, EXISTS (SELECT 1 FROM e WHERE s = 'p' || a AND t = 'p' || b) AS found FROM st")
-def edge_exists_bulk(spark, d):
+@query("SELECT DISTINCT 'p' || a AS source_id, 'p' || b AS target_id, EXISTS (SELECT 1 FROM e WHERE s = 'p' || a AND t = 'p' || b) AS found FROM st", all_pairs=True)
+def edge_exists_bulk(spark, d, views=views):
     ask = views.step_pairs(spark, d).select("source_id", "target_id")
     known = views.dependencies(spark, d).select("source_id", "target_id", F.lit(True).alias("f"))
     return ask.join(known, ["source_id", "target_id"], "left").select("source_id", "target_id", F.coalesce("f", F.lit(False)).alias("found"))
@@ -80,20 +100,20 @@ def edge_upsert_last_wins(spark, d):
     return G.upsert_edges(rows, ids)[0].select("source_id", "target_id", "seq", "confidence")
 
 
-@query("SELECT (SELECT count(*) FROM c WHERE id <> 'p7') AS nodes, (SELECT count(*) FROM e WHERE s <> 'p7' AND t <> 'p7') AS edges")
-def cascade_delete(spark, d):
+@query("SELECT (SELECT count(*) FROM c WHERE id <> 'p7') AS nodes, (SELECT count(*) FROM e WHERE s <> 'p7' AND t <> 'p7') AS edges", all_pairs=True)
+def cascade_delete(spark, d, views=views):
     return views.graph(spark, d).remove_concept(" p7 ").counts().select(F.col("node_count").alias("nodes"), F.col("edge_count").alias("edges"))
 
 
-@query("SELECT s AS source_id, t AS target_id FROM e WHERE seq <> (SELECT min(seq) FROM e)")
-def edge_delete(spark, d):
+@query("SELECT s AS source_id, t AS target_id FROM e WHERE seq <> (SELECT min(seq) FROM e)", all_pairs=True)
+def edge_delete(spark, d, views=views):
     g = views.graph(spark, d)
     s, t = g.dependencies.orderBy("seq").select("source_id", "target_id").first()
     return g.remove_dependency(s, t).dependencies.select("source_id", "target_id")
 
 
-@query("SELECT s AS source_id, t AS target_id FROM e WHERE s IN (SELECT id FROM c WHERE unit_number <= 25) AND t IN (SELECT id FROM c WHERE unit_number <= 25)")
-def endpoint_semi_join(spark, d):
+@query("SELECT s AS source_id, t AS target_id FROM e WHERE s IN (SELECT id FROM c WHERE unit_number <= 25) AND t IN (SELECT id FROM c WHERE unit_number <= 25)", all_pairs=True)
+def endpoint_semi_join(spark, d, views=views):
     g = views.graph(spark, d)
     return store.with_known_ends(g.dependencies, g.concepts.where("unit_number <= 25")).select("source_id", "target_id")
 
@@ -140,7 +160,14 @@ def cycle_exists(spark, d):
 
 
 @query()
-def cycle_path(spark, d):
+def cycle_exists_all_pairs(spark, d):
+    """Over every pair; no SQL, as SQL would need a closure."""
+    found = sequence.has_cycle(views.all_graph(spark, d)), sequence.has_cycle(views.all_graph(spark, d, ascending=False))
+    return spark.createDataFrame([found], "acyclic_has_cycle boolean, raw_has_cycle boolean")
+
+
+@query(all_pairs=True)
+def cycle_path(spark, d, views=views):
     path = sequence.find_cycle(views.graph(spark, d, ascending=False)) or []
     return spark.createDataFrame(list(enumerate(path)), "pos long, id string")
 
@@ -196,7 +223,7 @@ def unmet_prerequisites(spark, d):
 _MISS = f", need AS MATERIALIZED (SELECT s AS id FROM r WHERE t = {_TARGET}), us AS (SELECT DISTINCT u FROM m)"
 
 
-def _missing(spark, d):
+def _missing(spark, d, views=views):
     g = views.graph(spark, d)
     return analytics.missing_prerequisites(g, _target(g)[1], views.mastery(spark, d))
 
@@ -206,18 +233,18 @@ def missing_prerequisites(spark, d):
     return _missing(spark, d).select("user_id", F.explode("missing").alias("concept_id"))
 
 
-@query(f"{_MISS} SELECT us.u AS user_id, (SELECT count(*) FROM m JOIN need USING (id) WHERE m.u = us.u) AS known FROM us")
-def known_ancestors(spark, d):
-    return _missing(spark, d).select("user_id", "known")
+@query(f"{_MISS} SELECT us.u AS user_id, (SELECT count(*) FROM m JOIN need USING (id) WHERE m.u = us.u) AS known FROM us", all_customers=True)
+def known_ancestors(spark, d, views=views):
+    return _missing(spark, d, views).select("user_id", "known")
 
 
-@query(f"{_MISS} SELECT us.u AS user_id, round_even((SELECT count(*) FROM m JOIN need USING (id) WHERE m.u = us.u) / (SELECT count(*) FROM need) * 100, 1) AS progress_percentage FROM us")
-def progress_percentage(spark, d):
-    return _missing(spark, d).select("user_id", "progress_percentage")
+@query(f"{_MISS} SELECT us.u AS user_id, round_even((SELECT count(*) FROM m JOIN need USING (id) WHERE m.u = us.u) / (SELECT count(*) FROM need) * 100, 1) AS progress_percentage FROM us", all_customers=True)
+def progress_percentage(spark, d, views=views):
+    return _missing(spark, d, views).select("user_id", "progress_percentage")
 
 
-@query("SELECT u AS user_id, count(*) AS known, CAST(printf('%.1f', count(*) / (SELECT count(*) FROM c) * 100) AS DOUBLE) AS mastery_percentage FROM m WHERE id IN (SELECT id FROM c) GROUP BY u")
-def mastery_percentage(spark, d):
+@query("SELECT u AS user_id, count(*) AS known, CAST(printf('%.1f', count(*) / (SELECT count(*) FROM c) * 100) AS DOUBLE) AS mastery_percentage FROM m WHERE id IN (SELECT id FROM c) GROUP BY u", all_customers=True)
+def mastery_percentage(spark, d, views=views):
     return recommend.mastery_percentage(views.graph(spark, d), views.mastery(spark, d)).select("user_id", "known", "mastery_percentage")
 
 
@@ -234,25 +261,25 @@ z AS (SELECT *, CAST(printf('%.3f', least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.4
 k AS (SELECT *, row_number() OVER (PARTITION BY u, status ORDER BY score DESC, seq) AS rank FROM z WHERE status IS NOT NULL)"""
 
 
-def _recommended(spark, d, k=5):
+def _recommended(spark, d, k=5, views=views):
     g = views.graph(spark, d)
     reach, target = _target(g)
     return recommend.recommend(g, views.mastery(spark, d), target, k, reach)
 
 
-@query(f"{_REC} SELECT u AS user_id, rank, id, score, CAST(downstream AS BIGINT) AS downstream FROM k WHERE status = 'NOW' AND rank <= 5")
-def recommend_now_topk(spark, d):
-    return _recommended(spark, d).where("status = 'NOW'").select("user_id", "rank", "id", "score", "downstream")
+@query(f"{_REC} SELECT u AS user_id, rank, id, score, CAST(downstream AS BIGINT) AS downstream FROM k WHERE status = 'NOW' AND rank <= 5", all_customers=True)
+def recommend_now_topk(spark, d, views=views):
+    return _recommended(spark, d, views=views).where("status = 'NOW'").select("user_id", "rank", "id", "score", "downstream")
 
 
-@query(f"{_REC} SELECT u AS user_id, rank, id, score, CAST(need - met AS BIGINT) AS unmet FROM k WHERE status = 'NEXT' AND rank <= 5")
-def recommend_next_topk(spark, d):
-    return _recommended(spark, d).where("status = 'NEXT'").select("user_id", "rank", "id", "score", "unmet")
+@query(f"{_REC} SELECT u AS user_id, rank, id, score, CAST(need - met AS BIGINT) AS unmet FROM k WHERE status = 'NEXT' AND rank <= 5", all_customers=True)
+def recommend_next_topk(spark, d, views=views):
+    return _recommended(spark, d, views=views).where("status = 'NEXT'").select("user_id", "rank", "id", "score", "unmet")
 
 
-@query(f"{_REC} SELECT u AS user_id, id, score FROM k WHERE status = 'NOW' AND rank = 1")
-def next_topic(spark, d):
-    return _recommended(spark, d, 1).where("status = 'NOW'").select("user_id", "id", "score")
+@query(f"{_REC} SELECT u AS user_id, id, score FROM k WHERE status = 'NOW' AND rank = 1", all_customers=True)
+def next_topic(spark, d, views=views):
+    return _recommended(spark, d, 1, views=views).where("status = 'NOW'").select("user_id", "id", "score")
 
 
 @query(f"""{_REC} SELECT u AS user_id, id, CASE WHEN status = 'NEXT' THEN 'Almost ready! Requires only ' || (need - met) || ' more prerequisite topic to unlock.'
@@ -322,8 +349,8 @@ def unit_number_extract(spark, d):
     return rows.select("id", T.unit_number(F.col("unit")).alias("n"))
 
 
-@query("SELECT a.id AS a, b.id AS b, CASE WHEN contains(lower(b.name), lower(a.name)) THEN 'A_to_B' WHEN contains(lower(a.name), lower(b.name)) THEN 'B_to_A' END AS way FROM e JOIN c a ON a.id = e.s JOIN c b ON b.id = e.t")
-def lexical_direction(spark, d):
+@query("SELECT a.id AS a, b.id AS b, CASE WHEN contains(lower(b.name), lower(a.name)) THEN 'A_to_B' WHEN contains(lower(a.name), lower(b.name)) THEN 'B_to_A' END AS way FROM e JOIN c a ON a.id = e.s JOIN c b ON b.id = e.t", all_pairs=True)
+def lexical_direction(spark, d, views=views):
     g = views.graph(spark, d)
     a, b = (g.concepts.select(F.col("id").alias(x), F.col("name").alias(f"n{x}")) for x in "ab")
     return g.dependencies.join(a, F.col("source_id") == F.col("a")).join(b, F.col("target_id") == F.col("b")).select("a", "b", T.lexical_direction(F.col("na"), F.col("nb")).alias("way"))
@@ -378,8 +405,8 @@ def outline_graph_edges(spark, d):
     return syllabus.build_graph(docs, sequential=True).dependencies
 
 
-@query("SELECT u AS user_id, id AS concept_id, 'known' AS status FROM m WHERE u % 2 = 1 UNION ALL SELECT u, 'p' || (u * 3), 'known' FROM (SELECT DISTINCT u FROM m WHERE u % 2 = 0)")
-def replace_user_progress(spark, d):
+@query("SELECT u AS user_id, id AS concept_id, 'known' AS status FROM m WHERE u % 2 = 1 UNION ALL SELECT u, 'p' || (u * 3), 'known' FROM (SELECT DISTINCT u FROM m WHERE u % 2 = 0)", all_customers=True)
+def replace_user_progress(spark, d, views=views):
     stored = views.mastery(spark, d).withColumn("status", F.lit("known"))
     new = stored.where("user_id % 2 = 0").select("user_id", F.concat(F.lit(" p"), (F.col("user_id") * 3).cast("string"), F.lit(" ")).alias("concept_id")).distinct()
     return store.replace_progress(stored, new)
@@ -392,8 +419,8 @@ def merge_upsert_sync(spark, d):
     return store.merge(c.where("unit_number <= 40").select("id", "name"), new, ["id"])
 
 
-@query("SELECT s AS source_id, t AS target_id, 'prerequisite' AS relationship_type, CASE WHEN seq % 3 = 0 THEN 1.0::DOUBLE WHEN seq % 3 = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, '' AS reason FROM e")
-def reload_coalesce(spark, d):
+@query("SELECT s AS source_id, t AS target_id, 'prerequisite' AS relationship_type, CASE WHEN seq % 3 = 0 THEN 1.0::DOUBLE WHEN seq % 3 = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, '' AS reason FROM e", all_pairs=True)
+def reload_coalesce(spark, d, views=views):
     g = views.graph(spark, d)
     none = F.lit(None).cast("string")
     raw = g.dependencies.select("seq", "source_id", "target_id", none.alias("relationship_type"), F.when(F.col("seq") % 3 == 0, 0.0).when(F.col("seq") % 3 == 2, 0.5).alias("confidence"), none.alias("reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import PrereqGraph
@@ -36,11 +36,20 @@ def _edges(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _ascending(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "quantity")
+
+
 def step_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of parts that follow each other, as edges."""
     return _edges(steps(spark, sf_dir).select("a", "b").distinct())
 
 
+def all_dependencies(spark: SparkSession, sf_dir: str, ascending: bool = True) -> DataFrame:
+    """Every pair of parts that stand beside each other, as an edge: from the smaller key, or in the order of lines."""
+    return _edges(_ascending(steps(spark, sf_dir)).select("a", "b").distinct()) if ascending else step_pairs(spark, sf_dir)
+
+
 def dependencies(spark: SparkSession, sf_dir: str, ascending: bool = True) -> DataFrame:
     """An edge from each part to the one it most often stands beside, by quantity over all orders (ties: the larger key).
 
@@ -49,7 +58,7 @@ def dependencies(spark: SparkSession, sf_dir: str, ascending: bool = True) -> Da
     """
     pairs = steps(spark, sf_dir)
     if ascending:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "quantity")
+        pairs = _ascending(pairs)
     weight = pairs.groupBy("a", "b").agg(F.sum("quantity").alias("quantity"))
     return _edges(weight.groupBy("a").agg(F.max(F.struct("quantity", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
 
@@ -58,10 +67,22 @@ def graph(spark: SparkSession, sf_dir: str, ascending: bool = True) -> PrereqGra
     return PrereqGraph(concepts(spark, sf_dir), dependencies(spark, sf_dir, ascending))
 
 
-def mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, concept_id: what each cohort of customers (nation and market segment) has ordered, over all orders."""
-    cohort = F.col("c_nationkey").cast("long") * 256 + F.ascii("c_mktsegment")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", cohort.alias("user_id"))
+def all_graph(spark: SparkSession, sf_dir: str, ascending: bool = True) -> PrereqGraph:
+    return PrereqGraph(concepts(spark, sf_dir), all_dependencies(spark, sf_dir, ascending))
+
+
+def _ordered(spark: SparkSession, sf_dir: str, user: Column) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", user.alias("user_id"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("user_id", F.concat(F.lit("p"), "l_partkey").alias("concept_id")).distinct()
+
+
+def mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, concept_id: what each cohort of customers (nation and market segment) has ordered, over all orders."""
+    return _ordered(spark, sf_dir, F.col("c_nationkey").cast("long") * 256 + F.ascii("c_mktsegment"))
+
+
+def customer_mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, concept_id: what each customer has ordered, over all orders."""
+    return _ordered(spark, sf_dir, F.col("c_custkey").cast("long"))

@@ -147,6 +147,37 @@ def test_graph_views_take_every_row(spark, tmp_path):
     assert known == {(3 * 256 + 66, "p10"), (3 * 256 + 66, "p11"), (3 * 256 + 66, "p12"), (77, "p10")}
 
 
+def test_queries_over_all_pairs_and_customers(spark, tmp_path):
+    """Against plain Python: every pair of neighbouring parts is an edge, every customer a student."""
+    from prereqflow.plans.queries import QUERIES
+
+    rng = random.Random(3)
+    lines = [(o, n, rng.randint(1, 9), 1.0) for o in range(30) for n in range(1, rng.randint(2, 5))]
+    orders = [(o, rng.randint(1, 4)) for o in range(30)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, 3, "BUILDING") for c in range(1, 5)], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(p, f"name {p}", p, "t") for p in range(1, 11)], "p_partkey long, p_name string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    steps = {(x[2], y[2]) for x, y in zip(lines, lines[1:], strict=False) if x[0] == y[0] and x[2] != y[2]}
+    edges = {(min(p), max(p)) for p in steps}
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert run("graph_summary_counts_all_pairs") == [(10, len(edges))]
+    degrees = {(f"p{p}", sum(b == p for _, b in edges), sum(a == p for a, _ in edges)) for p in range(1, 11)}
+    assert set(run("in_out_degree_all_pairs")) == degrees and max(o for *_, o in degrees) > 1
+    most = min((p for p in range(1, 11)), key=lambda p: (-sum(a == p for a, _ in edges), f"p{p}"))
+    assert {i for i, _ in run("dependents_of_all_pairs")} == {f"p{b}" for a, b in edges if a == most}
+    assert set(run("edge_exists_bulk_all_pairs")) == {(f"p{a}", f"p{b}", (a, b) in edges) for a, b in steps}
+    assert set(run("edge_delete_all_pairs")) == {(f"p{a}", f"p{b}") for a, b in edges - {min(edges)}}
+    reach = set(steps)
+    while more := {(a, d) for a, b in reach for c, d in steps if b == c} - reach:
+        reach |= more
+    assert run("cycle_exists_all_pairs") == [(False, any(a == b for a, b in reach))]
+    path = [i for _, i in sorted(run("cycle_path_all_pairs"))]
+    assert path[0] == path[-1] and all((int(a[1:]), int(b[1:])) in steps for a, b in zip(path, path[1:], strict=False))
+    known = {(dict(orders)[o], p) for o, _, p, _ in lines}
+    assert {(u, n) for u, n, _ in run("mastery_percentage_all_customers")} == {(u, sum(v == u for v, _ in known)) for u, _ in known}
+
+
 def test_rounding_is_that_of_python(spark):
     values = [k / n * 100 for n in (20, 80, 300, 2000) for k in range(n + 1)] + [k / n for n in (80, 160, 1999, 2000) for k in range(n + 1)] + [0.5, -0.25, -1.55, 12345.675, 2.5]
     df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
