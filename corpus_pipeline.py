@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from prereqflow.llm import decontamination, language_id, near_dedup, packing, secret_scan
-from prereqflow.llm.common import table
+from prereqflow.llm.common import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage but the last is written as Parquet, and the next one reads that; the last is returned as it is."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, stored(docs, STAGES[i - 1][0]) if i else docs, sf_dir)
     return docs

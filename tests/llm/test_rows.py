@@ -213,3 +213,17 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in before.select("doc_id").collect()} == {r.doc_id for r in spark.read.parquet(str(tmp_path / "secret_scans")).select("doc_id").collect()}
     key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())
     assert key(corpus_pipeline.run(spark, SMALL)) == key(before)
+
+
+def test_pipeline_reads_what_a_stage_has_written(spark, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.where(f"doc_id % {len(read) + 1} = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("second", stage), ("third", stage)])
+    left = {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()}
+    assert left == {r.doc_id for r in documents(spark).collect() if r.doc_id % 12 == 0}
+    assert "documents.parquet" in read[0][0]
+    assert all("/first-" in f for f in read[1]) and all("/second-" in f for f in read[2]) and read[1] and read[2]
