@@ -4,6 +4,7 @@
 NOT_FOUND = "Concept with ID '{}' was not found in the graph."
 DUPLICATE = "Concept with ID '{}' already exists in the graph."
 SELF_LOOP = "Self-loop detected: Concept '{}' cannot be a prerequisite of itself."
+NO_EDGE = "Dependency from '{}' to '{}' does not exist."
 CYCLE = "Circular dependency cycle detected in graph: {}"
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ConceptNotFound
 from ..functions.numbers import round_exact
+from ..functions.text import strip
+from ..plans.durable import durable
 from .graph import PrereqGraph
-from .sequence import topological_order
+from .sequence import in_order, topological_order
 from .traverse import ancestors, closure, edges_of
 
 
 def bottlenecks(graph: PrereqGraph, top_n: int | None = 10, reach: DataFrame | None = None) -> DataFrame:
-    """Concepts by how much they unlock: downstream, then direct dependents, then insertion order."""
+    """Concepts by how much they unlock: downstream, then direct dependents, then insertion order; rank from 1."""
     reach = closure(edges_of(graph.dependencies)) if reach is None else reach
     down = reach.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("downstream_count"), F.array_sort(F.collect_list("dst")).alias("unlocked_concept_ids"))
     direct = graph.dependencies.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("direct_dependents_count"))
@@ -22,25 +25,48 @@ def bottlenecks(graph: PrereqGraph, top_n: int | None = 10, reach: DataFrame | N
     out = out.withColumn("impact_score", round_exact(F.col("downstream_count") / F.col("_most"), 3)).withColumn(
         "description", F.concat(F.lit("Mastering '"), "name", F.lit("' unlocks "), F.col("downstream_count").cast("string"), F.lit(" downstream topics ("), F.col("direct_dependents_count").cast("string"), F.lit(" immediate)."))
     )
-    out = out.drop("_most").orderBy(F.desc("downstream_count"), F.desc("direct_dependents_count"), "seq")
-    return out.limit(top_n) if top_n else out
+    out = out.drop("_most", "metadata").withColumn("key", F.struct(-F.col("downstream_count"), -F.col("direct_dependents_count"), F.col("seq")))
+    out = durable(out.orderBy("key").limit(top_n) if top_n else out)
+    return in_order(out).withColumn("rank", (F.col("_i") + 1).cast("long")).drop("key", "_i").orderBy("rank")
 
 
-def readiness(graph: PrereqGraph, mastery: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """user_id, concept_id, unmet (ids in edge order), is_ready, for concepts with prerequisites."""
-    users = mastery.select("user_id").distinct() if users is None else users
-    need = graph.dependencies.select("seq", F.col("source_id").alias("concept_id"), F.col("target_id").alias("_t"))
-    each = users.crossJoin(need).join(mastery.distinct().withColumn("_k", F.lit(True)), ["user_id", "concept_id"], "left")
-    unmet = F.array_sort(F.collect_list(F.when(F.col("_k").isNull(), F.struct("seq", "concept_id"))))
-    return each.groupBy("user_id", F.col("_t").alias("concept_id")).agg(F.transform(unmet, lambda x: x.concept_id).alias("unmet")).withColumn("is_ready", F.size("unmet") == 0)
+def readiness(graph: PrereqGraph, mastery: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """user_id, concept_id, unmet (ids in edge order), is_ready of the pairs asked; by default, of every user of mastery and every concept that
+    has prerequisites and of these one that the user knows (with none known, all are unmet, so such pairs are left to who asks).
+
+    A concept without prerequisites is ready, unmet []. Ids are trimmed. An asked concept that isn't in the graph raises ConceptNotFound.
+    Work grows with the pairs and their prerequisites, not with users times edges.
+    """
+    known = mastery.select("user_id", strip(F.col("concept_id")).alias("source_id")).distinct()
+    need = graph.dependencies.select("seq", "source_id", F.col("target_id").alias("concept_id"))
+    if asked is None:
+        asked = known.join(need, "source_id").select("user_id", "concept_id").distinct()
+    else:
+        asked = asked.select("user_id", strip(F.col("concept_id")).alias("concept_id")).distinct()
+        for r in asked.join(graph.concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_anti").take(1):
+            raise ConceptNotFound(r.concept_id)
+    each = asked.join(need, "concept_id", "left").join(known.withColumn("_k", F.lit(True)), ["user_id", "source_id"], "left")
+    unmet = F.array_sort(F.collect_list(F.when(F.col("_k").isNull() & F.col("source_id").isNotNull(), F.struct("seq", "source_id"))))
+    return each.groupBy("user_id", "concept_id").agg(F.transform(unmet, lambda x: x.source_id).alias("unmet")).withColumn("is_ready", F.size("unmet") == 0)
+
+
+def concept_readiness(graph: PrereqGraph, concept_id: str, mastery: DataFrame) -> DataFrame:
+    """readiness() of one concept for every user of mastery, with its name; an unknown concept raises ConceptNotFound."""
+    one = graph.concept(graph.require(concept_id)).select(F.col("id").alias("concept_id"), F.col("name").alias("concept_name"))
+    asked = mastery.select("user_id").distinct().withColumn("concept_id", F.lit(concept_id.strip()))
+    return readiness(graph, mastery, asked).join(F.broadcast(one), "concept_id")
 
 
 def missing_prerequisites(graph: PrereqGraph, target: str, mastery: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """user_id, total, known, progress_percentage, missing (ids in study order) for each user of mastery."""
+    """user_id, total, known, progress_percentage, missing (ids in study order) for each user of mastery. Ids are trimmed. A target that
+    needs nothing is 100 % and asks for no order; else a cycle anywhere raises CycleDetected."""
     target = graph.require(target)
     need = ancestors(edges_of(graph.dependencies), graph.concept(target).select("id")).where(F.col("node") != target).select(F.col("node").alias("concept_id"))
+    users = mastery.select("user_id").distinct()
+    if not need.take(1):  # nothing to order
+        return users.select("user_id", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("known"), F.array().cast("array<string>").alias("missing"), F.lit(100.0).alias("progress_percentage"))
     order = topological_order(graph) if order is None else order
-    users, known = mastery.select("user_id").distinct(), mastery.distinct().withColumn("_k", F.lit(1))
+    known = mastery.select("user_id", strip(F.col("concept_id")).alias("concept_id")).distinct().withColumn("_k", F.lit(1))
     each = users.crossJoin(need.join(order.select(F.col("id").alias("concept_id"), "pos"), "concept_id")).join(known, ["user_id", "concept_id"], "left")
     got = each.groupBy("user_id").agg(
         F.count("*").alias("total"), F.count("_k").alias("known"),

@@ -1,6 +1,6 @@
 """The prerequisite graph as two DataFrames; every change gives a new graph.
 
-concepts: seq, id, name, unit, description, unit_number. dependencies: seq, source_id, target_id, relationship_type,
+concepts: seq, id, name, unit, description, unit_number, metadata (the other fields that a caller gives, as texts). dependencies: seq, source_id, target_id, relationship_type,
 confidence, reason. seq carries insertion order, which decides ties and neighbour order.
 """
 
@@ -11,10 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import ConceptNotFound, DuplicateConcept, InvalidDependency, SelfLoop
+from ..errors import NO_EDGE, ConceptNotFound, DuplicateConcept, InvalidDependency, SelfLoop
 from ..functions.text import strip
 
 CONCEPTS = "seq bigint, id string, name string, unit string, description string, unit_number int"
+METADATA = "map<string,string>"
 DEPENDENCIES = "seq bigint, source_id string, target_id string, relationship_type string, confidence double, reason string"
 
 
@@ -23,6 +24,11 @@ class PrereqGraph:
     concepts: DataFrame
     dependencies: DataFrame
 
+    def __post_init__(self) -> None:
+        """Concepts without metadata have an empty one."""
+        if "metadata" not in self.concepts.columns:
+            object.__setattr__(self, "concepts", self.concepts.withColumn("metadata", F.create_map().cast(METADATA)))
+
     @staticmethod
     def empty(spark: SparkSession) -> PrereqGraph:
         return PrereqGraph(spark.createDataFrame([], CONCEPTS), spark.createDataFrame([], DEPENDENCIES))
@@ -62,17 +68,30 @@ class PrereqGraph:
     def counts(self) -> DataFrame:
         return self.concepts.agg(F.count("*").alias("node_count")).crossJoin(self.dependencies.agg(F.count("*").alias("edge_count")))
 
+    def by_unit(self) -> DataFrame:
+        """unit ("General" for none), column (from 0, by the unit's first concept), id, row (from 0, in insertion order)."""
+        c = self.concepts.select("seq", "id", F.coalesce(F.nullif("unit", F.lit("")), F.lit("General")).alias("unit"))
+        units = c.groupBy("unit").agg(F.min("seq").alias("_f"))
+        # one row a unit, which is what a page shows
+        units = units.select("unit", (F.dense_rank().over(Window.orderBy("_f")) - 1).cast("long").alias("column"))
+        return c.withColumn("row", (F.row_number().over(Window.partitionBy("unit").orderBy("seq")) - 1).cast("long")).join(units, "unit").select("unit", "column", "id", "row")
+
+    def layout(self) -> DataFrame:
+        """id, x, y: a column a unit, in the fixed steps of the page."""
+        return self.by_unit().select("id", (F.col("column") * 260 + 50).alias("x"), (F.col("row") * 120 + 50).alias("y"))
+
     # changes of one element
     def _next(self, df: DataFrame) -> int:
         return (df.agg(F.max("seq")).first()[0] or 0) + 1
 
-    def add_concept(self, concept_id: str, name: str, unit: str = "", description: str = "", unit_number: int | None = None) -> PrereqGraph:
+    def add_concept(self, concept_id: str, name: str, unit: str = "", description: str = "", unit_number: int | None = None, metadata: dict[str, str] | None = None) -> PrereqGraph:
         if not concept_id.strip():
             raise ValueError("Concept ID cannot be empty.")
         if self.has_concept(concept_id):
             raise DuplicateConcept(concept_id.strip())
         row = (self._next(self.concepts), concept_id.strip(), name.strip(), unit.strip(), description.strip(), unit_number)
-        return PrereqGraph(self.concepts.unionByName(self.concepts.sparkSession.createDataFrame([row], CONCEPTS)), self.dependencies)
+        new = self.concepts.sparkSession.createDataFrame([(*row, {k: str(v) for k, v in (metadata or {}).items()})], f"{CONCEPTS}, metadata {METADATA}")
+        return PrereqGraph(self.concepts.unionByName(new), self.dependencies)
 
     def remove_concept(self, concept_id: str) -> PrereqGraph:
         i = self.require(concept_id)
@@ -92,7 +111,7 @@ class PrereqGraph:
 
     def remove_dependency(self, source: str, target: str) -> PrereqGraph:
         if not self.has_dependency(source, target):
-            raise InvalidDependency(f"Dependency edge from '{source.strip()}' to '{target.strip()}' does not exist.")
+            raise InvalidDependency(NO_EDGE.format(source.strip(), target.strip()))
         return PrereqGraph(self.concepts, self.dependencies.where(~((F.col("source_id") == source.strip()) & (F.col("target_id") == target.strip()))))
 
     def clear(self) -> PrereqGraph:
@@ -100,19 +119,35 @@ class PrereqGraph:
 
     # serialisation
     def to_json(self) -> DataFrame:
-        """One row {"nodes": [...], "edges": [...]}, in insertion order. For exchange of graphs of a page's size; large ones are written as tables."""
-        pack = lambda df, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct("*"))), lambda x: x.dropFields("seq")).alias(name))
-        nodes = pack(self.concepts.select("seq", "id", "name", "unit", "description", "unit_number"), "nodes")
+        """One row {"nodes": [...], "edges": [...]}, in insertion order; a node's metadata holds its unit_number too. For exchange of graphs
+        of a page's size, as the format is one value; large ones are written as tables, by store.write_graph."""
+        by_seq = lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0)
+        pack = lambda df, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct("*")), by_seq), lambda x: x.dropFields("seq")).alias(name))
+        unit = F.when(F.col("unit_number").isNotNull(), F.create_map(F.lit("unit_number"), F.col("unit_number").cast("string"))).otherwise(F.create_map().cast(METADATA))
+        rest = F.map_filter("metadata", lambda k, _: k != "unit_number")
+        nodes = pack(self.concepts.select("seq", "id", "name", "unit", "description", F.map_concat(unit, rest).alias("metadata")), "nodes")
         edges = pack(self.dependencies.select("seq", "source_id", "target_id", "relationship_type", "confidence", "reason"), "edges")
         return nodes.crossJoin(edges).select(F.to_json(F.struct("nodes", "edges")).alias("graph"))
 
     @staticmethod
-    def from_json(df: DataFrame, column: str = "graph") -> PrereqGraph:
+    def from_json(df: DataFrame, column: str = "graph", strict: bool = True) -> PrereqGraph:
+        """Left out: a node's name, unit and description are "", its unit_number that of its metadata; an edge is a prerequisite of confidence 1.0 without reason.
+
+        A blank or repeated node, a self loop or a missing end raises what inserting it would raise; with strict=False they are left out.
+        """
         node, edge = CONCEPTS.removeprefix("seq bigint, "), DEPENDENCIES.removeprefix("seq bigint, ")
-        parsed = df.select(F.from_json(column, f"nodes array<struct<{node.replace(' ', ': ').replace(',:', ',')}>>, edges array<struct<{edge.replace(' ', ': ').replace(',:', ',')}>>").alias("g"))
+        parsed = df.select(F.from_json(column, f"nodes array<struct<{node.replace(' ', ': ').replace(',:', ',')}, metadata: {METADATA}>>, edges array<struct<{edge.replace(' ', ': ').replace(',:', ',')}>>").alias("g"))
         out = [parsed.select(F.posexplode(f"g.{k}").alias("seq", "x")).select((F.col("seq") + 1).cast("long").alias("seq"), "x.*") for k in ("nodes", "edges")]
-        nodes, _ = first_concepts(out[0])
-        edges, _ = upsert_edges(out[1], nodes)
+        metadata = F.coalesce("metadata", F.create_map().cast(METADATA))
+        rows = out[0].withColumns({"unit_number": F.coalesce("unit_number", F.try_element_at(metadata, F.lit("unit_number")).try_cast("int")), "metadata": F.map_filter(metadata, lambda k, _: k != "unit_number")})
+        nodes, bad = first_concepts(rows)
+        given = {"relationship_type": "prerequisite", "confidence": 1.0, "reason": ""}
+        edges, lost = upsert_edges(out[1].withColumns({k: F.coalesce(k, F.lit(v)) for k, v in given.items()}), nodes)
+        if strict:
+            for r in bad.orderBy("seq").take(1):
+                raise ValueError("Concept ID cannot be empty.") if r.reason == "blank id" else DuplicateConcept(r.id)
+            for r in lost.orderBy("seq").take(1):
+                raise SelfLoop(r.source_id) if r.reject_reason == "self loop" else ConceptNotFound(r.source_id if r.reject_reason == "missing source" else r.target_id)
         return PrereqGraph(nodes, edges)
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CycleDetected
 from ..plans.durable import durable
 from .graph import PrereqGraph
-from .traverse import ancestors, edges_of
+from .traverse import Grown, ancestors, edges_of
 
 
 def _cyclic_part(edges: DataFrame) -> DataFrame:
@@ -25,6 +23,12 @@ def _cyclic_part(edges: DataFrame) -> DataFrame:
     return left
 
 
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) left when nodes that no edge leaves or none enters go, again and again: all that lie on a cycle, or between two."""
+    turn = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return turn(_cyclic_part(turn(_cyclic_part(edges))))
+
+
 def has_cycle(graph: PrereqGraph) -> bool:
     return bool(_cyclic_part(edges_of(graph.dependencies)).take(1))
 
@@ -33,7 +37,7 @@ def find_cycle(graph: PrereqGraph) -> list[str] | None:
     """A closed path in edge direction: the first that a search in insertion order meets; None without a cycle.
 
     Where every node left leads on to another, such a search never turns back: it takes the first edge of each node, from the
-    first node, until it meets its own path. So the walk doubles its length in each round, and only the walk reaches the driver.
+    first node, until it meets its own path. So the walk doubles its length in each round, and only the cycle, which is the result, reaches the driver.
     """
     part = _cyclic_part(graph.dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "seq"))
     jump = durable(part.groupBy("src").agg(F.min(F.struct("seq", "dst")).alias("m")).select("src", F.col("m.dst").alias("dst")))
@@ -46,22 +50,20 @@ def find_cycle(graph: PrereqGraph) -> list[str] | None:
         walk = durable(walk.union(further))
         jump = durable(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")))
         length *= 2
-    path: dict[str, int] = {}
-    for r in walk.orderBy("pos").toLocalIterator():
-        if r.id in path:
-            return [*list(path)[path[r.id] :], r.id]
-        path[r.id] = len(path)
-    return None
+    # the first place that repeats an earlier one ends the cycle, and that earlier place begins it
+    met = walk.groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("p")).where(F.size("p") > 1).select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
+    ends = met.orderBy("b").first()
+    return [r.id for r in walk.where(F.col("pos").between(ends.a, ends.b)).orderBy("pos").select("id").toLocalIterator()]
 
 
 #: Rows of one level that are sorted in one task; a larger level is sorted by ranges.
 ONE_TASK = 200_000
 
 
-def _in_order(rows: DataFrame, n: int) -> DataFrame:
+def in_order(rows: DataFrame, n: int | None = None) -> DataFrame:
     """Checkpointed rows with _i, their place by key from 0. Many rows are dealt to ranges of keys, and a place is the
-    count of the ranges before (a row for each partition) plus the place inside."""
-    if n <= ONE_TASK:
+    count of the ranges before (a row for each partition) plus the place inside. n: how many rows there are, if known."""
+    if (rows.count() if n is None else n) <= ONE_TASK:
         return rows.withColumn("_i", F.row_number().over(Window.orderBy("key")) - 1)
     ranged = durable(rows.repartitionByRange("key").withColumn("_p", F.spark_partition_id()))
     before = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_o", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c"))
@@ -72,29 +74,29 @@ def _in_order(rows: DataFrame, n: int) -> DataFrame:
 def topological_order(graph: PrereqGraph) -> DataFrame:
     """id, level, pos: first-in first-out order of nodes whose prerequisites are all placed.
 
-    A round places one level: the order inside it follows the last-placed prerequisite and that edge's place. The
-    number of rounds is the depth. A cycle raises CycleDetected. No concept: no row.
+    A round places one level: the order inside it follows the last-placed prerequisite, which is of the level before, and that edge's
+    place. So a round reads the edges of one level and drops them, and writes one level. The number of rounds is the depth.
+    A cycle raises CycleDetected. No concept: no row.
     """
-    edges = durable(graph.dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("seq").alias("eseq")))
-    nodes = durable(graph.concepts.select("id", "seq"))
-    total, placed_n, level = nodes.count(), 0, 0
-    left = nodes
-    placed = None
-    while placed_n < total:
-        if placed is None:
-            ready = left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("key", F.struct(F.col("seq"), F.lit(0).cast("long").alias("eseq")))
-        else:
-            into = edges.join(left.select(F.col("id").alias("dst")), "dst", "left_semi").join(placed.select(F.col("id").alias("src"), "pos"), "src", "left")
-            best = into.groupBy(F.col("dst").alias("id")).agg(F.max(F.struct(F.col("pos").alias("seq"), F.col("eseq"))).alias("key"), F.bool_and(F.col("pos").isNotNull()).alias("ok"))
-            ready = left.join(best.where("ok").drop("ok"), "id")
-        ready = durable(ready.select("id", "key"))
+    held = durable(graph.dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("seq").alias("eseq")))
+    nodes = graph.concepts.select("id", "seq")
+    total = nodes.count()
+    ready = durable(nodes.join(held.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.struct(F.col("seq"), F.lit(0).cast("long").alias("eseq")).alias("key")))
+    found, placed, level = None, 0, 0
+    while placed < total:
         if not (n := ready.count()):
             raise CycleDetected(find_cycle(graph) or [])
-        now = _in_order(ready, n).select("id", F.lit(level).alias("level"), (F.col("_i") + placed_n).cast("long").alias("pos"))
-        placed = durable(now if placed is None else placed.union(now))
-        left = durable(left.join(ready.select("id"), "id", "left_anti"))
-        placed_n, level = placed_n + n, level + 1
-    return placed if placed is not None else nodes.select("id", F.lit(0).alias("level"), F.col("seq").alias("pos"))
+        now = durable(in_order(ready, n).select("id", F.lit(level).alias("level"), (F.col("_i") + placed).cast("long").alias("pos")))
+        found = Grown(now) if found is None else found
+        if level:
+            found.add(now)
+        placed, level = placed + n, level + 1
+        if placed < total:
+            at = now.select(F.col("id").alias("src"), "pos")
+            best = held.join(at, "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.struct(F.col("pos").alias("seq"), F.col("eseq"))).alias("key"))
+            held = durable(held.join(at, "src", "left_anti"))
+            ready = durable(best.join(held.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "key"))
+    return found.rows() if found else nodes.select("id", F.lit(0).alias("level"), F.col("seq").alias("pos"))
 
 
 def levels(graph: PrereqGraph) -> DataFrame:
@@ -104,17 +106,19 @@ def levels(graph: PrereqGraph) -> DataFrame:
     """
     held = durable(edges_of(graph.dependencies))
     left = durable(graph.concepts.select("id"))
-    n, level, parts = left.count(), 0, []
+    n, level, found = left.count(), 0, None
     while n:
         ready = durable(left.join(held.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
         if not (taken := ready.count()):
             raise CycleDetected(find_cycle(graph) or [])
-        # written together now and then, or a deep graph would be a plan of as many tables as it has levels
-        parts = [durable(reduce(DataFrame.unionAll, [*parts, ready]))] if len(parts) >= 64 else [*parts, ready]
+        if found is None:
+            found = Grown(ready)
+        else:
+            found.add(ready)
         left = durable(left.join(ready, "id", "left_anti"))
         held = durable(held.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
         n, level = n - taken, level + 1
-    return reduce(DataFrame.unionAll, parts) if parts else left.withColumn("level", F.lit(level))
+    return found.rows() if found else left.withColumn("level", F.lit(level))
 
 
 def prerequisite_chain(graph: PrereqGraph, target: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.durable import durable
 from .graph import PrereqGraph
+from .sequence import in_order, topological_order
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -25,25 +29,32 @@ def headers(docs: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Lines with their block: a header line opens one; what stands before the first is the block "Overview"."""
-    head = T.is_unit_header(F.col("line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines(docs).withColumn("is_header", head).withColumn("block", F.sum(F.col("is_header").cast("int")).over(w))
-    title = F.max(F.when(F.col("is_header"), F.col("line"))).over(Window.partitionBy("doc_id", "block"))
-    return rows.withColumn("unit_title", F.coalesce(title, F.lit("Overview")))
+    """Lines with their block: a header line opens one; what stands before the first is the block "Overview".
+
+    A document's headers are found in one pass over its array of lines, so nothing is shuffled.
+    """
+    no, line = lambda x: x.line_no, lambda x: x.line
+    cut = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line_no"), T.strip(x).alias("line")))
+    rows = docs.select("doc_id", F.filter(cut, lambda x: line(x) != "").alias("_l"))
+    rows = rows.withColumn("_h", F.filter("_l", lambda x: T.is_unit_header(line(x)))).withColumn("_n", F.transform("_h", no))
+    rows = rows.select("doc_id", "_h", "_n", F.explode("_l").alias("x")).withColumn("block", F.size(F.filter("_n", lambda n: n <= F.col("x.line_no"))).cast("long"))
+    head = F.get("_h", (F.col("block") - 1).cast("int"))
+    title = F.coalesce(F.when(F.col("block") > 0, head["line"]), F.lit("Overview"))
+    return rows.select("doc_id", "x.line_no", "x.line", F.coalesce(head["line_no"] == F.col("x.line_no"), F.lit(False)).alias("is_header"), "block", title.alias("unit_title"))
 
 
 def _topics(rows: DataFrame) -> DataFrame:
+    """Topic candidates, the first of each id in its block."""
     each = rows.select("doc_id", "block", "unit_title", "line_no", F.posexplode(F.split("line", T.CANDIDATE_SPLIT)).alias("cand_no", "_c"))
     each = each.withColumn("name", T.clean_topic(F.col("_c"))).where(T.is_topic(F.col("name"))).withColumn("id", T.slugify(F.col("name"))).where("id <> ''")
-    order = Window.partitionBy("doc_id", "block", "id").orderBy("line_no", "cand_no")
-    return each.withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    first = each.groupBy("doc_id", "block", "id").agg(F.min(F.struct("line_no", "cand_no", "name", "unit_title")).alias("_f"))
+    return first.select("doc_id", "block", "id", "_f.*")
 
 
 def topics(docs: DataFrame) -> DataFrame:
     """doc_id, unit_number, unit_title, topic_pos, id, name: each block's first topic of an id; blocks without topics don't count."""
     rows = blocks(docs)
-    found = _topics(rows.where("NOT is_header"))
+    found = durable(_topics(rows.where("NOT is_header")))
     # only header lines are left for documents without any topic
     bare = rows.join(found.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("block", F.lit(0).cast("long")).withColumn("unit_title", F.lit("General Syllabus Topics"))
     every = found.unionByName(_topics(bare))
@@ -53,22 +64,71 @@ def topics(docs: DataFrame) -> DataFrame:
 
 
 def build_graph(docs: DataFrame, sequential: bool = False, into: PrereqGraph | None = None) -> PrereqGraph:
-    """Concepts and, if sequential, an edge from each topic to the next of its unit; the first of an id or pair wins."""
-    parsed = topics(docs).join(headers(docs), "doc_id")
-    label = F.when(F.col("unit_title") == "", F.concat(F.lit("Unit "), F.col("unit_number"))).otherwise(F.concat(F.lit("Unit "), F.col("unit_number"), F.lit(": "), F.col("unit_title")))
+    """The graph of outline texts (doc_id, text); see graph_of_topics."""
+    return graph_of_topics(topics(docs).join(headers(docs), "doc_id"), sequential, into)[0]
+
+
+def graph_of_topics(parsed: DataFrame, sequential: bool = False, into: PrereqGraph | None = None) -> tuple[PrereqGraph, DataFrame]:
+    """The graph of parsed topics (doc_id, course_title, course_code, unit_number, unit_title, topic_pos, id, name, and optionally a topic's
+    own topic_unit_number and topic_unit_title), and for each outline with a topic what it added.
+
+    Concepts and, if sequential, an edge from each topic to the next of its unit; the first of an id or pair wins, in the order of
+    outlines, units and topics, and what `into` has stays. Concepts keep unit_title, course_code and course_title in their metadata.
+    Stats: doc_id, course_title, course_code, nodes_added, edges_added, units_processed.
+    Places are numbered by ranges, so no task holds all concepts or edges.
+    """
+    bare = F.col("unit_title").isNull() | (F.col("unit_title") == "")
+    label = F.when(bare, F.concat(F.lit("Unit "), F.col("unit_number"))).otherwise(F.concat(F.lit("Unit "), F.col("unit_number"), F.lit(": "), F.col("unit_title")))
+    own = lambda c: F.coalesce(f"topic_{c}", c) if f"topic_{c}" in parsed.columns else F.col(c)
     order = F.struct("doc_id", "unit_number", "topic_pos")
-    first = parsed.withColumn("_label", label).groupBy("id").agg(F.min_by(F.struct("name", F.col("_label").alias("unit"), F.concat(F.lit("Concept extracted from "), "course_title").alias("description"), "unit_number"), order).alias("v"), F.min(order).alias("o"))
+    metadata = F.map_filter(F.create_map(*[x for k in ("unit_title", "course_code", "course_title") for x in (F.lit(k), own(k) if k == "unit_title" else F.col(k))]), lambda _, v: v.isNotNull())
+    value = F.struct("name", F.col("_label").alias("unit"), F.concat(F.lit("Concept extracted from "), "course_title").alias("description"), own("unit_number").cast("int").alias("unit_number"), metadata.alias("metadata"))
+    rows = parsed.withColumn("_label", label)
+    first = rows.groupBy("id").agg(F.min_by(value, order).alias("v"), F.min(order).alias("key"))
+    pairs = rows.withColumn("_p", F.lag("id").over(Window.partitionBy("doc_id", "unit_number").orderBy("topic_pos"))).where("_p IS NOT NULL AND _p <> id")
+    pairs = pairs.groupBy(F.col("_p").alias("source_id"), F.col("id").alias("target_id")).agg(F.min(order).alias("key"), F.min_by("_label", order).alias("_label"))
+    if not sequential:
+        pairs = pairs.limit(0)
     offset, edge_offset = (into._next(into.concepts), into._next(into.dependencies)) if into else (1, 1)
     if into:
         first = first.join(into.concepts.select("id"), "id", "left_anti")
-    place = Window.orderBy("o")
-    concepts = first.select((F.row_number().over(place) + (offset - 1)).cast("long").alias("seq"), "id", "v.*").select("seq", "id", "name", "unit", "description", "unit_number")
-    previous = parsed.withColumn("_label", label).withColumn("_p", F.lag("id").over(Window.partitionBy("doc_id", "unit_number").orderBy("topic_pos")))
-    pairs = previous.where("_p IS NOT NULL AND _p <> id").groupBy(F.col("_p").alias("source_id"), F.col("id").alias("target_id")).agg(F.min(order).alias("o"), F.min_by("_label", order).alias("_label"))
-    if into:
         pairs = pairs.join(into.dependencies.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
-    if not sequential:
-        pairs = pairs.limit(0)
+    first, pairs = durable(first), durable(pairs)
+    seq = lambda n: (F.col("_i") + n).cast("long").alias("seq")
+    concepts = in_order(first).select(seq(offset), "id", "v.*")
     reason = F.concat(F.lit("Sequential topic order within "), "_label")
-    edges = pairs.select((F.row_number().over(place) + (edge_offset - 1)).cast("long").alias("seq"), "source_id", "target_id", F.lit("unit_sequence").alias("relationship_type"), F.lit(0.8).alias("confidence"), reason.alias("reason"))
-    return PrereqGraph(into.concepts.unionByName(concepts), into.dependencies.unionByName(edges)) if into else PrereqGraph(concepts, edges)
+    edges = in_order(pairs).select(seq(edge_offset), "source_id", "target_id", F.lit("unit_sequence").alias("relationship_type"), F.lit(0.8).alias("confidence"), reason.alias("reason"))
+    graph = PrereqGraph(into.concepts.unionByName(concepts), into.dependencies.unionByName(edges)) if into else PrereqGraph(concepts, edges)
+    return graph, _stats(parsed, first, pairs)
+
+
+def _stats(parsed: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    units = parsed.groupBy("doc_id").agg(F.first("course_title").alias("course_title"), F.first("course_code").alias("course_code"), F.count_distinct("unit_number").alias("units_processed"))
+    added = lambda x, name: x.groupBy(F.col("key.doc_id").alias("doc_id")).agg(F.count("*").alias(name))
+    out = units.join(added(first, "nodes_added"), "doc_id", "left").join(added(pairs, "edges_added"), "doc_id", "left").fillna(0, ["nodes_added", "edges_added"])
+    return out.select("doc_id", "course_title", "course_code", "nodes_added", "edges_added", "units_processed")
+
+
+@dataclass(frozen=True)
+class Built:
+    """What the whole way from texts gives: parsed topics, the graph, what each outline added, the study order, and (message, node_count, edge_count)."""
+
+    topics: DataFrame
+    graph: PrereqGraph
+    stats: DataFrame
+    order: DataFrame
+    summary: DataFrame
+
+
+def study_plan(docs: DataFrame, sequential: bool = True, into: PrereqGraph | None = None) -> Built:
+    """Outline texts (doc_id, text) to topics, graph, study order and summary; into: a graph that is kept and added to.
+
+    A cycle raises CycleDetected, as the order does. Documents without topics add nothing.
+    """
+    parsed = durable(topics(docs).join(headers(docs), "doc_id"))
+    graph, stats = graph_of_topics(parsed, sequential, into)
+    order = topological_order(graph)
+    title = headers(docs).agg(F.min_by("course_title", "doc_id").alias("_t"), F.count("*").alias("_n"))
+    outlines = F.when(F.col("_n") == 1, F.concat(F.lit("'"), "_t", F.lit("'"))).otherwise(F.concat(F.col("_n").cast("string"), F.lit(" outlines")))
+    message = F.concat(F.lit("Successfully built Knowledge Graph with "), F.col("node_count").cast("string"), F.lit(" nodes from "), outlines)
+    return Built(parsed, graph, stats, order, graph.counts().crossJoin(title).select(message.alias("message"), "node_count", "edge_count"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,27 +14,47 @@ def edges_of(dependencies: DataFrame) -> DataFrame:
     return dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
 
 
+#: Checkpointed parts of a result that are read side by side before they are written together.
+PARTS = 32
+
+
+class Grown:
+    """Rows that a loop adds in parts; each part is written once, and many parts now and then together."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, self.parts)
+
+    def add(self, part: DataFrame) -> None:
+        self.parts = [durable(self.rows()), part] if len(self.parts) >= PARTS else [*self.parts, part]
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """src, dst of all pairs with a path of one edge or more, by doubling: log2(depth) rounds. Cycles end too, as pairs are distinct."""
-    reach = durable(edges.select("src", "dst").distinct())
-    n = reach.count()
-    while n:
-        longer = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        reach = durable(reach.union(longer).distinct())
-        n, before = reach.count(), n
-        if n == before:
-            break
-    return reach
+    """src, dst of all pairs with a path of one edge or more, by doubling: log2(depth) rounds. Cycles end too, as pairs are distinct.
+
+    A round joins only the pairs that the last one found with all others, and only what is new is written.
+    """
+    new = durable(edges.select("src", "dst").distinct())
+    known = Grown(new)
+    while new.take(1):
+        every = known.rows()
+        on = lambda a, b: a.join(b.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        new = durable(on(new, every).union(on(every, new)).distinct().join(every, ["src", "dst"], "left_anti"))
+        known.add(new)
+    return known.rows()
 
 
 def _search(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, node of everything reachable from each start, the start included; only new pairs go on to the next round."""
-    seen = frontier = durable(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct())
+    """start, node of everything reachable from each start, the start included; only new pairs go on to the next round and are written."""
+    frontier = durable(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct())
+    seen = Grown(frontier)
     while frontier.take(1):
         step = frontier.join(edges, frontier.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
-        frontier = durable(step.join(seen, ["start", "node"], "left_anti"))
-        seen = durable(seen.union(frontier))
-    return seen
+        frontier = durable(step.join(seen.rows(), ["start", "node"], "left_anti"))
+        seen.add(frontier)
+    return seen.rows()
 
 
 def descendants(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import partial
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,7 +21,7 @@ _VIEWS = """
 c AS (SELECT CAST(p_partkey AS BIGINT) AS seq, 'p' || p_partkey AS id, p_name AS name, 'Unit ' || p_size AS unit, CAST(p_size AS INT) AS unit_number, p_type AS description FROM part),
 li AS (SELECT l_orderkey, l_linenumber, l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
 st AS MATERIALIZED (SELECT a, b, q FROM (SELECT l_partkey AS a, lead(l_partkey) OVER w AS b, lead(q) OVER w AS q FROM li WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) WHERE b IS NOT NULL AND a <> b),
-e AS MATERIALIZED (SELECT 'p' || a AS s, 'p' || b AS t, CAST(a AS BIGINT) * 4294967296 + b AS seq FROM (SELECT x AS a, y AS b, row_number() OVER (PARTITION BY x ORDER BY sum(q) DESC, y DESC) AS k FROM (SELECT least(a, b) AS x, greatest(a, b) AS y, q FROM st) GROUP BY x, y) WHERE k = 1),
+e AS MATERIALIZED (SELECT 'p' || a AS s, 'p' || b AS t, CAST(a AS BIGINT) * 4294967296 + b AS seq FROM (SELECT x AS a, y AS b, row_number() OVER (PARTITION BY x ORDER BY sum(q) DESC, y DESC) AS k FROM (SELECT least(a, b) AS x, greatest(a, b) AS y, q FROM st) GROUP BY x, y) JOIN part pa ON pa.p_partkey = a JOIN part pb ON pb.p_partkey = b WHERE k = 1 OR pa.p_size = pb.p_size),
 m AS MATERIALIZED (SELECT DISTINCT CAST(c_nationkey AS BIGINT) * 256 + ascii(c_mktsegment) AS u, 'p' || l_partkey AS id FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey),
 r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s)"""
 
@@ -148,7 +148,14 @@ def topological_levels(spark, d):
     return sequence.levels(views.graph(spark, d))
 
 
-@query()
+#: Positions: a level stands in the order of the last-placed prerequisite, which is of the level before, and of that edge.
+_ORDER = f"""{_LEVEL}, lv AS MATERIALIZED (SELECT w.id, max(w.l) AS level, any_value(c.seq) AS seq FROM w JOIN c ON c.id = w.id GROUP BY w.id),
+o AS (SELECT id, level, row_number() OVER (ORDER BY seq) AS rk FROM lv WHERE level = 0
+  UNION ALL SELECT id, level, row_number() OVER (ORDER BY prk, eseq) AS rk FROM (SELECT n.id, n.level, max(o.rk) AS prk, arg_max(e.seq, o.rk) AS eseq FROM o JOIN e ON e.s = o.id JOIN lv n ON n.id = e.t AND n.level = o.level + 1 GROUP BY n.id, n.level)),
+po AS MATERIALIZED (SELECT id, CAST(level AS INT) AS level, CAST(rk - 1 + (SELECT count(*) FROM lv WHERE lv.level < o.level) AS BIGINT) AS pos FROM o)"""
+
+
+@query(f"{_ORDER} SELECT id, level, pos FROM po")
 def topological_positions(spark, d):
     return sequence.topological_order(views.graph(spark, d))
 
@@ -166,12 +173,29 @@ def cycle_exists_all_pairs(spark, d):
     return spark.createDataFrame([found], "acyclic_has_cycle boolean, raw_has_cycle boolean")
 
 
-@query(all_pairs=True)
-def cycle_path(spark, d, views=views):
+def _cycle_path(spark, d, views=views):
     path = sequence.find_cycle(views.graph(spark, d, ascending=False)) or []
     return spark.createDataFrame(list(enumerate(path)), "pos long, id string")
 
 
+#: Every part leads to one other, so a search from the first part that reaches a cycle is a walk; it ends where it meets itself.
+@query("""SELECT pos - a AS pos, 'p' || id AS id FROM (WITH RECURSIVE f AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sum(q) DESC, b DESC) AS k FROM st GROUP BY a, b) WHERE k = 1),
+  q AS (SELECT a, b FROM f UNION SELECT q.a, f.b FROM q JOIN f ON q.b = f.a),
+  g AS (SELECT min(a) AS a FROM q WHERE b IN (SELECT a FROM q WHERE a = b)),
+  x AS (SELECT CAST(0 AS BIGINT) AS pos, a AS id FROM g WHERE a IS NOT NULL UNION ALL SELECT pos + 1, f.b FROM x JOIN f ON f.a = x.id WHERE pos <= (SELECT count(*) FROM c)),
+  y AS MATERIALIZED (SELECT pos, id, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM x),
+  z AS (SELECT min(pos) AS b FROM y WHERE k = 2)
+  SELECT y.pos, y.id, (SELECT min(pos) FROM y WHERE id = (SELECT id FROM y WHERE pos = (SELECT b FROM z))) AS a FROM y WHERE y.pos <= (SELECT b FROM z)) WHERE pos >= a""")
+def cycle_path(spark, d):
+    return _cycle_path(spark, d)
+
+
+@query()
+def cycle_path_all_pairs(spark, d):
+    """Over every pair; no SQL, as a search with turning back is a sequence. Tests follow the path."""
+    return _cycle_path(spark, d, ALL_PAIRS)
+
+
 _TARGET = "(SELECT t FROM r GROUP BY t ORDER BY count(*) DESC, t LIMIT 1)"
 
 
@@ -180,26 +204,27 @@ def _target(g):
     return reach, reach.groupBy("dst").count().orderBy(F.desc("count"), "dst").first()[0]
 
 
-@query(f"{_LEVEL} SELECT id, CAST(max(l) AS INT) AS level FROM w WHERE id IN (SELECT s FROM r WHERE t = {_TARGET}) OR id = {_TARGET} GROUP BY id")
+@query(f"{_ORDER} SELECT id, level, pos FROM po WHERE id IN (SELECT s FROM r WHERE t = {_TARGET}) OR id = {_TARGET}")
 def prerequisite_chain(spark, d):
     g = views.graph(spark, d)
-    return sequence.prerequisite_chain(g, _target(g)[1]).select("id", "level")
+    return sequence.prerequisite_chain(g, _target(g)[1])
 
 
 _DOWN = """, dn AS (SELECT s AS id, count(*) AS n, string_agg(t, ',' ORDER BY t) AS ids FROM r GROUP BY s), dd AS (SELECT s AS id, count(*) AS n FROM e GROUP BY s),
 b AS (SELECT c.seq, c.id, coalesce(dn.n, 0) AS downstream_count, coalesce(dd.n, 0) AS direct_dependents_count, round_even(coalesce(dn.n, 0) / greatest((SELECT count(*) FROM c) - 1, 1), 3) AS impact_score,
   'Mastering ''' || c.name || ''' unlocks ' || coalesce(dn.n, 0) || ' downstream topics (' || coalesce(dd.n, 0) || ' immediate).' AS description, coalesce(dn.ids, '') AS unlocked FROM c LEFT JOIN dn ON dn.id = c.id LEFT JOIN dd ON dd.id = c.id)"""
+_RANK = "row_number() OVER (ORDER BY downstream_count DESC, direct_dependents_count DESC, seq) AS rank"
 _BOTTLE = "id, downstream_count, direct_dependents_count, impact_score, description"
 
 
-@query(f"{_DOWN} SELECT {_BOTTLE} FROM b ORDER BY downstream_count DESC, direct_dependents_count DESC, seq LIMIT 10")
+@query(f"{_DOWN} SELECT {_RANK}, {_BOTTLE} FROM b ORDER BY downstream_count DESC, direct_dependents_count DESC, seq LIMIT 10")
 def bottlenecks_top10(spark, d):
-    return analytics.bottlenecks(views.graph(spark, d), 10).select(*_BOTTLE.split(", "))
+    return analytics.bottlenecks(views.graph(spark, d), 10).select("rank", *_BOTTLE.split(", "))
 
 
-@query(f"{_DOWN} SELECT {_BOTTLE} FROM b")
+@query(f"{_DOWN} SELECT {_RANK}, {_BOTTLE} FROM b")
 def bottlenecks_all(spark, d):
-    return analytics.bottlenecks(views.graph(spark, d), None).select(*_BOTTLE.split(", "))
+    return analytics.bottlenecks(views.graph(spark, d), None).select("rank", *_BOTTLE.split(", "))
 
 
 @query(f"{_DOWN} SELECT id, unlocked FROM b")
@@ -210,14 +235,39 @@ def unlocked_ids(spark, d):
 _READY = "SELECT u.u AS user_id, e.t AS concept_id, coalesce(string_agg(CASE WHEN m.id IS NULL THEN e.s END, ',' ORDER BY e.seq), '') AS unmet FROM (SELECT DISTINCT u FROM m) u CROSS JOIN e LEFT JOIN m ON m.u = u.u AND m.id = e.s GROUP BY 1, 2"
 
 
+def _ready(spark, d):
+    """Asked: every user, every concept with prerequisites."""
+    g, mastery = views.graph(spark, d), views.mastery(spark, d)
+    asked = mastery.select("user_id").distinct().crossJoin(g.dependencies.select(F.col("target_id").alias("concept_id")).distinct())
+    return analytics.readiness(g, mastery, asked)
+
+
+@query("SELECT m.u AS user_id, e.t AS concept_id, (SELECT count(*) FROM e f WHERE f.t = e.t) = count(DISTINCT e.s) AS is_ready FROM m JOIN e ON e.s = m.id GROUP BY 1, 2", all_customers=True)
+def readiness_of_started(spark, d, views=views):
+    """Every user and concept of whose prerequisites the user knows one."""
+    return analytics.readiness(views.graph(spark, d), views.mastery(spark, d)).select("user_id", "concept_id", "is_ready")
+
+
+_FIRST_CONCEPT = "(SELECT id FROM c WHERE id NOT IN (SELECT t FROM e) ORDER BY seq LIMIT 1)"
+
+
+@query(f"SELECT us.u AS user_id, c.id AS concept_id, c.name AS concept_name, NOT EXISTS (SELECT 1 FROM e WHERE e.t = c.id AND (us.u, e.s) NOT IN (SELECT u, id FROM m)) AS is_ready FROM (SELECT DISTINCT u FROM m) us CROSS JOIN c WHERE c.id IN ({_TARGET}, {_FIRST_CONCEPT})")
+def readiness_of_concept(spark, d):
+    """Of the concept that needs most, and of the first that needs nothing."""
+    g, mastery = views.graph(spark, d), views.mastery(spark, d)
+    free = g.concepts.join(g.dependencies.select(F.col("target_id").alias("id")), "id", "left_anti").orderBy("seq").first().id
+    got = [analytics.concept_readiness(g, x, mastery) for x in (_target(g)[1], free)]
+    return got[0].union(got[1]).select("user_id", "concept_id", "concept_name", "is_ready")
+
+
 @query(f"SELECT user_id, concept_id, unmet = '' AS is_ready FROM ({_READY})")
 def readiness_batch(spark, d):
-    return analytics.readiness(views.graph(spark, d), views.mastery(spark, d)).select("user_id", "concept_id", "is_ready")
+    return _ready(spark, d).select("user_id", "concept_id", "is_ready")
 
 
 @query(f"SELECT * FROM ({_READY}) WHERE unmet <> ''")
 def unmet_prerequisites(spark, d):
-    return analytics.readiness(views.graph(spark, d), views.mastery(spark, d)).where("NOT is_ready").select("user_id", "concept_id", F.array_join("unmet", ",").alias("unmet"))
+    return _ready(spark, d).where("NOT is_ready").select("user_id", "concept_id", F.array_join("unmet", ",").alias("unmet"))
 
 
 _MISS = f", need AS MATERIALIZED (SELECT s AS id FROM r WHERE t = {_TARGET}), us AS (SELECT DISTINCT u FROM m)"
@@ -290,6 +340,15 @@ def recommendation_reasons(spark, d):
     return _recommended(spark, d, 1 << 30).select("user_id", "id", "reason")
 
 
+_SUMMARY = """, nd AS (SELECT t AS id, count(*) AS n FROM e GROUP BY t), kn AS (SELECT m.u, count(*) AS n, count(*) FILTER (WHERE m.id NOT IN (SELECT id FROM nd)) AS free FROM m JOIN c USING (id) GROUP BY m.u),
+rd AS (SELECT u, count(*) AS n FROM (SELECT m.u, e.t FROM e JOIN m ON m.id = e.s JOIN nd ON nd.id = e.t GROUP BY m.u, e.t HAVING count(*) = any_value(nd.n) AND NOT bool_or((m.u, e.t) IN (SELECT u, id FROM m))) GROUP BY u)"""
+
+
+@query(f"{_SUMMARY} SELECT kn.u AS user_id, kn.n AS known, CAST(printf('%.1f', kn.n / (SELECT count(*) FROM c) * 100) AS DOUBLE) AS mastery_percentage, (SELECT count(*) FROM c WHERE id NOT IN (SELECT id FROM nd)) - kn.free + coalesce(rd.n, 0) AS ready_now_count, (SELECT count(*) FROM c) AS total_topics_count FROM kn LEFT JOIN rd ON rd.u = kn.u", all_customers=True)
+def study_summary(spark, d, views=views):
+    return recommend.study_summary(views.graph(spark, d), views.mastery(spark, d))
+
+
 @query(f"{_REC} SELECT u AS user_id, id, CAST(downstream AS BIGINT) AS downstream FROM z WHERE downstream > 0")
 def downstream_unmastered(spark, d):
     return recommend.scored(views.graph(spark, d), views.mastery(spark, d)).where("downstream > 0").select("user_id", "id", "downstream")
@@ -316,8 +375,12 @@ def cosine_pairs(spark, d):
 
 @query("SELECT vec_id, round(CASE WHEN list_inner_product(embedding, embedding) = 0 THEN 1e-10 ELSE sqrt(list_inner_product(list_transform(embedding, lambda q: q::DOUBLE), list_transform(embedding, lambda q: q::DOUBLE))) END, 6) AS norm FROM embeddings", views_too=False)
 def norms_zero_guard(spark, d):
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return views.table(spark, d, "embeddings").select("vec_id", F.round(F.when(square == 0, 1e-10).otherwise(F.sqrt(square)), 6).alias("norm"))
+    return views.table(spark, d, "embeddings").select("vec_id", F.round(infer.norm("embedding"), 6).alias("norm"))
+
+
+@query("SELECT id, name || '. ' || unit || '. ' || coalesce(description, '') AS text FROM c")
+def concept_texts(spark, d):
+    return infer.node_texts(views.graph(spark, d)).select("id", "text")
 
 
 _CAND = f"""{_COS}, q AS (SELECT *, CASE WHEN lb < la THEN seq_b WHEN la = lb AND contains('topic ' || seq_a, 'topic ' || seq_b) AND NOT contains('topic ' || seq_b, 'topic ' || seq_a) THEN seq_b ELSE seq_a END AS s FROM p WHERE sim >= 0.30),
@@ -342,6 +405,20 @@ def inference_existing_edge_skip(spark, d):
     return infer.infer_prerequisites(G.PrereqGraph(g.concepts, old), _vectors(spark, d), auto_add=False).select("source_id", "target_id")
 
 
+@query(f"{_CAND} SELECT source_id, target_id, 'Inferred via local SentenceTransformer embeddings (similarity: ' || printf('%.2f', sim) || ') and unit precedence (Unit ' || CASE WHEN source_id = 'v' || seq_a THEN la ELSE lb END || ' -> Unit ' || CASE WHEN source_id = 'v' || seq_a THEN lb ELSE la END || ').' AS reason FROM (SELECT f.*, p.sim, p.la, p.lb FROM f JOIN p USING (seq_a, seq_b)) WHERE confidence >= 0.50", views_too=False)
+def inferred_edge_reasons(spark, d):
+    return infer.infer_prerequisites(_vector_graph(spark, d), _vectors(spark, d), auto_add=False).select("source_id", "target_id", "reason")
+
+
+@query()
+def inferred_edges_greedy(spark, d):
+    """Where every third vector already leads on to the one before, so that candidates close cycles and are refused one after another. No SQL, as
+    insertion is a sequence; tests hold it against plain Python."""
+    g = _vector_graph(spark, d)
+    back = g.concepts.where("seq % 3 = 0 AND seq > 0").select("seq", F.col("id").alias("source_id"), F.concat(F.lit("v"), F.col("seq") - 1).alias("target_id"), F.lit("prerequisite").alias("relationship_type"), F.lit(1.0).alias("confidence"), F.lit("").alias("reason"))
+    return infer.infer_prerequisites(G.PrereqGraph(g.concepts, back), _vectors(spark, d)).select("source_id", "target_id")
+
+
 @query("SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(unit, '\\d+', 0), '') AS INT), 999) AS n FROM (SELECT id, unit FROM c UNION ALL SELECT id || 'x', name FROM c)")
 def unit_number_extract(spark, d):
     c = views.concepts(spark, d)
@@ -394,15 +471,53 @@ def segment_units(spark, d):
     return syllabus.blocks(_outlines(spark, d)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_header", "block")
 
 
-@query()
+_WORDCH = r"[\p{L}\p{N}_]"
+_STARTS = " OR ".join(f"starts_with(lower(name), '{p}')" for p in T.IGNORED_PREFIXES)
+_CODE = rf"regexp_matches(name, '(?i)(?:^|[^\p{{L}}\p{{N}}_])([A-Z]{{2,4}}\s*[-:]?\s*\d{{3,4}})(?:$|[^\p{{L}}\p{{N}}_])')"
+#: A hyphen between two word characters splits like a mark; twice, as two matches may share a letter.
+_SPLIT = rf"string_split_regex(regexp_replace(regexp_replace(line, '({_WORDCH})-({_WORDCH})', '\1;\2', 'g'), '({_WORDCH})-({_WORDCH})', '\1;\2', 'g'), '[;•*]')"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?i)^\s*([0-9]+[\.\)]|\([0-9]+\)|[a-z][\.\)]|[-•\*:–])\s*', ''), '(?i)\s*\(\s*\d+\s*(hours|hrs|marks|credits)?\s*\)', '', 'g'), '^[ .,\-:]+|[ .,\-:]+$', '', 'g'), '^\s+|\s+$', '', 'g')"
+_TOPICS = _LINES + f""", b AS (SELECT doc_id, line_no, line, {_HEAD} AS is_header, sum(CAST({_HEAD} AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM k),
+bt AS (SELECT *, coalesce(max(CASE WHEN is_header THEN line END) OVER (PARTITION BY doc_id, block), 'Overview') AS unit_title FROM b),
+cs AS (SELECT doc_id, block, unit_title, is_header, line_no, unnest(p) AS c, generate_subscripts(p, 1) AS cand_no FROM (SELECT *, {_SPLIT} AS p FROM bt)),
+cn AS (SELECT *, {_CLEAN} AS name FROM cs),
+cv AS MATERIALIZED (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS id FROM cn WHERE length(name) BETWEEN 3 AND 75 AND NOT ({_STARTS}) AND NOT {_CODE}),
+ct AS (SELECT doc_id, block, unit_title, line_no, cand_no, id, name FROM cv WHERE id <> '' AND NOT is_header
+  UNION ALL SELECT doc_id, 0, 'General Syllabus Topics', line_no, cand_no, id, name FROM cv WHERE id <> '' AND doc_id NOT IN (SELECT doc_id FROM cv WHERE id <> '' AND NOT is_header)),
+cf AS (SELECT * FROM ct QUALIFY row_number() OVER (PARTITION BY doc_id, block, id ORDER BY line_no, cand_no) = 1),
+tp AS MATERIALIZED (SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY block) AS INT) AS unit_number, unit_title, CAST(row_number() OVER (PARTITION BY doc_id, block ORDER BY line_no, cand_no) AS INT) AS topic_pos, id, name FROM cf)"""
+
+
+@query(f"{_TOPICS} SELECT * FROM tp", views_too=False)
 def topic_candidates(spark, d):
-    return syllabus.topics(views.table(spark, d, "documents").select("doc_id", "text"))
+    return syllabus.topics(_outlines(spark, d))
 
 
-@query()
+_PAIRS = f"""{_TOPICS}, pv AS (SELECT *, CASE WHEN unit_title = '' THEN 'Unit ' || unit_number ELSE 'Unit ' || unit_number || ': ' || unit_title END AS label, lag(id) OVER (PARTITION BY doc_id, unit_number ORDER BY topic_pos) AS p FROM tp),
+pr AS (SELECT * FROM pv WHERE p IS NOT NULL AND p <> id QUALIFY row_number() OVER (PARTITION BY p, id ORDER BY doc_id, unit_number, topic_pos) = 1)"""
+
+
+@query(f"{_PAIRS} SELECT row_number() OVER (ORDER BY doc_id, unit_number, topic_pos) AS seq, p AS source_id, id AS target_id, 'unit_sequence' AS relationship_type, 0.8::DOUBLE AS confidence, 'Sequential topic order within ' || label AS reason FROM pr", views_too=False)
 def outline_graph_edges(spark, d):
-    docs = views.table(spark, d, "documents").select("doc_id", "text")
-    return syllabus.build_graph(docs, sequential=True).dependencies
+    return syllabus.build_graph(_outlines(spark, d), sequential=True).dependencies
+
+
+_TITLE = SQL["course_title"].removeprefix("WITH")
+_NAMED = f"{_PAIRS}, hd AS (WITH {_TITLE}), cc AS ({SQL['course_code']})"
+
+
+@query(f"""{_NAMED}, nf AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM tp QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id, unit_number, topic_pos) = 1) GROUP BY doc_id), ef AS (SELECT doc_id, count(*) AS n FROM pr GROUP BY doc_id)
+SELECT u.doc_id, hd.title AS course_title, cc.code AS course_code, coalesce(nf.n, 0) AS nodes_added, coalesce(ef.n, 0) AS edges_added, u.n AS units_processed FROM (SELECT doc_id, count(DISTINCT unit_number) AS n FROM tp GROUP BY doc_id) u JOIN hd USING (doc_id) JOIN cc USING (doc_id) LEFT JOIN nf USING (doc_id) LEFT JOIN ef USING (doc_id)""", views_too=False)
+def outline_build_stats(spark, d):
+    docs = _outlines(spark, d)
+    return syllabus.graph_of_topics(syllabus.topics(docs).join(syllabus.headers(docs), "doc_id"), sequential=True)[1]
+
+
+@query(f"""{_NAMED} SELECT t.id, t.name, t.unit_number, t.unit_title, hd.title AS course_title, cc.code AS course_code, 'Concept extracted from ' || hd.title AS description
+FROM (SELECT * FROM tp QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id, unit_number, topic_pos) = 1) t JOIN hd USING (doc_id) JOIN cc USING (doc_id)""", views_too=False)
+def outline_concepts(spark, d):
+    c = syllabus.build_graph(_outlines(spark, d)).concepts
+    return c.select("id", "name", "unit_number", *[F.col("metadata")[k].alias(k) for k in ("unit_title", "course_title", "course_code")], "description")
 
 
 @query("SELECT u AS user_id, id AS concept_id, 'known' AS status FROM m WHERE u % 2 = 1 UNION ALL SELECT u, 'p' || (u * 3), 'known' FROM (SELECT DISTINCT u FROM m WHERE u % 2 = 0)", all_customers=True)
@@ -429,10 +544,7 @@ def reload_coalesce(spark, d, views=views):
 
 @query("SELECT id, (dense_rank() OVER (ORDER BY f) - 1) * 260 + 50 AS x, (row_number() OVER (PARTITION BY unit ORDER BY seq) - 1) * 120 + 50 AS y FROM (SELECT *, min(seq) OVER (PARTITION BY unit) AS f FROM c)")
 def unit_groups_layout(spark, d):
-    c = views.concepts(spark, d).withColumn("unit", F.coalesce(F.nullif("unit", F.lit("")), F.lit("General")))
-    units = c.groupBy("unit").agg(F.min("seq").alias("f")).select("unit", (F.dense_rank().over(Window.orderBy("f")) - 1).alias("col"))
-    row = F.row_number().over(Window.partitionBy("unit").orderBy("seq")) - 1
-    return c.withColumn("row", row).join(units, "unit").select("id", (F.col("col") * 260 + 50).cast("long").alias("x"), (F.col("row") * 120 + 50).cast("long").alias("y"))
+    return views.graph(spark, d).layout()
 
 
 _FLIP = "(SELECT min(u) FROM m)"
@@ -444,11 +556,12 @@ def toggle_mastery(spark, d):
     all_ = views.mastery(spark, d)
     least = all_.agg(F.min("user_id")).first()[0]
     old = all_.where(F.col("user_id") != least)
-    flips = old.select("user_id").distinct().crossJoin(all_.where(F.col("user_id") == least).select("concept_id"))
-    return old.unionByName(flips).groupBy("user_id", "concept_id").agg(F.count("*").alias("n")).where("n = 1").select("user_id", "concept_id")
+    return recommend.toggled(old, old.select("user_id").distinct().crossJoin(all_.where(F.col("user_id") == least).select("concept_id")))
 
 
-@query("SELECT c.id, c.name, c.unit, c.description, c.unit_number, (SELECT count(*) FROM e WHERE s = c.id) AS out_degree FROM c")
+@query("SELECT c.id, c.name, c.unit, c.description, c.unit_number, 'Course ' || c.unit_number AS course_title, (SELECT count(*) FROM e WHERE s = c.id) AS out_degree FROM c")
 def to_json_roundtrip(spark, d):
-    g = G.PrereqGraph.from_json(views.graph(spark, d).to_json())
-    return g.concepts.join(g.degrees().select("id", "out_degree"), "id").select("id", "name", "unit", "description", "unit_number", "out_degree")
+    g = views.graph(spark, d)
+    g = G.PrereqGraph(g.concepts.withColumn("metadata", F.create_map(F.lit("course_title"), F.concat(F.lit("Course "), "unit_number"))), g.dependencies)
+    g = G.PrereqGraph.from_json(g.to_json())
+    return g.concepts.join(g.degrees().select("id", "out_degree"), "id").select("id", "name", "unit", "description", "unit_number", F.col("metadata")["course_title"].alias("course_title"), "out_degree")

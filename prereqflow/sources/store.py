@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, strip
-from ..operators.graph import CONCEPTS, PrereqGraph
+from ..operators.graph import CONCEPTS, DEPENDENCIES, METADATA, PrereqGraph
 
+# Fixed value: a message that callers compare.
+NO_PAGES = "PDF document contains no pages."
 OUTLINE = "course_title string, course_code string, units array<struct<unit_number: int, title: string, topics: array<struct<id: string, name: string, unit_number: int, unit_title: string>>>>"
 
 
@@ -25,7 +27,7 @@ def read_graph(spark: SparkSession, path: str) -> PrereqGraph:
 
 def reload(concepts: DataFrame, dependencies: DataFrame, zero_is_one: bool = False) -> PrereqGraph:
     """Nulls get their defaults; edges with a missing end are skipped. zero_is_one: as stores that take a confidence of 0 for none."""
-    concepts = concepts.select("seq", "id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("description", F.lit("")).alias("description"), "unit_number")
+    concepts = concepts.select("seq", "id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("description", F.lit("")).alias("description"), "unit_number", *[c for c in concepts.columns if c == "metadata"])
     confidence = F.coalesce("confidence", F.lit(1.0))
     edges = dependencies.select(
         "seq", "source_id", "target_id", F.coalesce("relationship_type", F.lit("prerequisite")).alias("relationship_type"),
@@ -52,9 +54,9 @@ def replace_progress(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.select("user_id", "concept_id", "status").join(incoming.select("user_id").distinct(), "user_id", "left_anti").unionByName(new)
 
 
-def save_outline(outlines: DataFrame, path: str) -> None:
-    """Appends outlines with a random id of their own and the time of writing."""
-    rows = outlines.withColumn("id", F.concat(F.lit("syl_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))).withColumn("created_at", F.current_timestamp())
+def save_outline(outlines: DataFrame, path: str, user_id: str | None = None) -> None:
+    """Appends outlines with a random id of their own, their owner (null: none) and the time of writing."""
+    rows = outlines.withColumn("user_id", F.lit(user_id).cast("string")).withColumn("id", F.concat(F.lit("syl_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))).withColumn("created_at", F.current_timestamp())
     rows.write.mode("append").parquet(path)
 
 
@@ -63,8 +65,11 @@ def read_outlines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def topics_of_outlines(outlines: DataFrame) -> DataFrame:
-    unit = outlines.select("course_title", "course_code", F.posexplode("units").alias("unit_pos", "u"))
-    return unit.select("course_title", "course_code", "unit_pos", "u.unit_number", "u.title", F.posexplode("u.topics").alias("topic_pos", "t")).select("course_title", "course_code", "unit_pos", "unit_number", F.col("title").alias("unit_title"), "topic_pos", "t.id", "t.name")
+    """A row for each topic of parsed outlines, as syllabus.graph_of_topics takes them; an outline's doc_id is its own, or a hash of it."""
+    whole = F.col("doc_id") if "doc_id" in outlines.columns else F.xxhash64("course_title", "course_code", F.to_json("units"))
+    head = outlines.select(whole.alias("doc_id"), "course_title", "course_code", F.posexplode("units").alias("unit_pos", "u"))
+    each = head.select("doc_id", "course_title", "course_code", "unit_pos", "u.unit_number", F.col("u.title").alias("unit_title"), F.posexplode("u.topics").alias("topic_pos", "t"))
+    return each.select("doc_id", "course_title", "course_code", "unit_pos", "unit_number", "unit_title", "topic_pos", "t.id", "t.name", F.col("t.unit_number").alias("topic_unit_number"), F.col("t.unit_title").alias("topic_unit_title"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -82,9 +87,11 @@ def read_pdfs(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[s
                 try:
                     if not content:
                         raise ValueError("Empty PDF file provided.")
-                    rows.append((name, "\n\n".join(p.strip() for p in pages_of(content) if p.strip()), None))
+                    if not (pages := list(pages_of(content))):
+                        raise ValueError(NO_PAGES)
+                    rows.append((name, "\n\n".join(p.strip() for p in pages if p.strip()), None))
                 except Exception as e:  # a broken file is a row of its own, not the end of the job
-                    rows.append((name, None, str(e) if not content else f"Failed to open PDF document: {e}"))
+                    rows.append((name, None, str(e) if not content or str(e) == NO_PAGES else f"Failed to open PDF document: {e}"))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "error"])
 
     return files.mapInPandas(run, "doc_id string, text string, error string").withColumn("text", clean_text(F.col("text")))
@@ -92,8 +99,13 @@ def read_pdfs(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[s
 
 def create_tables(spark: SparkSession) -> None:
     spark.sql("CREATE TABLE IF NOT EXISTS user_progress (user_id STRING, concept_id STRING, status STRING) USING parquet PARTITIONED BY (user_id)")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS concepts ({CONCEPTS}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS concepts ({CONCEPTS}, metadata {METADATA}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS dependencies ({DEPENDENCIES}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS outlines ({OUTLINE}, user_id STRING, id STRING, created_at TIMESTAMP) USING parquet")
+
+
+TABLES = ("user_progress", "concepts", "dependencies", "outlines")
 
 
 def status(spark: SparkSession) -> dict[str, bool]:
-    return {t: spark.catalog.tableExists(t) for t in ("user_progress", "concepts")}
+    return {t: spark.catalog.tableExists(t) for t in TABLES}

@@ -53,14 +53,20 @@ def all_dependencies(spark: SparkSession, sf_dir: str, ascending: bool = True) -
 def dependencies(spark: SparkSession, sf_dir: str, ascending: bool = True) -> DataFrame:
     """An edge from each part to the one it most often stands beside, by quantity over all orders (ties: the larger key).
 
-    Ascending: from the smaller key to the larger, so without cycles. Otherwise in the order of lines, so with cycles.
+    Ascending: from the smaller key to the larger, so without cycles, and also to every part of its own unit that it stands beside; so
+    parts have several dependents and paths meet again. Otherwise in the order of lines, so with cycles.
     Quantities are added map-side before each shuffle; a part that stands in very many orders is no more than its pairs after that.
     """
     pairs = steps(spark, sf_dir)
     if ascending:
         pairs = _ascending(pairs)
     weight = pairs.groupBy("a", "b").agg(F.sum("quantity").alias("quantity"))
-    return _edges(weight.groupBy("a").agg(F.max(F.struct("quantity", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    strongest = weight.groupBy("a").agg(F.max(F.struct("quantity", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    if not ascending:
+        return _edges(strongest)
+    size = lambda x: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(x), F.col("p_size").alias(f"_{x}"))
+    inside = weight.join(size("a"), "a").join(size("b"), "b").where("_a = _b").select("a", "b")
+    return _edges(strongest.union(inside).distinct())
 
 
 def graph(spark: SparkSession, sf_dir: str, ascending: bool = True) -> PrereqGraph:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.store import merge
@@ -16,8 +17,8 @@ def upsert_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQue
     spark = events.sparkSession
 
     def write(batch: DataFrame, n: int) -> None:
-        latest = batch.groupBy("user_id", "concept_id").agg({"updated_at": "max"}).withColumnRenamed("max(updated_at)", "updated_at")
-        new = batch.join(latest, ["user_id", "concept_id", "updated_at"]).dropDuplicates(["user_id", "concept_id"])
+        # of states with one time, the last by name
+        new = batch.groupBy("user_id", "concept_id").agg(F.max(F.struct("updated_at", "status")).alias("m")).select("user_id", "concept_id", "m.status", "m.updated_at")
         old = spark.read.parquet(f"{path}/v={n - 1}") if n else new.limit(0)
         merge(old, new, ["user_id", "concept_id"]).write.mode("overwrite").parquet(f"{path}/v={n}")
 

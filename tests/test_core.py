@@ -46,7 +46,7 @@ def test_changes_and_lookups(spark):
         g.add_dependency("ml", " ml")
     with pytest.raises(ConceptNotFound, match="'no' was not found"):
         g.add_dependency("ml", "no")
-    with pytest.raises(InvalidDependency):
+    with pytest.raises(InvalidDependency, match="Dependency from 'ml' to 'prob' does not exist."):
         g.remove_dependency("ml", "prob")
     less = g.remove_concept("stat")
     assert tuple(less.counts().first()) == (2, 0) and tuple(g.remove_dependency("prob", "stat").counts().first()) == (3, 1)
@@ -56,6 +56,32 @@ def test_changes_and_lookups(spark):
     assert ids(back.concepts.orderBy("seq")) == ["prob", "stat", "ml"]
 
 
+def test_json(spark):
+    """Defaults and metadata of what is read; what inserting would refuse is refused."""
+    read = lambda x, **k: PrereqGraph.from_json(spark.createDataFrame([(x,)], "graph string"), **k)
+    g = read('{"nodes": [{"id": "a", "name": "A", "metadata": {"unit_number": 4, "course_title": "T"}}, {"id": " b "}], "edges": [{"source_id": "a", "target_id": "b"}]}')
+    a, b = g.concepts.orderBy("seq").collect()
+    assert (a.id, a.unit, a.description, a.unit_number, a.metadata) == ("a", "", "", 4, {"course_title": "T"}) and (b.id, b.name, b.unit_number, b.metadata) == ("b", "", None, {})
+    e = g.dependencies.first()
+    assert (e.relationship_type, e.confidence, e.reason) == ("prerequisite", 1.0, "")
+    back = PrereqGraph.from_json(g.add_concept("c", "C", unit_number=2, metadata={"week": 3}).to_json()).concepts.orderBy("seq").collect()
+    assert [(r.unit_number, r.metadata) for r in back] == [(4, {"course_title": "T"}), (None, {}), (2, {"week": "3"})]
+    odd = '{"nodes": [{"id": "a"}, {"id": "a"}], "edges": [{"source_id": "a", "target_id": "x"}]}'
+    with pytest.raises(DuplicateConcept):
+        read(odd)
+    assert tuple(read(odd, strict=False).counts().first()) == (1, 0)
+    for nodes, edges, error in (('{"id": "a"}', '{"source_id": "a", "target_id": "x"}', ConceptNotFound), ('{"id": "a"}', '{"source_id": "a", "target_id": "a"}', SelfLoop), ('{"id": " "}', "", ValueError)):
+        with pytest.raises(error):
+            read(f'{{"nodes": [{nodes}], "edges": [{edges}]}}')
+    assert tuple(read('{"nodes": []}').counts().first()) == (0, 0)
+
+
+def test_units_and_layout(spark):
+    g = make(spark, "a,b,c,d", "", {"a": "Unit 2", "c": "Unit 2", "d": "Unit 1"})
+    assert {(r.unit, r.column, r.id, r.row) for r in g.by_unit().collect()} == {("Unit 2", 0, "a", 0), ("General", 1, "b", 0), ("Unit 2", 0, "c", 1), ("Unit 1", 2, "d", 0)}
+    assert {(r.id, r.x, r.y) for r in g.layout().collect()} == {("a", 50, 50), ("b", 310, 50), ("c", 50, 170), ("d", 570, 50)}
+
+
 def test_bulk_changes(spark):
     rows = spark.createDataFrame([(1, "a", "A"), (2, " a ", "B"), (3, "  ", "C"), (4, "b", None)], "seq long, id string, name string")
     kept, rejects = first_concepts(rows)
@@ -136,11 +162,12 @@ def test_cycle_is_the_first_that_a_search_meets(spark):
 def test_graph_views_take_every_row(spark, tmp_path):
     items = [(1, 1, 10, 5.0), (1, 2, 11, 2.0), (1, 3, 12, 9.0), (2, 1, 11, 1.0), (2, 2, 10, 4.0), (3, 1, 10, 1.0), (3, 2, 12, 6.0), (3, 2, 12, 1.0), (4, 1, 10, 3.0)]
     spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(1, 7), (2, 8), (3, 7), (4, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(7, 3, "BUILDING"), (8, 3, "BUILDING"), (9, 0, "MACHINERY")], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     pairs = lambda df: {(r.source_id, r.target_id) for r in df.collect()}
-    # beside each other: 10 and 11 with 2 + 4, 11 and 12 with 9, 10 and 12 with 6: a tie goes to the larger key
-    assert pairs(views.dependencies(spark, str(tmp_path))) == {("p10", "p12"), ("p11", "p12")}
+    # beside each other: 10 and 11 with 2 + 4, 11 and 12 with 9, 10 and 12 with 6: a tie goes to the larger key; 10 and 11 are of one unit
+    assert pairs(views.dependencies(spark, str(tmp_path))) == {("p10", "p12"), ("p11", "p12"), ("p10", "p11")}
     assert pairs(views.dependencies(spark, str(tmp_path), ascending=False)) == {("p10", "p12"), ("p11", "p12")}
     assert pairs(views.step_pairs(spark, str(tmp_path))) == {("p10", "p11"), ("p11", "p12"), ("p11", "p10"), ("p10", "p12")}
     known = {(r.user_id, r.concept_id) for r in views.mastery(spark, str(tmp_path)).collect()}
@@ -207,7 +234,18 @@ def test_analytics(spark):
     g = make(spark, "c1,c2,diff", "c1>diff,c2>diff")
     one = analytics.readiness(g, known(spark, "c1")).first()
     assert (one.is_ready, one.unmet) == (False, ["c2"])
-    assert analytics.readiness(g, known(spark, "c1", "c2")).first().is_ready
+    assert analytics.readiness(g, known(spark, "c1", " c2\t")).first().is_ready
+    assert analytics.readiness(g, known(spark, "other")).count() == 0
+    asked = known(spark, "diff ", "c1")
+    assert {r.concept_id: r.unmet for r in analytics.readiness(g, known(spark, "other"), asked).collect()} == {"diff": ["c1", "c2"], "c1": []}
+    r = analytics.concept_readiness(g, " c1", known(spark, "other")).first()
+    assert (r.concept_id, r.concept_name, r.is_ready, r.unmet) == ("c1", "C1", True, [])
+    for ask in (lambda: analytics.readiness(g, known(spark, "c1"), known(spark, "ghost")), lambda: analytics.concept_readiness(g, "ghost", known(spark, "c1"))):
+        with pytest.raises(ConceptNotFound):
+            ask()
+    ring = make(spark, "a,b,c", "a>b,b>a")
+    assert analytics.missing_prerequisites(ring, "c", known(spark, "a")).first().progress_percentage == 100.0  # asks for no order
+    assert [x.rank for x in top] == [1, 2, 3, 4, 5]
 
 
 def test_recommendations(spark):
@@ -226,12 +264,40 @@ def test_recommendations(spark):
         recommend.recommend(g, known(spark, "calc"), "nothing")
 
 
+def test_recommendations_are_the_best_of_all_scores(spark):
+    """Against the ranking of every user and concept, with users who know nothing, much and all."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    names = [f"n{i}" for i in range(30)]
+    edges = [f"{a}>{b}" for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.05]
+    g = make(spark, ",".join(names), ",".join(edges))
+    g = PrereqGraph(g.concepts.withColumn("unit_number", (F.col("seq") % 5).cast("int")), g.dependencies)
+    rows = [(u, c) for u in range(12) for c in rng.sample(names, rng.choice([1, 3, 10, 30]))] + [(99, "ghost"), (98, "\tn3\n")]
+    mastery = spark.createDataFrame(rows, "user_id int, concept_id string")
+    for target, k in ((None, 2), ("n20", 5), (None, 1000)):
+        place = F.row_number().over(Window.partitionBy("user_id", "status").orderBy(F.desc("score"), "seq"))
+        want = recommend.scored(g, mastery, target).where("status IS NOT NULL").withColumn("rank", place).where(F.col("rank") <= k)
+        columns = ["user_id", "status", "rank", "id", "score", "unmet", "downstream", "readiness_ratio", "reason"]
+        take = lambda df, columns=columns: sorted(tuple(r) for r in df.select(*columns).collect())
+        assert take(recommend.recommend(g, mastery, target, k)) == take(want)
+    now = {r.user_id: r.n for r in recommend.scored(g, mastery).where("status = 'NOW'").groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+    for r in recommend.study_summary(g, mastery).collect():
+        mine = {c.strip() for u, c in rows if u == r.user_id} & set(names)
+        assert (r.known, r.ready_now_count, r.total_topics_count, r.mastery_percentage) == (len(mine), now.get(r.user_id, 0), 30, round(len(mine) / 30 * 100, 1))
+    flips = recommend.toggled(known(spark, "a", "b", "b"), known(spark, "b", "c"))
+    assert sorted(ids(flips, "concept_id")) == ["a", "c"]
+
+
 def test_inference(spark):
     names = [(0, "la", "Linear Algebra and Matrices", "Unit 1: Foundations", "", 1), (1, "dl", "Deep Neural Networks", "Unit 3: Advanced ML", "", 3), (2, "zero", "Zero", "", "", None)]
     g = PrereqGraph(spark.createDataFrame(names, CONCEPTS), spark.createDataFrame([], DEPENDENCIES))
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 0.0])], "seq long, embedding array<double>")
     e = infer.infer_prerequisites(g, vectors, 0.25, 0.45).collect()
     assert [(r.source_id, r.target_id, r.confidence, r.relationship_type) for r in e] == [("la", "dl", 0.66, "inferred_prerequisite")]
+    assert e[0].reason == "Inferred via local SentenceTransformer embeddings (similarity: 0.60) and unit precedence (Unit 1: Foundations -> Unit 3: Advanced ML)."
+    assert [r.text for r in infer.node_texts(g).orderBy("seq").collect()] == ["Linear Algebra and Matrices. Unit 1: Foundations. ", "Deep Neural Networks. Unit 3: Advanced ML. ", "Zero. . "]
     with_edge = PrereqGraph(g.concepts, spark.createDataFrame([(1, "dl", "la", "prerequisite", 1.0, "")], DEPENDENCIES))
     assert infer.infer_prerequisites(with_edge, vectors, 0.25, 0.45).count() == 0
 
@@ -247,6 +313,37 @@ def test_greedy_insertion_closes_no_cycle(spark):
     assert infer.infer_prerequisites(ring, vectors).count() == 0
 
 
+def test_greedy_insertion_is_that_of_plain_python(spark):
+    rng = random.Random(21)
+    n = 16
+    names = [(i, f"v{i}", f"Topic {i}", f"Unit {rng.randint(1, 3)}", "", None) for i in range(n)]
+    edges = [(i, f"v{a}", f"v{b}", "prerequisite", 1.0, "") for i, (a, b) in enumerate({tuple(rng.sample(range(n), 2)) for _ in range(9)} - {(0, 0)})]
+    g = PrereqGraph(spark.createDataFrame(names, CONCEPTS), spark.createDataFrame(edges, DEPENDENCIES))
+    while cycle := sequence.find_cycle(g):
+        g = g.remove_dependency(*cycle[:2])
+    vectors = spark.createDataFrame([(i, [rng.random(), rng.random(), rng.random()]) for i in range(n)], "seq long, embedding array<double>")
+    out = {}
+    for r in g.dependencies.collect():
+        out.setdefault(r.source_id, set()).add(r.target_id)
+
+    def reaches(a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            for x in out.get(todo.pop(), set()) - seen:
+                seen.add(x)
+                todo.append(x)
+        return b in seen
+
+    want, refused = set(), 0
+    for r in infer.candidates(g, vectors).orderBy("seq_a", "seq_b").collect():
+        if reaches(r.target_id, r.source_id):
+            refused += 1
+        else:
+            out.setdefault(r.source_id, set()).add(r.target_id)
+            want.add((r.source_id, r.target_id))
+    assert {(r.source_id, r.target_id) for r in infer.infer_prerequisites(g, vectors).collect()} == want and refused > 3
+
+
 OUTLINE = "CS101: Introduction to Computer Science\n\nUnit 1: Python Basics\n• Variables and Data Types\n• Control Flow (If, Loops)\n\nUnit 2: Object-Oriented Programming\n• Classes and Objects\n• Inheritance and Polymorphism\n"
 
 
@@ -267,6 +364,25 @@ def test_outlines(spark):
     assert (e.source_id, e.target_id, e.confidence, e.reason) == ("variables_and_data_types", "control_flow_if_loops", 0.8, "Sequential topic order within Unit 1: Unit 1: Python Basics")
     more = syllabus.build_graph(docs.where("doc_id = 1"), into=g)
     assert tuple(more.counts().first()) == (7, 2)
+    c = g.concepts.orderBy("seq").first()
+    assert (c.unit_number, c.metadata) == (1, {"unit_title": "Unit 1: Python Basics", "course_code": "CS101", "course_title": "Introduction to Computer Science"})
+    built = syllabus.study_plan(docs.where("doc_id = 0"))
+    assert [tuple(r) for r in built.stats.collect()] == [(0, "Introduction to Computer Science", "CS101", 4, 2, 2)]
+    assert tuple(built.summary.first()) == ("Successfully built Knowledge Graph with 4 nodes from 'Introduction to Computer Science'", 4, 2)
+    assert ids(built.order.orderBy("pos"))[:1] == ["variables_and_data_types"] and built.order.count() == 4
+    again = syllabus.study_plan(docs.where("doc_id < 2"), into=built.graph)
+    assert {r.doc_id: (r.nodes_added, r.edges_added) for r in again.stats.collect()} == {0: (0, 0), 1: (3, 1)} and again.summary.first().node_count == 7
+    assert syllabus.study_plan(docs.limit(0)).order.count() == 0
+
+
+def test_graph_of_parsed_outlines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sequence, "ONE_TASK", 1)  # places by ranges
+    (tmp_path / "o.json").write_text('{"course_title":"T","course_code":"C1","units":[{"unit_number":1,"title":"U","topics":[{"id":"bfs","name":"BFS","unit_number":9,"unit_title":"V"},{"id":"dfs","name":"DFS"},{"id":"bfs","name":"again"}]},{"unit_number":2,"title":"","topics":[{"id":"dfs","name":"DFS"},{"id":"mst","name":"MST"}]}]}')
+    parsed = store.topics_of_outlines(store.read_outlines(spark, str(tmp_path / "o.json")))
+    g, stats = syllabus.graph_of_topics(parsed, sequential=True)
+    assert [(r.id, r.name, r.unit, r.unit_number, r.metadata["unit_title"]) for r in g.concepts.orderBy("seq").collect()] == [("bfs", "BFS", "Unit 1: U", 9, "V"), ("dfs", "DFS", "Unit 1: U", 1, "U"), ("mst", "MST", "Unit 2", 2, "")]
+    assert [(r.source_id, r.target_id, r.reason[-9:]) for r in g.dependencies.orderBy("seq").collect()] == [("bfs", "dfs", "Unit 1: U"), ("dfs", "bfs", "Unit 1: U"), ("dfs", "mst", "in Unit 2")]
+    assert tuple(stats.drop("doc_id").first()) == ("T", "C1", 3, 3, 2)
 
 
 def test_stores(spark, tmp_path):
@@ -290,19 +406,21 @@ def test_stores(spark, tmp_path):
 
     rows = sorted((r.text or "", r.error) for r in store.read_pdfs(spark, str(tmp_path), pages).collect())
     assert rows == [("", "Failed to open PDF document: no pages"), ("Data Structures\n\nx", None)]
+    assert {r.error for r in store.read_pdfs(spark, str(tmp_path), lambda _: []).collect()} == {"PDF document contains no pages."}
     (tmp_path / "o.json").write_text('{"course_title":"T","course_code":"C","units":[{"unit_number":1,"title":"U","topics":[{"id":"bfs","name":"BFS"},{"id":"dfs","name":"DFS"}]}]}')
     assert ids(store.topics_of_outlines(store.read_outlines(spark, str(tmp_path / "o.json"))).orderBy("topic_pos")) == ["bfs", "dfs"]
-    store.save_outline(store.read_outlines(spark, str(tmp_path / "o.json")), str(tmp_path / "saved"))
-    assert spark.read.parquet(str(tmp_path / "saved")).first().id.startswith("syl_")
+    store.save_outline(store.read_outlines(spark, str(tmp_path / "o.json")), str(tmp_path / "saved"), "u7")
+    saved = spark.read.parquet(str(tmp_path / "saved")).first()
+    assert saved.id.startswith("syl_") and saved.user_id == "u7"
     store.create_tables(spark)
-    assert store.status(spark) == {"user_progress": True, "concepts": True}
+    assert store.status(spark) == dict.fromkeys(store.TABLES, True)
 
 
 def test_progress_stream(spark, tmp_path):
     from prereqflow.streaming.progress import upsert_stream
 
     ddl = "user_id string, concept_id string, status string, updated_at long"
-    for i, rows in enumerate(([("u", "a", "in_progress", 1), ("u", "b", "known", 1)], [("u", "a", "known", 2)])):
+    for i, rows in enumerate(([("u", "a", "in_progress", 1), ("u", "b", "known", 1)], [("u", "a", "blocked", 2), ("u", "a", "known", 2)])):
         spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         events = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
         upsert_stream(events, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
