@@ -18,19 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives the executor that wrote it.
-
-    The folder is the one that the session names in spark.checkpoint.dir; a folder of our own
-    is set only where none is named, as in tests.
-    """
+    """Cut the lineage with a reliable checkpoint, which outlives the executor that wrote it."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. A local session without one, as in tests, gets a temporary folder;
+    on a cluster that's an error, as no folder is known to be shared."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 

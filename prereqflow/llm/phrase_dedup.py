@@ -1,9 +1,10 @@
 """Repeated word windows by sharded Aho-Corasick automata (see repeats.py for the exchange).
 
-Documents are cut into the passages around repeated anchors; a bucket gets the passages of its anchors. There, the
-windows that occur twice or more are confirmed, compiled into automata of bounded size, and every passage is run through the
-automaton of its shard, which reports each occurrence. A window and its copies always meet in one shard, as shards
-are cut between anchors.
+Every document is streamed through step 1 and cut into the passages around repeated anchors; a bucket gets the passages of its
+anchors. There, windows whose hash recurs are confirmed word by word and compiled into automata of bounded size, and every
+passage is streamed through the automaton of its shard, which alone says where each phrase occurs. A window and its copies
+always meet in one shard, as shards are cut between anchors. No other passage can hold a phrase of that shard, which is why whole documents
+don't go through every shard.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .hashing import words
+from .hashing import mix, rolling, words
 from .repeats import Method, dump, load, remove_repeats
 
 WINDOW, K = 20, 8
@@ -29,7 +30,7 @@ def _spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return words(np.frombuffer(text, np.uint8))[:2]
 
 
-def encode(ready, ids, doc, anchor, first, last, h, window: int = WINDOW) -> tuple[bytes, np.ndarray]:
+def encode(ready, place, doc, anchor, first, last, h, window: int = WINDOW) -> tuple[bytes, np.ndarray]:
     """The passages without copies, words joined by a space, one passage a line; and which are copies of an earlier one.
 
     Rows come by hash, then in document order, so the first of equal passages is the first copy."""
@@ -47,9 +48,9 @@ def encode(ready, ids, doc, anchor, first, last, h, window: int = WINDOW) -> tup
             seen.add(key)
             keep.append(i)
             lines.append(line)
-    own = np.array([np.iinfo(np.int64).max if ids[doc[i]] is None else ids[doc[i]] for i in keep], np.int64)
     k = np.array(keep, np.int64)
-    return dump(doc[k].astype(np.int32), own, first[k].astype(np.int64), (last[k] - first[k]).astype(np.int16), h[k], b"\n".join(lines)), np.array(same, np.int64)
+    d = doc[k]
+    return dump(d.astype(np.int32), place[0][d], place[1][d], first[k].astype(np.int64), (last[k] - first[k]).astype(np.int16), h[k], b"\n".join(lines)), np.array(same, np.int64)
 
 
 def _shards(h: np.ndarray, windows: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -62,24 +63,31 @@ def _shards(h: np.ndarray, windows: np.ndarray) -> Iterator[tuple[int, int]]:
             begin = int(e)
 
 
+def _confirmed(flat: np.ndarray, edges: np.ndarray, window: int) -> list[tuple]:
+    """The distinct windows that may recur: those whose hash occurs twice or more. Should hashes collide, each of the windows."""
+    h = rolling(mix(flat.astype(np.uint64) + np.uint64(1)), window)
+    inside = np.ones(len(h), bool)
+    for e in edges[1:-1]:
+        inside[max(0, e - window + 1) : e] = False
+    at = np.flatnonzero(inside)
+    _, first, of, count = np.unique(h[at], return_index=True, return_inverse=True, return_counts=True)
+    views = np.lib.stride_tricks.sliding_window_view(flat, window) if len(h) else flat.reshape(0, 1)
+    found = [tuple(x) for x in views[at[first[count > 1]]].tolist()]
+    again = count[of] > 1
+    other = at[again][(views[at[again]] != views[at[first[of[again]]]]).any(axis=1)]
+    return found + list({tuple(x) for x in views[other].tolist()} - set(found) if len(other) else ())
+
+
 def _locate(lines: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard: row, start and number of each occurrence of each recurring window."""
     number: dict[bytes, int] = {}
     rows = [tuple([number.setdefault(w, len(number)) for w in line.split(b" ")]) for line in lines]
-    count: dict[tuple, int] = {}
-    for r in rows:
-        for i in range(len(r) - window + 1):
-            x = r[i : i + window]
-            count[x] = count.get(x, 0) + 1
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    n = 0
-    for x, c in count.items():
-        if c > 1:
-            machine.add_word(x, n)
-            n += 1
-    del count
-    if not n:
+    phrases = _confirmed(np.array([x for r in rows for x in r], np.int64), np.cumsum([0, *map(len, rows)]), window)
+    if not phrases:
         return (np.zeros(0, np.int64),) * 3
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for n, x in enumerate(phrases):
+        machine.add_word(x, n)
     machine.make_automaton()
     row, start, found = [], [], []
     for j, r in enumerate(rows):
@@ -94,8 +102,8 @@ def find(blobs: list[bytes], window: int = WINDOW) -> list[tuple[np.ndarray, ...
     """Spans (document, start, end) of repeated windows of each chunk's passages."""
     got = [load(b) for b in blobs]
     sizes = [len(g[0]) for g in got]
-    doc, own, first, more, h = (np.concatenate([g[j] for g in got]) for j in range(5))
-    lines = [line for g in got for line in g[5].split(b"\n")]
+    doc, own, check, first, more, h = (np.concatenate([g[j] for g in got]) for j in range(6))
+    lines = [line for g in got for line in g[6].split(b"\n")]
     chunk = np.repeat(np.arange(len(got)), sizes)
     order = np.argsort(h, kind="stable")
     least, most = np.full(len(doc), 1 << 30, np.int64), np.full(len(doc), -1, np.int64)
@@ -105,7 +113,7 @@ def find(blobs: list[bytes], window: int = WINDOW) -> list[tuple[np.ndarray, ...
         if not len(row):
             continue
         at = mine[row]
-        by = np.lexsort((first[at] + start, doc[at], own[at], phrase))
+        by = np.lexsort((first[at] + start, doc[at], check[at], own[at], phrase))
         again = by[1:][phrase[by[1:]] == phrase[by[:-1]]]
         np.minimum.at(least, at[again], start[again])
         np.maximum.at(most, at[again], start[again])
@@ -130,7 +138,7 @@ def phrase_dedup(df: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
     """doc_id, n_words, n_removed, kept_sha256 and (kept) kept_text: each document without the words of `window`-word
     passages that also start earlier; kept words are joined by one space.
 
-    Null text: no word. Null id: after all others. Repeated rows with one id: ordered by text, and the later repeats the
+    Null text: no word. Null id: after all others. Repeated rows with one id: ordered by a checksum of the text, and the later repeats the
     earlier. Documents shorter than a window: whole. Empty input: no row. Columns that aren't named are ignored.
     """
     if not k <= window:
@@ -149,6 +157,7 @@ def phrase_dedup(df: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phrase_dedup() over all documents, 20 words."""
     return phrase_dedup(table(spark, sf_dir, "documents"), kept=False)
 
 

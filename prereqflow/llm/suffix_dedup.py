@@ -4,7 +4,8 @@ Each chunk sorts the suffixes that begin at its repeated anchors and front-codes
 it shares with the one before it, and the rest. A bucket combines the runs of all chunks by a loser tree that keeps,
 for each run's head, the prefix known to be shared with the last winner, so that no known prefix is compared
 again. The merge yields every suffix's common prefix with its neighbour; two windows that have their anchor after
-o bytes are equal if these common prefixes don't fall below W - o between them, and the o bytes before the anchors agree.
+o bytes are equal if these common prefixes don't fall below W - o between them, and the o bytes before the anchors agree
+(found by their hash, then compared).
 """
 
 from __future__ import annotations
@@ -43,15 +44,15 @@ def prepare(texts: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join([*(bytes(reach) + t for t in texts), bytes(256)]), np.uint8), np.cumsum(sizes) - sizes + reach
 
 
-def encode(ready, ids, doc, anchor, first, last, h, window: int = WINDOW, k: int = K) -> tuple[bytes, np.ndarray]:
+def encode(ready, place, doc, anchor, first, last, h, window: int = WINDOW, k: int = K) -> tuple[bytes, np.ndarray]:
     """The front-coded run of these segments, without copies; and which are copies of a segment of a smaller document or start."""
     buf, base = ready
     reach = window - k
-    place = base[doc] + anchor
+    at = base[doc] + anchor
     after, before = last - anchor + window, anchor - first
-    right = _rows(buf, place, window)
+    right = _rows(buf, at, window)
     right[np.arange(window) >= after[:, None]] = 0
-    left = _rows(buf, place - reach, reach)
+    left = _rows(buf, at - reach, reach)
     left[np.arange(reach) < reach - before[:, None]] = 0
     key = np.concatenate([right, left, after[:, None].astype(np.uint8), before[:, None].astype(np.uint8)], axis=1)
     text = np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel()
@@ -65,8 +66,8 @@ def encode(ready, ids, doc, anchor, first, last, h, window: int = WINDOW, k: int
     column = np.arange(window)
     rest = m[(column >= shared[:, None]) & (column < length[:, None])]
     lefts = left[order][np.arange(reach) >= reach - before[order][:, None]]
-    own = np.array([np.iinfo(np.int64).max if ids[d] is None else ids[d] for d in doc[order].tolist()], np.int64)
-    return dump(shared.astype(np.uint8), length.astype(np.uint8), before[order].astype(np.uint8), doc[order].astype(np.int32), own, anchor[order].astype(np.int64), rest.tobytes(), lefts.tobytes()), np.flatnonzero(same)
+    d = doc[order]
+    return dump(shared.astype(np.uint8), length.astype(np.uint8), before[order].astype(np.uint8), d.astype(np.int32), place[0][d], place[1][d], anchor[order].astype(np.int64), rest.tobytes(), lefts.tobytes()), np.flatnonzero(same)
 
 
 def loser_tree_merge(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -142,7 +143,7 @@ def loser_tree_merge(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[
 
 
 def _decode(blob: bytes, window: int, reach: int):
-    shared, length, before, doc, own, anchor, rest, lefts = load(blob)
+    shared, length, before, doc, own, check, anchor, rest, lefts = load(blob)
     n, column = len(shared), np.arange(window)
     m = np.zeros((n, window), np.uint8)
     fresh = (column >= shared[:, None]) & (column < length[:, None])
@@ -153,7 +154,14 @@ def _decode(blob: bytes, window: int, reach: int):
     m[column >= length[:, None]] = 0
     left = np.zeros((n, reach), np.uint8)
     left[np.arange(reach) >= reach - before[:, None].astype(np.int64)] = np.frombuffer(lefts, np.uint8)
-    return m, shared, length.astype(np.int64), left, before.astype(np.int64), doc, own, anchor
+    return m, shared, length.astype(np.int64), left, before.astype(np.int64), doc, own, check, anchor
+
+
+def _neighbours(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that follow each other with equal keys, in the order given: the one before, the one after."""
+    by = np.argsort(key, kind="stable")
+    same = key[by[1:]] == key[by[:-1]]
+    return rows[by[:-1][same]], rows[by[1:][same]]
 
 
 def find(blobs: list[bytes], window: int = WINDOW, k: int = K) -> list[tuple[np.ndarray, ...]]:
@@ -171,9 +179,9 @@ def find(blobs: list[bytes], window: int = WINDOW, k: int = K) -> list[tuple[np.
     place = np.empty(len(run), np.int64)
     place[by_run] = np.arange(len(run))
     cat = lambda j: np.concatenate([r[j] for r in runs])[place]
-    length, left, before, doc, own, anchor = (cat(j) for j in range(2, 8))
+    length, left, before, doc, own, check, anchor = (cat(j) for j in range(2, 9))
     lcp = np.array(lcp, np.int64)
-    rank = np.lexsort((anchor, doc, own))  # doc settles repeated ids within a chunk
+    rank = np.lexsort((anchor, doc, check, own))  # rows of one id and text are in one chunk, where doc settles them
     low, high = window - length, before  # windows of a segment have their anchor after low to high bytes
     hl, values, pw = np.zeros(len(run), U), byte_values(left), powers(reach + 1)[0]
     least, most = np.full(len(run), window, np.int64), np.full(len(run), -1, np.int64)
@@ -185,8 +193,11 @@ def find(blobs: list[bytes], window: int = WINDOW, k: int = K) -> list[tuple[np.
             continue
         group = np.cumsum(lcp < window - o).astype(U)
         key = mix(hl[active] ^ mix(group[active] + U(1)))
-        by = np.argsort(key, kind="stable")
-        again = active[by[1:][key[by[1:]] == key[by[:-1]]]]
+        one, two = _neighbours(active, key)
+        if (left[one, reach - o :] != left[two, reach - o :]).any() or (group[one] != group[two]).any():  # hashes that collide
+            whole = np.concatenate([group[active].reshape(-1, 1).view(np.uint8), left[active, reach - o :]], axis=1)
+            one, two = _neighbours(active, np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_inverse=True)[1])
+        again = two
         least[again] = np.minimum(least[again], o)
         most[again] = o
     # two of a segment's windows start reach bytes apart at most, less than a window: what they cover is one span
@@ -212,7 +223,7 @@ def suffix_dedup(df: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (kept) kept_bytes: each document without the bytes of
     `window`-byte strings that also start earlier.
 
-    Null text: as an empty one. Null id: after all others. Repeated rows with one id: ordered by text, and the later repeats the
+    Null text: as an empty one. Null id: after all others. Repeated rows with one id: ordered by a checksum of the text, and the later repeats the
     earlier. Documents shorter than a window: whole. Empty input: no row. Columns that aren't named are ignored.
     """
     if not k <= window <= 255:
@@ -231,13 +242,16 @@ def suffix_dedup(df: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suffix_dedup() over all documents, 100 bytes."""
     return suffix_dedup(table(spark, sf_dir, "documents"), kept=False)
 
 
+#: The hexadecimal text is cut into overlapping pieces of 1,000 bytes first, so that no window is looked up deep in a long string.
 OP2_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-g AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS i, h FROM d WHERE len(h) >= 200),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(h, 2 * i + 1, 200)) ORDER BY doc_id, i) AS k FROM g),
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 2198) AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2, 1), 1000)) AS p FROM d)),
+g AS (SELECT doc_id, p + i AS i, substr(h, 2 * i + 1, 200) AS x FROM (SELECT doc_id, p, h, unnest(range(0, least(1000, len(h) // 2 - 99))) AS i FROM c WHERE len(h) >= 200)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(x) ORDER BY doc_id, i) AS k FROM g),
 p AS (SELECT doc_id, i, i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 100 AS new FROM r WHERE k > 1),
 q AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM p),
 s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM q GROUP BY doc_id, s),

@@ -6,10 +6,21 @@ import re
 
 import pytest
 
+from prereqflow.llm import hashing, phrase_dedup as phrases, repeats, suffix_dedup as suffixes
 from prereqflow.llm.phrase_dedup import phrase_dedup
 from prereqflow.llm.suffix_dedup import loser_tree_merge, suffix_dedup
 
 
+@pytest.fixture(params=["one chunk", "many chunks", "all anchors hot"])
+def dealt(request, monkeypatch):
+    """How texts are dealt; the sizes are read by the driver."""
+    if request.param != "one chunk":
+        monkeypatch.setattr(repeats, "CHUNK", 1500)
+        monkeypatch.setattr(repeats, "BUCKET", 2500)
+    if request.param == "all anchors hot":
+        monkeypatch.setattr(repeats, "HOT", 2)
+
+
 def _covered(docs, window):
     """Flags of symbols in windows that also start earlier; docs in order."""
     seen, out = set(), []
@@ -33,7 +44,7 @@ def _rows(seed, alphabet, n=50):
 
 
 @pytest.mark.parametrize(("window", "k", "alphabet"), [(100, 32, "abcdé \n"), (20, 8, "abc\x00"), (12, 5, "ab")])
-def test_suffix_dedup(spark, window, k, alphabet):
+def test_suffix_dedup(spark, dealt, window, k, alphabet):
     rows = _rows(window, alphabet)
     df = spark.createDataFrame([(t, 1, d) for d, t in rows], "text string, key int, doc_id long")
     got = {r.doc_id: r for r in suffix_dedup(df, window, k).collect()}
@@ -48,7 +59,7 @@ def test_suffix_dedup(spark, window, k, alphabet):
 
 
 @pytest.mark.parametrize(("window", "k"), [(20, 8), (5, 2)])
-def test_phrase_dedup(spark, window, k):
+def test_phrase_dedup(spark, dealt, window, k):
     rng = random.Random(window)
     words = ["a", "b", "été", "dog", "x,y", "\x85"]
     pool = [[rng.choice(words) for _ in range(rng.randint(3, 60))] for _ in range(8)]
@@ -73,9 +84,39 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")
     assert sorted(r.n_removed for r in suffix_dedup(df).collect()) == [0, 150, 150]
     assert {r.doc_id: r.n_removed for r in suffix_dedup(df).collect()}[None] == 150
+    # other texts with the same id: each repeats what an earlier one in the order of checksums holds
+    more = spark.createDataFrame([(None, t + x) for x in "xyz"], df.schema)
+    assert sorted(r.n_removed for r in suffix_dedup(more).collect()) == [0, 150, 150]
     assert suffix_dedup(df.limit(0)).count() == phrase_dedup(df.limit(0)).count() == 0
 
 
+def test_long_documents_and_small_shards(monkeypatch):
+    """Documents that are hashed in parts, automata of a few phrases, and hashes that all collide, in one process."""
+    rng = random.Random(5)
+    monkeypatch.setattr(hashing, "BLOCK", 64)
+    monkeypatch.setattr(phrases, "SHARD", 3)
+    monkeypatch.setattr(suffixes, "mix", lambda h: h & suffixes.U(3))
+    monkeypatch.setattr(phrases, "mix", lambda h: h & suffixes.U(1))
+    for symbols in ("ab", "abcdefgh"):
+        texts = ["".join(rng.choice(symbols) for _ in range(rng.randint(0, 500))).encode() for _ in range(12)]
+        texts[7] = texts[2] + texts[3]
+        for window, k, values, prepare, encode, find, unit in (
+            (12, 5, lambda t: hashing.byte_values(hashing.np.frombuffer(t, "u1")), lambda ts: suffixes.prepare(ts, 7), lambda *a: suffixes.encode(*a, 12, 5), lambda b: suffixes.find(b, 12, 5), lambda t: t),
+            (6, 3, lambda t: hashing.words(hashing.np.frombuffer(t, "u1"))[2], lambda ts: (ts, {}), lambda *a: phrases.encode(*a, 6), lambda b: phrases.find(b, 6), lambda t: t.split()),
+        ):
+            texts_ = texts if unit(b"a b") == b"a b" else [b" ".join(t[i : i + 1] for i in range(len(t))) for t in texts]
+            got = list(hashing.anchors((values(t) for t in texts_), window, k))
+            doc, anchor, first, last, h = (hashing.np.concatenate(c) for c in zip(*got, strict=True))
+            by = hashing.np.lexsort((anchor, doc, h))
+            place = hashing.np.arange(12), hashing.np.zeros(12, hashing.np.int64)
+            blob, same = encode(prepare(texts_), place, doc[by], anchor[by], first[by], last[by], h[by])
+            gone = [[False] * len(unit(t)) for t in texts_]
+            own = [(d, f, e + window) for d, f, e in zip(doc[by][same], first[by][same], last[by][same], strict=True)]
+            for d, a, b in [*zip(*find([blob])[0], strict=True), *own]:
+                gone[d][a:b] = [True] * (b - a)
+            assert gone == _covered([list(unit(t)) for t in texts_], window)
+
+
 def test_loser_tree():
     rng = random.Random(1)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(rng.randint(0, 30))) for _ in range(7)]
