@@ -1,15 +1,16 @@
 """MinHash near-duplicates by a multi-index Hamming join of b-bit signatures.
 
 A signature of CHUNKS * WIDTH b-bit minima is split into chunks; two signatures that differ in at most
-2 * CHUNKS - 1 places have, by pigeonhole, a chunk with one difference at most. So each chunk enumerates its allowed
-errors, one key for each place left out, and such pairs share a key for certain (most pairs beyond do as well).
+GUARANTEED = 2 * CHUNKS - 1 places have, by pigeonhole, a chunk with one difference at most. So each chunk enumerates its
+allowed errors, one key for each place left out, and such pairs share a key for certain. No threshold in use is above
+that distance, so the index finds every pair that the threshold accepts.
 
-1. Documents with one shingle set are one class, whatever their number: only its smallest id goes on.
+1. Documents with one shingle set are one class, a node of the graph, whatever their number.
 2. Keys that two or more classes share are groups; of keys with the same members one is kept. Inside a
-   group, signatures are compared in blocks, and the pairs near enough join classes to families. A group or
-   family gives fewer links than it has members, never its pairs.
-3. Families meet with their whole texts, in blocks of bounded size; shared shingles are counted exactly for
-   all pairs of a block by a product of incidence matrices, and pairs that reach the similarity are links.
+   group, signatures are compared in blocks, and the pairs near enough join classes to families. A block
+   gives fewer links than it has members, never its pairs, and follows a large component in waves without comparing all of them.
+3. Families meet with their whole texts, in blocks of the same kind; shared shingles are counted exactly
+   by a product of incidence matrices, and pairs that reach the similarity are links.
 4. Components of the links, then of all documents of a class.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,14 @@ from .components import components
 from .hashing import mix, rolling, words
 
 U = np.uint64
-CHUNKS, WIDTH, BITS = 10, 6, 16
+CHUNKS, WIDTH, BITS = 16, 4, 16
 VALUES = CHUNKS * WIDTH
+GUARANTEED = 2 * CHUNKS - 1
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * U(2) + U(1)
-#: Members compared with each other at once.
-BLOCK = 1024
+#: Members compared with each other at once; those of them that go to every block of a larger group; tasks for such a group.
+BLOCK, PIVOTS, SALT = 1024, 64, 16
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -70,31 +72,37 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return out.reshape(len(sig), -1).astype(np.int64)
 
 
-def signature_distance(similarity: float) -> int:
-    """Differing places that a pair of this similarity has with a probability of under one in a million."""
-    return min(VALUES, math.ceil(VALUES * (1 - similarity) + 5.5 * math.sqrt(VALUES * similarity * (1 - similarity))))
+def signature_distance(similarity: float, missed: float = 1e-6) -> int:
+    """The signature-distance threshold: more places than that differ in a share of under `missed` of pairs of this similarity
+    (25 of 64 at 0.85, 30 at 0.8). A similarity whose threshold the chunks don't guarantee is refused."""
+    most, tail = VALUES, (1 - similarity) ** VALUES
+    while tail < missed and most:
+        most -= 1
+        tail += math.comb(VALUES, most) * (1 - similarity) ** most * similarity ** (VALUES - most)
+    if most > GUARANTEED:
+        raise ValueError(f"similarity {similarity} needs a signature distance of {most}; the chunks guarantee {GUARANTEED}")
+    return most
 
 
 def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
         for at in range(0, batch.num_rows, 500):
-            ids = batch.column(0).slice(at, 500)
-            sets = [shingle_set(t, k) for t in texts.slice(at, 500).to_pylist()]
+            part = batch.slice(at, 500)
+            sets = [shingle_set(t, k) for t in part.column(2).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in full]) if full else None
             digest, rows = [None] * len(sets), [None] * len(sets)
             for j, i in enumerate(full):
                 digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 rows[i] = sig[j].tobytes()
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "set", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "check", "n_shingles", "set", "sig"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             k = keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, VALUES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32), pa.array(k.ravel()))], names=["doc", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32), pa.array(k.ravel()))], names=["node", "keys"])
 
 
 def _forest(n: int, pairs: np.ndarray) -> list[int]:
@@ -114,62 +122,112 @@ def _forest(n: int, pairs: np.ndarray) -> list[int]:
     return out
 
 
-def blocked(members: DataFrame, group: str, size: str) -> DataFrame:
-    """Rows with the pair of blocks (_i, _j) for which they are there: a group of up to BLOCK members is one block; of a larger
-    one, each member comes with every other block in turn, so no task holds more than two blocks."""
-    n = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("doc", F.lit("block")), n).cast("int")
-    return members.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), n - 1))).select(group, "doc", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), *[c for c in members.columns if c not in (group, "doc", size)])
+def _met(rows: DataFrame, n: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Links a, b that run finds among the rows (grp, node, i, j, label, load) of each block (grp, i, j)."""
+    rows = rows.select("grp", "node", "i", "j", "label", "load")
+    return rows.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _connected(members: DataFrame, load: Callable[[DataFrame], DataFrame], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """node, root of what the links inside groups (grp, node, size) connect; load adds what nodes are compared by.
+
+    1. A group is cut into blocks of BLOCK members by a hash, and about PIVOTS of its members go to every block, so that blocks have
+       links in common. Rows are as many as members and one in BLOCK / PIVOTS more.
+    2. Where that leaves a group of several blocks in several components, every member outside its largest one meets all others
+       of the group, again in blocks. No link is lost, and members of the largest component aren't compared with each other again.
+    """
+    n, long = partitions(members.sparkSession), lambda c: c.cast("long")
+    members = durable(members.select("grp", "node", "size"))
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
+    spread = F.when((F.col("size") > BLOCK) & (F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("size")) < PIVOTS), F.sequence(F.lit(0).cast("long"), long(blocks) - 1))
+    rows = members.withColumn("i", F.explode(F.coalesce(spread, F.array(F.pmod(F.xxhash64("node"), long(blocks))))))
+    roots = durable(components(_met(load(rows.withColumns({"j": F.lit(0).cast("long"), "label": F.lit(None).cast("long")})), n, run)))
+
+    named = durable(members.where(F.col("size") > BLOCK).join(roots, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("label")))
+    parts = named.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("c"))
+    apart = durable(parts.where("c > main.c").selectExpr("grp", "main.label AS main", f"CAST(ceil(c / {BLOCK}) AS long) AS n_i", f"CAST(ceil((c - main.c) / {BLOCK}) AS long) AS n_j"))
+    if not apart.take(1):
+        return roots
+    # a group may be large, so it is dealt to SALT tasks here
+    salted = apart.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rest = named.withColumn("_s", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALT)).cast("int")).join(salted, ["grp", "_s"])
+    h, every = F.xxhash64("node"), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    others = rest.where("label <> main").withColumn("j", F.pmod(h, F.col("n_j"))).withColumn("i", every("n_i"))
+    all_ = rest.withColumn("i", F.pmod(h, F.col("n_i"))).withColumn("j", every("n_j")).where((F.col("label") == F.col("main")) | (F.col("j") != F.pmod(h, F.col("n_j"))))
+    more = _met(load(others.select("grp", "node", "i", "j", "label").union(all_.select("grp", "node", "i", "j", "label"))), n, run)
+    return components(more.union(roots.select("node", "root")))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """Ids, block numbers and payloads of each group of rows (group, doc, _b, _i, _j, payload) that are sorted by group and blocks."""
-    key, ids, own, load = None, [], [], []
+    """Ids, labels and payloads of each group of rows (grp, node, i, j, label, load) that are sorted by group and block."""
+    key, ids, labels, load = None, [], [], []
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in (0, 3, 4, 1, 2, 5)]
-        for g, i, j, d, b, x in zip(*cols, strict=True):
+        for g, d, i, j, label, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if (g, i, j) != key:
                 if ids:
-                    yield ids, own, load
-                key, ids, own, load = (g, i, j), [], [], []
+                    yield ids, labels, load
+                key, ids, labels, load = (g, i, j), [], [], []
             ids.append(d)
-            own.append(b)
+            labels.append(label)
             load.append(x)
     if ids:
-        yield ids, own, load
+        yield ids, labels, load
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Members of a block from which a component is followed to its end, before the rest is compared in all pairs.
+LEADERS = 8
 
 
-def _linked(ids: list, pairs: np.ndarray) -> pa.RecordBatch:
-    keep = pairs[_forest(len(ids), pairs)] if len(pairs) else np.zeros((0, 2), np.int64)
-    ids = np.array(ids, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[keep[:, 0]]), pa.array(ids[keep[:, 1]])], schema=_PAIR)
+def _spanning(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Pairs of n members that join all that are near over any steps. near gives the matrix of hits of two lists of members.
 
-
-def _cross(hit: np.ndarray, own: list) -> np.ndarray:
-    """Pairs of a symmetric matrix of hits; in a pair of different blocks only those across, as each block also meets itself."""
-    b = np.array(own)
-    if len(set(own)) > 1:
-        hit = hit & (b[:, None] != b[None, :])
-    return np.argwhere(np.triu(hit, 1))
+    A component is followed from a member in waves, each compared only with what no wave has reached; so a large
+    component costs its members and not their pairs. What isn't in the components of the first LEADERS meets in all its pairs.
+    """
+    out, left = [np.zeros((0, 2), np.int64)], np.arange(n)
+    for _ in range(LEADERS):
+        wave, left = left[:1], left[1:]
+        while len(wave) and len(left):
+            hit = near(wave, left)
+            reached = hit.any(axis=0)
+            out.append(np.stack([wave[hit.argmax(axis=0)[reached]], left[reached]], axis=1))
+            wave, left = left[reached], left[~reached]
+    if len(left) > 1:
+        pairs = left[np.argwhere(np.triu(near(left, left), 1))]
+        out.append(pairs[_forest(n, pairs)])
+    return np.concatenate(out)
+
+
+def _linked(ids: list, labels: list, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """Links of a block; nodes of one label are joined already."""
+    pairs, of = _spanning(len(ids), near), np.array(ids, np.int64)
+    if labels[0] is not None:
+        label = np.array(labels, np.int64)
+        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+    return pa.RecordBatch.from_arrays([pa.array(of[pairs[:, 0]]), pa.array(of[pairs[:, 1]])], schema=_PAIR)
 
 
 def _near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Links between signatures of a group that differ in `most` places or fewer."""
-    for ids, own, load in _groups(batches):
+    for ids, labels, load in _groups(batches):
         s = np.frombuffer(b"".join(load), np.uint16).reshape(len(ids), -1)
-        if len(ids) > 1:
-            away = np.zeros((len(ids), len(ids)), np.uint8)
-            for j in range(VALUES):
-                away += s[:, j, None] != s[None, :, j]
-            yield _linked(ids, _cross(away <= most, own))
+
+        def near(x: np.ndarray, y: np.ndarray, s: np.ndarray = s) -> np.ndarray:
+            if len(x) * len(y) <= 4096:
+                return (s[x][:, None, :] != s[y][None, :, :]).sum(axis=2) <= most
+            away, differ = np.zeros((len(x), len(y)), np.uint8), np.empty((len(x), len(y)), bool)
+            for a, b in zip(s[x].T.copy(), s[y].T.copy(), strict=True):
+                np.not_equal(a[:, None], b[None, :], out=differ)
+                away += differ.view(np.uint8)
+            return away <= most
+
+        yield _linked(ids, labels, near)
 
 
 def _similar(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between the texts of a family with 100 * intersection >= percent * union."""
-    for ids, own, load in _groups(batches):
+    for ids, labels, load in _groups(batches):
         if len(ids) < 2:
             continue
         sets = [shingle_set(t, k) for t in load]
@@ -182,15 +240,67 @@ def _similar(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         shared = np.bincount(column) > 1  # a shingle of one document alone is in no intersection
         place = np.cumsum(shared) - 1
         mine = shared[column]
-        row, column = row[order][mine], place[column[mine]]
-        both = np.zeros((len(ids), len(ids)), np.float32)
-        for a in range(0, int(shared.sum()), 4096):
+        yield _linked(ids, labels, _meeting(row[order][mine], place[column[mine]], int(shared.sum()), size, percent))
+
+
+def _meeting(row: np.ndarray, column: np.ndarray, columns: int, size: np.ndarray, percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The test of two lists of documents, whose shingles are rows and (ascending) columns of an incidence matrix."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both, at = np.zeros((len(x), len(y)), np.float32), np.full((2, len(size)), -1)
+        at[0, x], at[1, y] = np.arange(len(x)), np.arange(len(y))
+        for a in range(0, columns, 4096):
             part = slice(*np.searchsorted(column, [a, a + 4096]))
-            m = np.zeros((len(ids), min(4096, int(shared.sum()) - a)), np.float32)
-            m[row[part], column[part] - a] = 1
-            both += m @ m.T
+            r, c = row[part], column[part] - a
+            if len(x) == 1:  # only the columns that the one document has
+                has = np.zeros(4096, bool)
+                has[c[r == x[0]]] = True
+                both[0] += np.bincount(r[has[c]], minlength=len(size))[y]
+                continue
+            m = [np.zeros((len(z), min(4096, columns - a)), np.float32) for z in (x, y)]
+            for i in range(2):
+                here = at[i, r] >= 0
+                m[i][at[i, r[here]], c[here]] = 1
+            both += m[0] @ m[1].T
         both = both.astype(np.int64)
-        yield _linked(ids, _cross(100 * both >= percent * (size[:, None] + size[None, :] - both), own))
+        return 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
+
+    return near
+
+
+def _checked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, check, text: rows of one id are told apart by a checksum of their text."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("check"), F.col(text_col).alias("text"))
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, check, n_shingles, first: the least struct(doc_id, check) of the component; null where no set or id is."""
+    n = partitions(docs.sparkSession)
+    feats = durable(docs.mapInArrow(lambda b: _features(b, k), "doc_id long, check long, n_shingles long, set binary, sig binary"))
+    classes = feats.where("doc_id IS NOT NULL AND set IS NOT NULL").groupBy("set", "sig").agg(F.min(F.struct("doc_id", "check")).alias("own"))
+    # written once, so the numbers of nodes stay
+    nodes = durable(classes.select(F.monotonically_increasing_id().alias("node"), "own", "set", "sig"))
+    keyed = nodes.select("node", "sig").mapInArrow(_keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    h = F.xxhash64("node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 30)).alias("y")).where("size > 1")
+    groups = shared.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    members = keyed.join(groups.select("key", "size"), "key").select(F.col("key").alias("grp"), "node", "size")
+    most = signature_distance(percent / 100)
+    families = _connected(members, lambda x: x.join(nodes.select("node", F.col("sig").alias("load")), "node"), lambda b: _near(b, most))
+    families = durable(families.select("node", F.col("root").alias("grp")))
+    sizes = families.groupBy("grp").agg(F.count("*").alias("size"))
+
+    def texts(rows: DataFrame) -> DataFrame:
+        """A row that is repeated counts once."""
+        wanted = rows.select("node").distinct().join(nodes.select("node", "own.*"), "node")
+        return rows.join(wanted.join(docs, ["doc_id", "check"]).dropDuplicates(["doc_id", "check"]).select("node", F.col("text").alias("load")), "node")
+
+    roots = _connected(families.join(sizes, "grp"), texts, lambda b: _similar(b, k, percent))
+    roots = durable(roots.join(nodes.select("node", "own"), "node"))
+    firsts = roots.groupBy("root").agg(F.min("own").alias("first"))
+    linked = roots.join(firsts, "root").select("node", "first")
+    known = nodes.join(linked, "node", "left").select(F.col("set").alias("_set"), F.coalesce("first", "own").alias("first"))
+    return feats.drop("sig").join(known, F.when(F.col("doc_id").isNotNull(), F.col("set")) == F.col("_set"), "left").select("doc_id", "check", "n_shingles", "first")
 
 
 def near_duplicates(df: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,54 +308,34 @@ def near_duplicates(df: DataFrame, k: int = 3, percent: int = 85, id_col: str =
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of k-word shingles. Documents
     without words or text have an empty set and are linked with nothing. Null id: in no component (null), kept.
-    Repeated rows: each returned; equal ids share a component id by their texts. Empty input: no row. Columns that aren't named
-    are ignored. Checkpoints hold ids, counts and signatures, never texts.
+    Repeated rows: each returned. Rows of one id with different texts are nodes of their own, linked by their texts alone.
+    Empty input: no row. Columns that aren't named are ignored. Checkpoints hold ids, checksums, counts and signatures, never texts.
     """
-    n = partitions(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    feats = durable(docs.mapInArrow(lambda b: _features(b, k), "doc_id long, n_shingles long, set binary, sig binary"))
-    classes = feats.where("doc_id IS NOT NULL AND set IS NOT NULL").groupBy("set", "sig").agg(F.min("doc_id").alias("doc"))
-    reps = durable(classes.select("doc", "sig"))
-    keyed = reps.mapInArrow(_keyed, "doc long, keys array<long>").select("doc", F.explode("keys").alias("key"))
-    h = F.xxhash64("doc")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 30)).alias("y")).where("size > 1")
-    groups = shared.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
-    members = keyed.join(groups.select("key", "size"), "key").join(reps, "doc").select("key", "doc", "size", "sig")
-    order = ("_i", "_j")
-    most = signature_distance(percent / 100)
-    near = blocked(members, "key", "size").repartition(n, "key", *order).sortWithinPartitions("key", *order).mapInArrow(lambda b: _near(b, most), "a long, b long")
-    families = durable(components(near).distinct().select(F.col("node").alias("doc"), F.col("root").alias("family")))
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    texts = docs.dropDuplicates(["doc_id"]) if _repeats(feats) else docs
-    full = families.join(sizes, "family").join(texts, F.col("doc") == F.col("doc_id")).select("family", "doc", "size", "text")
-    links = blocked(full, "family", "size").repartition(n, "family", *order).sortWithinPartitions("family", *order).mapInArrow(lambda b: _similar(b, k, percent), "a long, b long")
-    roots = components(links)
-    known = classes.join(roots, F.col("doc") == F.col("node"), "left").select(F.col("set").alias("_set"), F.coalesce("root", "doc").alias("component_id"))
-    out = feats.drop("sig").join(known, F.when(F.col("doc_id").isNotNull(), F.col("set")) == F.col("_set"), "left")
-    component = F.coalesce("component_id", "doc_id")
+    out = _components(_checked(df, id_col, text_col), k, percent)
+    component = F.coalesce("first.doc_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _repeats(feats: DataFrame) -> bool:
-    return bool(feats.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
-
-
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() over all documents: three words, 85 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, all columns, of which one document of each component stays; of rows with one id and text, one.
-
-    Rows with one id and different texts are told apart by nothing, so they stay or go together. Null ids: all stay.
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, of which one of each component stays: that of the least id and, among rows of that id, of the
+    least checksum of the text. A row that is repeated stays once; rows without words are told apart by id and text. Null ids: all stay. Empty input: no row.
     """
-    gone = near_duplicates(docs, k, percent).where("NOT kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not _repeats(docs):
-        return left
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    names = docs.columns
+    fate = _components(_checked(docs, id_col, text_col), k, percent).where("doc_id IS NOT NULL")
+    own = F.struct("doc_id", "check")
+    fate = durable(fate.groupBy("doc_id", "check").agg(F.first(F.coalesce("first", own) == own).alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1"))
+    row = docs.withColumns({"_dedup_id": F.col(id_col).cast("long"), "_dedup_check": F.xxhash64(text_col)})
+    match = lambda f: (F.col("_dedup_id") == f.doc_id) & (F.col("_dedup_check") == f.check)
+    once = row.join(fate, match(fate), "left_anti")
+    twice = fate.where("stays")
+    if not twice.take(1):
+        return once.select(*names)
+    return once.select(*names).union(row.join(twice, match(twice), "left_semi").dropDuplicates(["_dedup_id", "_dedup_check"]).select(*names))
 
 
 OP7_SQL = r"""
