@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash of item-sized windows (native DataFrame functions only).
 
-1. Anchoring: a window similar to an item shares most of its five-word shingles, so windows are taken where a shingle of
-   an item stands and enough others follow within the item's length; every other window can't reach the similarity.
+1. Windows: as many shingles as an item has (all of a shorter document). Only those are taken that begin at a shingle of some item of
+   that size and hold enough shingles of such items for one of them to be similar; which item it is stays open.
 2. SimHash: 64-bit fingerprints of these windows and of the items.
 3. Multi-index Hamming blocks: 8 blocks of 8 bits, with up to two flipped bits a block enumerated on the items' side. Two
-   fingerprints within 23 bits have, by pigeonhole, a block with two differences at most, so none is lost.
-4. Exact weighted-shingle similarity, sum of least over sum of greatest counts, verifies what is left.
+   fingerprints within 23 bits have, by pigeonhole, a block with two differences at most, so the lookup by size and block
+   finds every item within the radius of a window.
+4. Exact weighted-shingle similarity, sum of least over sum of greatest counts, verifies the candidates.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ K, PERCENT = 5, 80
 BLOCKS, WIDTH, ERRORS = 8, 8, 2
 #: What the blocks guarantee. A window at the bound of similarity is about 10 bits away from its item, give or take 3.
 RADIUS = BLOCKS * (ERRORS + 1) - 1
-#: Rows of a side that may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a side, all of fixed width, that may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 def _words(text: str) -> Column:
@@ -59,43 +60,48 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, percent: int = P
     a shorter document) whose similarity reaches percent / 100.
 
     Null or empty texts, and those of fewer than k words, have no shingle and match nothing. Null ids of documents or items: left out.
-    Repeated rows: as one. Empty tables: no row. Columns that aren't named are ignored.
+    Repeated rows: as one; texts that share an id: each is searched. Empty tables: no row. Columns that aren't named are ignored.
     """
+    if radius > RADIUS:
+        raise ValueError(f"the blocks guarantee a radius of {RADIUS}")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where("doc_id IS NOT NULL")
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_text")).where("item_id IS NOT NULL")
     items = positions(items.dropDuplicates(["item_id"]), "_text", k).groupBy("item_id").agg(F.array_sort(F.collect_list("_x")).alias("_ih"))
     items = durable(items.select("item_id", "_ih", F.size("_ih").alias("_n")))
-    items = items.withColumn("_if", _fingerprint("_ih"))
-    n_items = items.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    n_items, n_known = items.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
 
-    known = items.select("item_id", "_n", F.explode(F.array_distinct("_ih")).alias("_x"))
-    at = positions(docs, "_text", k)
-    hits = _joined(at, known, ["_x"], n_items).groupBy("doc_id", "_m", "item_id", "_n").agg(F.array_sort(F.collect_set("_p")).alias("_p"))
+    known = items.select("_n", F.explode("_ih").alias("_x")).distinct()
+    hits = _joined(positions(docs, "_text", k), known, ["_x"], n_known).groupBy("doc_id", "_m", "_n").agg(F.array_sort(F.collect_set("_p")).alias("_p"))
     hits = hits.withColumn("_l", F.least("_n", "_m"))
     hits = hits.withColumn("_need", F.ceil(F.lit(percent) * (F.col("_n") + F.col("_l")) / F.lit(100 + percent)).cast("int")).where(F.size("_p") >= F.col("_need"))
     start = "least(p, _m - _l)"
     starts = F.expr(f"array_distinct(transform(filter(_p, (p, i) -> coalesce(get(_p, i + _need - 1) < {start} + _l, false)), p -> {start}))")
-    windows = durable(hits.select("doc_id", "item_id", "_l", F.explode(starts).alias("_s")))
+    windows = durable(hits.select("doc_id", "_m", "_n", "_l", F.explode(starts).alias("_s")))
     n_windows = windows.count()
 
     # whole texts again, but only those of documents with a window
-    split = _joined(docs, windows, ["doc_id"], n_windows).select("doc_id", "item_id", "_s", "_l", F.explode(F.array(_words("_text"))).alias("_w"))
-    hashed = split.select("doc_id", "item_id", "_s", F.transform(F.sequence(F.col("_s") + 1, F.col("_s") + F.col("_l")), lambda i: _shingle("_w", i, k)).alias("_wh"))
+    split = docs.select("doc_id", "_text", (F.size(_words("_text")) - (k - 1)).alias("_m"))
+    split = _joined(split, windows, ["doc_id", "_m"], n_windows).select("doc_id", "_n", "_s", "_l", F.explode(F.array(_words("_text"))).alias("_w"))
+    hashed = split.select("doc_id", "_n", F.transform(F.sequence(F.col("_s") + 1, F.col("_s") + F.col("_l")), lambda i: _shingle("_w", i, k)).alias("_wh"))
     # written out, or each of a fingerprint's 64 bits would be taken from the text anew
     prints = durable(hashed).withColumn("_wf", _fingerprint("_wh"))
+    found = lookup(prints, items.select("item_id", "_n", _fingerprint("_ih").alias("_if")), n_items, radius)
+    near = _joined(found, items.select("item_id", "_ih"), ["item_id"], n_known).withColumn("_c", _weighted("_wh", "_ih"))
+    total = F.size("_wh") + F.size("_ih") - F.col("_c")
+    similar = near.where(100 * F.col("_c") >= percent * total).withColumn("similarity", F.col("_c") / total)
+    return similar.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+def lookup(prints: DataFrame, items: DataFrame, n_items: int, radius: int = RADIUS) -> DataFrame:
+    """Rows of prints (_n, _wf and others) with the item_id of every item (item_id, _n, _if) of that size whose fingerprint is within the radius, once each."""
     block = lambda f: f"shiftrightunsigned({f}, _k * {WIDTH}) & {(1 << WIDTH) - 1}L"
     errors = [sum(1 << b for b in bits) for bits in _subsets(WIDTH, ERRORS)]
-    index = items.select("item_id", "_ih", "_if", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_k"))
-    index = index.select("item_id", "_ih", "_if", "_k", F.explode(F.transform(F.array(*[F.lit(e).cast("long") for e in errors]), lambda e: F.expr(block("_if")).bitwiseXOR(e))).alias("_v"))
-    looked = prints.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("_v", F.expr(block("_wf")))
-    near = _joined(looked, index, ["item_id", "_k", "_v"], n_items * BLOCKS * len(errors) // 16)
-    # a pair within the radius shares several blocks; it is verified in the first of them
+    each = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    index = items.withColumn("_k", each).withColumn("_v", F.explode(F.transform(F.array(*[F.lit(e).cast("long") for e in errors]), lambda e: F.expr(block("_if")).bitwiseXOR(e))))
+    found = _joined(prints.withColumn("_k", each).withColumn("_v", F.expr(block("_wf"))), index, ["_n", "_k", "_v"], n_items * BLOCKS * len(errors))
+    # a pair within the radius shares several blocks; it counts in the first of them
     first = F.expr(f"array_min(filter(sequence(0, {BLOCKS - 1}), q -> bit_count(shiftrightunsigned(_wf ^ _if, q * {WIDTH}) & {(1 << WIDTH) - 1}L) <= {ERRORS}))")
-    near = near.where((F.bit_count(F.col("_wf").bitwiseXOR(F.col("_if"))) <= radius) & (F.col("_k") == first))
-    both = near.withColumn("_c", _weighted("_wh", "_ih"))
-    total = F.size("_wh") + F.size("_ih") - F.col("_c")
-    similar = both.where(100 * F.col("_c") >= percent * total).withColumn("similarity", F.col("_c") / total)
-    return similar.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    return found.where((F.bit_count(F.col("_wf").bitwiseXOR(F.col("_if"))) <= radius) & (F.col("_k") == first)).drop("_k", "_v", "_if")
 
 
 def _subsets(n: int, most: int) -> list[tuple[int, ...]]:
@@ -114,9 +120,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows, all columns, that hold no item."""
-    found = contaminated(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows, all columns, that hold no item. Null ids and texts stay; of rows that share an id all go if one holds an item. Empty tables: as they are."""
+    found = contaminated(docs, items).select(F.col("doc_id").alias("_found_id")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("_found_id"), "left_anti").select(*docs.columns)
 
 
 OP5_SQL = r"""
