@@ -35,7 +35,7 @@ _BLOB = "key long, other long, kind int, blob binary"
 _ARROW = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 FLAGS, SEGMENTS, SPANS = range(3)
 #: Bytes of text for each chunk and each bucket.
-CHUNK, BUCKET = 4 << 20, 16 << 20
+CHUNK, BUCKET = 4 << 20, 8 << 20
 #: An anchor that occurs more often is hot.
 HOT = 4096
 _LAST = np.iinfo(np.int64).max
@@ -124,7 +124,7 @@ def remove_repeats(df: DataFrame, method: Method, id_col: str = "doc_id", text_c
     chunks, n, hot = size // CHUNK + 1, size // BUCKET + 1, HOT
     buckets = np.uint64(n)
     key = F.pmod(F.xxhash64("doc_id", "check"), F.lit(chunks))
-    docs = docs.withColumn("key", key).repartition(max(partitions(df.sparkSession), chunks // 8), "key")
+    docs = docs.withColumn("key", key).repartition(max(partitions(df.sparkSession), chunks), "key")
 
     def offer(t: pa.Table) -> pa.Table:
         """Step 1: (bucket, chunk, distinct hashes and their counts up to 255)."""
