@@ -58,7 +58,7 @@ def is_topic(c: Column) -> Column:
 
 
 def unit_number(unit: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(unit, r"\d+", 0), F.lit("")).try_cast("int"), F.lit(999))
+    return F.coalesce(F.nullif(F.regexp_extract(unit, r"(?U)\d+", 0), F.lit("")).try_cast("int"), F.lit(999))
 
 
 def words(name: Column) -> Column:

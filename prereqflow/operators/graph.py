@@ -80,6 +80,20 @@ class PrereqGraph:
         """id, x, y: a column a unit, in the fixed steps of the page."""
         return self.by_unit().select("id", (F.col("column") * 260 + 50).alias("x"), (F.col("row") * 120 + 50).alias("y"))
 
+    def course_title(self) -> DataFrame:
+        """course_title of the first concept, which heads the page; null for none."""
+        return self.concepts.agg(F.min_by(F.try_element_at("metadata", F.lit("course_title")), "seq").alias("course_title"))
+
+    def display_nodes(self, known: DataFrame, target: str | None = None) -> DataFrame:
+        """id, name, x, y, is_known, is_target for one student's known(concept_id)."""
+        ids = known.select(strip(F.col("concept_id")).alias("id")).distinct().withColumn("_k", F.lit(True))
+        nodes = self.concepts.select("id", "name").join(self.layout(), "id").join(ids, "id", "left")
+        return nodes.select("id", "name", "x", "y", F.col("_k").isNotNull().alias("is_known"), (F.col("id") == F.lit((target or "").strip())).alias("is_target"))
+
+    def display_edges(self) -> DataFrame:
+        """edge_id, source_id, target_id."""
+        return self.dependencies.select(F.concat(F.lit("e-"), "source_id", F.lit("-"), "target_id").alias("edge_id"), "source_id", "target_id")
+
     # changes of one element
     def _next(self, df: DataFrame) -> int:
         return (df.agg(F.max("seq")).first()[0] or 0) + 1

@@ -74,7 +74,8 @@ def graph_of_topics(parsed: DataFrame, sequential: bool = False, into: PrereqGra
 
     Concepts and, if sequential, an edge from each topic to the next of its unit; the first of an id or pair wins, in the order of
     outlines, units and topics, and what `into` has stays. Concepts keep unit_title, course_code and course_title in their metadata.
-    Stats: doc_id, course_title, course_code, nodes_added, edges_added, units_processed.
+    Stats: doc_id, course_title, course_code, nodes_added, edges_added, units_processed (units with a topic), total_topics_count (a topic of
+    two units counts twice).
     Places are numbered by ranges, so no task holds all concepts or edges.
     """
     bare = F.col("unit_title").isNull() | (F.col("unit_title") == "")
@@ -103,10 +104,10 @@ def graph_of_topics(parsed: DataFrame, sequential: bool = False, into: PrereqGra
 
 
 def _stats(parsed: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    units = parsed.groupBy("doc_id").agg(F.first("course_title").alias("course_title"), F.first("course_code").alias("course_code"), F.count_distinct("unit_number").alias("units_processed"))
+    units = parsed.groupBy("doc_id").agg(F.first("course_title").alias("course_title"), F.first("course_code").alias("course_code"), F.count_distinct("unit_number").alias("units_processed"), F.count("*").alias("total_topics_count"))
     added = lambda x, name: x.groupBy(F.col("key.doc_id").alias("doc_id")).agg(F.count("*").alias(name))
     out = units.join(added(first, "nodes_added"), "doc_id", "left").join(added(pairs, "edges_added"), "doc_id", "left").fillna(0, ["nodes_added", "edges_added"])
-    return out.select("doc_id", "course_title", "course_code", "nodes_added", "edges_added", "units_processed")
+    return out.select("doc_id", "course_title", "course_code", "nodes_added", "edges_added", "units_processed", "total_topics_count")
 
 
 @dataclass(frozen=True)

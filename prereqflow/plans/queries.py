@@ -344,7 +344,7 @@ _SUMMARY = """, nd AS (SELECT t AS id, count(*) AS n FROM e GROUP BY t), kn AS (
 rd AS (SELECT u, count(*) AS n FROM (SELECT m.u, e.t FROM e JOIN m ON m.id = e.s JOIN nd ON nd.id = e.t GROUP BY m.u, e.t HAVING count(*) = any_value(nd.n) AND NOT bool_or((m.u, e.t) IN (SELECT u, id FROM m))) GROUP BY u)"""
 
 
-@query(f"{_SUMMARY} SELECT kn.u AS user_id, kn.n AS known, CAST(printf('%.1f', kn.n / (SELECT count(*) FROM c) * 100) AS DOUBLE) AS mastery_percentage, (SELECT count(*) FROM c WHERE id NOT IN (SELECT id FROM nd)) - kn.free + coalesce(rd.n, 0) AS ready_now_count, (SELECT count(*) FROM c) AS total_topics_count FROM kn LEFT JOIN rd ON rd.u = kn.u", all_customers=True)
+@query(f"{_SUMMARY} SELECT kn.u AS user_id, kn.n AS known, CAST(printf('%.1f', kn.n / (SELECT count(*) FROM c) * 100) AS DOUBLE) AS mastery_percentage, (SELECT count(*) FROM c WHERE id NOT IN (SELECT id FROM nd)) - kn.free + coalesce(rd.n, 0) AS ready_now_count, (SELECT count(*) FROM c) AS total_concepts FROM kn LEFT JOIN rd ON rd.u = kn.u", all_customers=True)
 def study_summary(spark, d, views=views):
     return recommend.study_summary(views.graph(spark, d), views.mastery(spark, d))
 
@@ -507,7 +507,7 @@ _NAMED = f"{_PAIRS}, hd AS (WITH {_TITLE}), cc AS ({SQL['course_code']})"
 
 
 @query(f"""{_NAMED}, nf AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM tp QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id, unit_number, topic_pos) = 1) GROUP BY doc_id), ef AS (SELECT doc_id, count(*) AS n FROM pr GROUP BY doc_id)
-SELECT u.doc_id, hd.title AS course_title, cc.code AS course_code, coalesce(nf.n, 0) AS nodes_added, coalesce(ef.n, 0) AS edges_added, u.n AS units_processed FROM (SELECT doc_id, count(DISTINCT unit_number) AS n FROM tp GROUP BY doc_id) u JOIN hd USING (doc_id) JOIN cc USING (doc_id) LEFT JOIN nf USING (doc_id) LEFT JOIN ef USING (doc_id)""", views_too=False)
+SELECT u.doc_id, hd.title AS course_title, cc.code AS course_code, coalesce(nf.n, 0) AS nodes_added, coalesce(ef.n, 0) AS edges_added, u.n AS units_processed, u.k AS total_topics_count FROM (SELECT doc_id, count(DISTINCT unit_number) AS n, count(*) AS k FROM tp GROUP BY doc_id) u JOIN hd USING (doc_id) JOIN cc USING (doc_id) LEFT JOIN nf USING (doc_id) LEFT JOIN ef USING (doc_id)""", views_too=False)
 def outline_build_stats(spark, d):
     docs = _outlines(spark, d)
     return syllabus.graph_of_topics(syllabus.topics(docs).join(syllabus.headers(docs), "doc_id"), sequential=True)[1]
@@ -550,6 +550,24 @@ def unit_groups_layout(spark, d):
 _FLIP = "(SELECT min(u) FROM m)"
 
 
+@query(f"SELECT y.id, y.name, y.x, y.y, y.id IN (SELECT id FROM m WHERE u = {_FLIP}) AS is_known, y.id = {_TARGET} AS is_target FROM (SELECT id, name, (dense_rank() OVER (ORDER BY f) - 1) * 260 + 50 AS x, (row_number() OVER (PARTITION BY unit ORDER BY seq) - 1) * 120 + 50 AS y FROM (SELECT *, min(seq) OVER (PARTITION BY unit) AS f FROM c)) y")
+def display_nodes(spark, d):
+    """The page of the first student, with the concept that needs most as the target."""
+    g, mastery = views.graph(spark, d), views.mastery(spark, d)
+    mine = mastery.where(F.col("user_id") == mastery.agg(F.min("user_id")).first()[0])
+    return g.display_nodes(mine, _target(g)[1])
+
+
+@query("SELECT 'e-' || s || '-' || t AS edge_id, s AS source_id, t AS target_id FROM e", all_pairs=True)
+def display_edges(spark, d, views=views):
+    return views.graph(spark, d).display_edges()
+
+
+@query(f"SELECT hd.title AS course_title FROM ({_TOPICS} SELECT doc_id FROM tp ORDER BY doc_id, unit_number, topic_pos LIMIT 1) t JOIN (WITH {_TITLE}) hd USING (doc_id)", views_too=False)
+def display_course_title(spark, d):
+    return syllabus.build_graph(_outlines(spark, d)).course_title()
+
+
 @query(f"SELECT u AS user_id, id AS concept_id FROM m WHERE u <> {_FLIP} AND id NOT IN (SELECT id FROM m WHERE u = {_FLIP}) UNION ALL SELECT us.u, t.id FROM (SELECT DISTINCT u FROM m WHERE u <> {_FLIP}) us CROSS JOIN (SELECT id FROM m WHERE u = {_FLIP}) t WHERE (us.u, t.id) NOT IN (SELECT u, id FROM m)")
 def toggle_mastery(spark, d):
     """What the first user knows is toggled for everyone else."""

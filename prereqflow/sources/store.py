@@ -101,10 +101,12 @@ def create_tables(spark: SparkSession) -> None:
     spark.sql("CREATE TABLE IF NOT EXISTS user_progress (user_id STRING, concept_id STRING, status STRING) USING parquet PARTITIONED BY (user_id)")
     spark.sql(f"CREATE TABLE IF NOT EXISTS concepts ({CONCEPTS}, metadata {METADATA}) USING parquet")
     spark.sql(f"CREATE TABLE IF NOT EXISTS dependencies ({DEPENDENCIES}) USING parquet")
+    spark.sql("CREATE TABLE IF NOT EXISTS users (id STRING, email STRING, name STRING, created_at TIMESTAMP) USING parquet")
+    spark.sql("CREATE TABLE IF NOT EXISTS concept_embeddings (id STRING, concept_id STRING, content STRING, created_at TIMESTAMP) USING parquet")
     spark.sql(f"CREATE TABLE IF NOT EXISTS outlines ({OUTLINE}, user_id STRING, id STRING, created_at TIMESTAMP) USING parquet")
 
 
-TABLES = ("user_progress", "concepts", "dependencies", "outlines")
+TABLES = ("user_progress", "concepts", "dependencies", "outlines", "users", "concept_embeddings")
 
 
 def status(spark: SparkSession) -> dict[str, bool]:

@@ -80,6 +80,9 @@ def test_units_and_layout(spark):
     g = make(spark, "a,b,c,d", "", {"a": "Unit 2", "c": "Unit 2", "d": "Unit 1"})
     assert {(r.unit, r.column, r.id, r.row) for r in g.by_unit().collect()} == {("Unit 2", 0, "a", 0), ("General", 1, "b", 0), ("Unit 2", 0, "c", 1), ("Unit 1", 2, "d", 0)}
     assert {(r.id, r.x, r.y) for r in g.layout().collect()} == {("a", 50, 50), ("b", 310, 50), ("c", 50, 170), ("d", 570, 50)}
+    assert {(r.id, r.is_known, r.is_target) for r in g.display_nodes(known(spark, " a ", "ghost"), "b").collect()} == {("a", True, False), ("b", False, True), ("c", False, False), ("d", False, False)}
+    assert [r.edge_id for r in make(spark, "a,b", "a>b").display_edges().collect()] == ["e-a-b"]
+    assert g.course_title().first()[0] is None and PrereqGraph.empty(spark).add_concept("x", "X", metadata={"course_title": "T"}).course_title().first()[0] == "T"
 
 
 def test_bulk_changes(spark):
@@ -285,7 +288,7 @@ def test_recommendations_are_the_best_of_all_scores(spark):
     now = {r.user_id: r.n for r in recommend.scored(g, mastery).where("status = 'NOW'").groupBy("user_id").agg(F.count("*").alias("n")).collect()}
     for r in recommend.study_summary(g, mastery).collect():
         mine = {c.strip() for u, c in rows if u == r.user_id} & set(names)
-        assert (r.known, r.ready_now_count, r.total_topics_count, r.mastery_percentage) == (len(mine), now.get(r.user_id, 0), 30, round(len(mine) / 30 * 100, 1))
+        assert (r.known, r.ready_now_count, r.total_concepts, r.mastery_percentage) == (len(mine), now.get(r.user_id, 0), 30, round(len(mine) / 30 * 100, 1))
     flips = recommend.toggled(known(spark, "a", "b", "b"), known(spark, "b", "c"))
     assert sorted(ids(flips, "concept_id")) == ["a", "c"]
 
@@ -367,7 +370,7 @@ def test_outlines(spark):
     c = g.concepts.orderBy("seq").first()
     assert (c.unit_number, c.metadata) == (1, {"unit_title": "Unit 1: Python Basics", "course_code": "CS101", "course_title": "Introduction to Computer Science"})
     built = syllabus.study_plan(docs.where("doc_id = 0"))
-    assert [tuple(r) for r in built.stats.collect()] == [(0, "Introduction to Computer Science", "CS101", 4, 2, 2)]
+    assert [tuple(r) for r in built.stats.collect()] == [(0, "Introduction to Computer Science", "CS101", 4, 2, 2, 4)]
     assert tuple(built.summary.first()) == ("Successfully built Knowledge Graph with 4 nodes from 'Introduction to Computer Science'", 4, 2)
     assert ids(built.order.orderBy("pos"))[:1] == ["variables_and_data_types"] and built.order.count() == 4
     again = syllabus.study_plan(docs.where("doc_id < 2"), into=built.graph)
@@ -382,7 +385,7 @@ def test_graph_of_parsed_outlines(spark, tmp_path, monkeypatch):
     g, stats = syllabus.graph_of_topics(parsed, sequential=True)
     assert [(r.id, r.name, r.unit, r.unit_number, r.metadata["unit_title"]) for r in g.concepts.orderBy("seq").collect()] == [("bfs", "BFS", "Unit 1: U", 9, "V"), ("dfs", "DFS", "Unit 1: U", 1, "U"), ("mst", "MST", "Unit 2", 2, "")]
     assert [(r.source_id, r.target_id, r.reason[-9:]) for r in g.dependencies.orderBy("seq").collect()] == [("bfs", "dfs", "Unit 1: U"), ("dfs", "bfs", "Unit 1: U"), ("dfs", "mst", "in Unit 2")]
-    assert tuple(stats.drop("doc_id").first()) == ("T", "C1", 3, 3, 2)
+    assert tuple(stats.drop("doc_id").first()) == ("T", "C1", 3, 3, 2, 5)
 
 
 def test_stores(spark, tmp_path):
