@@ -1,4 +1,4 @@
-"""Schema fingerprinting: layouts of chat data are told apart by a hash of their nested field paths,
+"""Schema fingerprinting: every record's layout is told by a hash of its nested field paths,
 and a declarative mapping turns each into canonical turns (native DataFrame functions only)."""
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
 
 from .common import table
 
@@ -17,35 +16,63 @@ OPEN, BODY, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
 
-def field_paths(schema: DataType, at: str = "") -> list[str]:
-    """Nested field paths; an element of an array is written []."""
-    if isinstance(schema, StructType):
-        return [p for f in schema.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
-    if isinstance(schema, ArrayType):
-        return field_paths(schema.elementType, f"{at}[]")
-    return [at]
+#: Turns of a conversation that are numbered in one task.
+STRETCH = 1024
 
 
-def fingerprint(paths: list[str]) -> str:
-    """Hash of the sorted paths: the order of columns doesn't matter."""
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+def shape(paths: tuple[str, ...]) -> str:
+    """Nested field paths (an element of an array is written [], and what has none VOID) as one text, fields in order of their names."""
+    heads: dict[str, list[str]] = {}
+    for path in paths:
+        head, _, rest = path.partition(".")
+        heads.setdefault(head, []).extend([rest] if rest else [])
+    inner = [f"{h[:-2]}: ARRAY<{shape(tuple(r)) if r else 'VOID'}>" if h.endswith("[]") else f"{h}: {shape(tuple(r))}" if r else h for h, r in heads.items()]
+    return f"OBJECT<{', '.join(sorted(inner))}>"
+
+
+def fingerprint(paths: tuple[str, ...]) -> str:
+    return hashlib.sha256(shape(paths).encode()).hexdigest()[:16]
+
+
+def shape_of(record: Column) -> Column:
+    """The same text of a variant: its schema without the types of its values."""
+    return F.regexp_replace(F.schema_of_variant(record), r": [A-Z][A-Z_]*(\(\d+, ?\d+\))?(?=[,>])", "")
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """How a layout becomes turns. rows: a row is a turn already, (id, order, role, text) columns.
-    turns: an array of structs with (role, text) fields. pairs: (role, column) in order."""
+    """How a record becomes turns. rows: it is a turn already, (order, role, text) fields.
+    turns: an array of objects with (role, text) fields. pairs: (role, field) in order. Its id is conv_id."""
 
     paths: tuple[str, ...]
-    rows: tuple[str, str, str, str] | None = None
+    rows: tuple[str, str, str] | None = None
     turns: tuple[str, str, str] | None = None
     pairs: tuple[tuple[str, str], ...] = ()
 
+    def array(self, record: Column) -> Column:
+        """The record's turns: array<struct<turn, role, text>>."""
+        at = lambda path, type_="string": F.try_variant_get(record, f"$.{path}", type_)
+        turn = lambda n, role, text: F.struct(n.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+        if self.rows:
+            order, role, text = self.rows
+            return F.array(turn(at(order, "bigint"), at(role), at(text)))
+        if self.turns:
+            name, role, text = self.turns
+            known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+            said = at(name, f"array<struct<{role}: string, {text}: string>>")
+            return F.transform(said, lambda t, i: turn(i, F.coalesce(F.try_element_at(known, t[role]), t[role]), t[text]))
+        return F.filter(F.array(*[turn(F.lit(i), F.lit(role), at(f)) for i, (role, f) in enumerate(self.pairs)]), lambda t: t.text.isNotNull())
+
+
+def _with_turns(name: str, role: str, text: str) -> tuple[Mapping, ...]:
+    """A layout whose array of turns may also be null or empty."""
+    return tuple(Mapping(("conv_id", *paths), turns=(name, role, text)) for paths in ((f"{name}[].{role}", f"{name}[].{text}"), (f"{name}[]",), (name,)))
+
 
 MAPPINGS = (
-    Mapping(("conv_id", "turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
-    Mapping(("conv_id", "messages[].role", "messages[].content"), turns=("messages", "role", "content")),
-    Mapping(("conv_id", "conversations[].from", "conversations[].value"), turns=("conversations", "from", "value")),
+    Mapping(("conv_id", "turn", "role", "text"), rows=("turn", "role", "text")),
+    *_with_turns("messages", "role", "content"),
+    *_with_turns("conversations", "from", "value"),
     Mapping(("conv_id", "prompt", "completion"), pairs=(("user", "prompt"), ("assistant", "completion"))),
     Mapping(("conv_id", "prompt", "response"), pairs=(("user", "prompt"), ("assistant", "response"))),
     Mapping(("conv_id", "instruction", "output"), pairs=(("user", "instruction"), ("assistant", "output"))),
@@ -54,39 +81,30 @@ MAPPINGS = (
 )
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-BY_FINGERPRINT = {fingerprint(list(m.paths)): m for m in MAPPINGS}
+BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
-class UnknownLayout(ValueError):
-    pass
+def records_of(df: DataFrame, *columns: str) -> DataFrame:
+    """record: each row's columns (all, if none is named) as JSON, nulls included."""
+    return df.select(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def canonical_turns(df: DataFrame, layouts: dict[str, Mapping] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """conv_id, turn, role, text of data in any known layout; the fingerprint of its field paths selects the mapping.
+def canonical_turns(records: DataFrame, layouts: dict[str, Mapping] | None = None, record_col: str = "record") -> DataFrame:
+    """conv_id, turn, role, text of JSON records, whose layouts may all differ; the fingerprint of a record's field paths selects its mapping.
 
-    columns: the fields that count where the table has others besides, whatever their names.
-    An unknown fingerprint raises UnknownLayout, which names the paths. Null role: "". Null text: "".
-    An array of turns that is null or empty gives no turn. Ties in turn stay in the order of (role, text).
+    A record with an unknown fingerprint ends the query with an error that names its fields; nothing is dropped. Null record: no turn.
+    Null role: "". Null text: "". An array of turns that is null or empty gives no turn, and a field of a pair that is null none for it.
+    Repeated records: each gives its turns. Ties in turn stay in the order of (role, text). Empty table: no row. Columns that
+    aren't named are ignored, so none can clash.
     """
     layouts = BY_FINGERPRINT if layouts is None else layouts
-    df = df.select(*columns) if columns else df
-    mapping = layouts.get(fingerprint(paths := field_paths(df.schema)))
-    if mapping is None:
-        raise UnknownLayout(f"no mapping for the fields {sorted(paths)}")
-    if mapping.rows:
-        conv, turn, role, text = mapping.rows
-        out = df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    elif mapping.turns:
-        name, role, text = mapping.turns
-        out = df.select("conv_id", F.posexplode(name).alias("turn", "_t")).select("conv_id", F.col("turn").cast("long"), F.col("_t")[role].alias("role"), F.col("_t")[text].alias("text"))
-    else:
-        turns = F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).alias("text")) for role, c in mapping.pairs])
-        out = df.select("conv_id", F.posexplode(turns).alias("turn", "_t")).where("_t.text is not null").select("conv_id", F.col("turn").cast("long"), "_t.role", "_t.text")
-    role = F.coalesce(F.col("role"), F.lit(""))
-    if mapping.turns:
-        known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-        role = F.coalesce(F.try_element_at(known, role), role)
-    return out.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    read = records.select(F.parse_json(record_col).alias("_v")).where("_v IS NOT NULL").select("_v", shape_of(F.col("_v")).alias("_shape"))
+    read = read.withColumn("_f", F.substring(F.sha2("_shape", 256), 1, 16))
+    turns = F.raise_error(F.concat(F.lit("no mapping for the fields "), "_shape"))
+    for f, mapping in layouts.items():
+        turns = F.when(F.col("_f") == f, mapping.array(F.col("_v"))).otherwise(turns)
+    out = read.select(F.try_variant_get("_v", "$.conv_id", "bigint").alias("conv_id"), F.explode(turns).alias("_t"))
+    return out.select("conv_id", "_t.turn", *[F.coalesce(F.col(f"_t.{c}"), F.lit("")).alias(c) for c in ("role", "text")])
 
 
 def escape(text: Column) -> Column:
@@ -106,13 +124,21 @@ def format_turns(turns: DataFrame) -> DataFrame:
     of seq; start is where the segment begins in it, and [loss_start, loss_end) is the part that is
     trained on (null for turns that aren't the assistant's). All count code points.
 
-    One row a turn, so that a long conversation never has to fit into one value.
+    One row a turn, so that a long conversation never has to fit into one value, and STRETCH turns are numbered together, so that it
+    never has to fit into one task. Null turn: first. Null conv_id: one conversation. Ties and repeated rows: in the order of (role, text),
+    each a turn. Null role or text: the turn has no segment; canonical_turns gives none. Empty table: no row.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(BODY))
     rows = turns.select("conv_id", "turn", "role", "text", head.alias("_head"), escape(F.col("text")).alias("_body"))
-    rows = rows.withColumn("segment", F.concat("_head", "_body", F.lit(CLOSE)))
-    rows = rows.withColumn("seq", F.row_number().over(order)).withColumn("start", F.coalesce(F.sum(F.length("segment").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    rows = rows.withColumn("segment", F.concat("_head", "_body", F.lit(CLOSE))).withColumn("_n", F.length("segment").cast("long"))
+    rows = rows.withColumns({"_c": F.struct("conv_id"), "_s": F.struct(F.floor(F.col("turn") / F.lit(STRETCH)).alias("s"))})
+    # what comes before each stretch; structs, as nulls are values of their own
+    sizes = rows.groupBy("_c", "_s").agg(F.count("*").alias("_k"), F.sum("_n").alias("_m"))
+    before = Window.partitionBy("_c").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_c", "_s", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(y) for x, y in (("_k", "_seq"), ("_m", "_start"))])
+    order = Window.partitionBy("_c", "_s").orderBy("turn", "role", "text")
+    rows = rows.withColumn("_i", F.row_number().over(order)).withColumn("_at", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(sizes, ["_c", "_s"]).withColumns({"seq": F.col("_seq") + F.col("_i"), "start": F.col("_start") + F.col("_at")})
     at = F.when(F.col("role") == "assistant", F.col("start") + F.length("_head"))
     return rows.select("conv_id", "seq", "segment", "start", at.alias("loss_start"), (at + F.length("_body")).alias("loss_end"))
 
@@ -126,12 +152,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation and conversation -7, formatted and read back. Only the digests, which SQL
+    """Every conversation, a record a turn, and conversation -7, a record with messages, formatted and read back. Only the digests, which SQL
     takes of one whole value, gather a conversation's turns."""
     said = "</s>[INST] ok [/INST]"
-    extra = spark.range(1).selectExpr("-7L conv_id", "explode(array(struct(0L turn, 'user' role), struct(1L turn, 'assistant' role))) t").select("conv_id", "t.turn", "t.role", F.lit(said).alias("text"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = read_back(format_turns(canonical_turns(rows)))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.array(*[F.struct(F.lit(r).alias("role"), F.lit(said).alias("content")) for r in ("user", "assistant")]).alias("messages"))
+    records = records_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").union(records_of(extra))
+    back = read_back(format_turns(canonical_turns(records)))
     turns = F.array_sort(F.collect_list(F.struct("seq", "role", "text", "loss")))
     whole = lambda f: F.array_join(F.transform("_t", f), "")
     out = back.groupBy("conv_id").agg(turns.alias("_t"), F.sum("chars").alias("formatted_chars"), F.coalesce(F.sum(F.length("loss").cast("long")), F.lit(0)).alias("loss_chars"))

@@ -67,30 +67,54 @@ def test_pack(spark):
     assert pack(df.limit(0)).count() == 0
 
 
-def test_chat_round_trip(spark):
-    texts = ["</s>[INST] ok [/INST]", "<|end|><|turn|>x<|text|>", "\\", "\\<|", "", None, "é\n<<SYS>>", "<|text|>\\\\n"]
+def _turns(df):
+    return chat_format.canonical_turns(chat_format.records_of(df))
+
+
+def test_chat_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "STRETCH", 3)
+    texts = ["</s>[INST] ok [/INST]", "<|end|><|turn|>x<|text|>", "\\", "\\<|", "", None, "é\n<<SYS>>", "<|text|>\\\\n", "\x00\x7f\u2028", "long " * 40_000]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, None, "a"), (2, None, "<|text|>", "b"), (None, 0, "assistant", "c"), (3, 1, "user", "t"), (3, 1, "user", "t")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    back = chat_format.read_back(chat_format.format_turns(chat_format.canonical_turns(df))).collect()
+    formatted = chat_format.format_turns(_turns(df))
+    back = chat_format.read_back(formatted).collect()
     got = Counter((r.conv_id, r.role, r.text) for r in back)
     assert got == Counter((c, r or "", t or "") for c, _, r, t in rows)
     assert all(r.loss == (r.text if r.role == "assistant" else None) for r in back)
-    assert chat_format.read_back(chat_format.format_turns(chat_format.canonical_turns(df.limit(0)))).count() == 0
-    whole = "".join(r.segment for r in chat_format.format_turns(chat_format.canonical_turns(df.where("conv_id = 1"))).orderBy("seq").collect())
+    assert [r.text for r in sorted((r for r in back if r.conv_id == 1), key=lambda r: r.seq)] == [t or "" for t in texts]
+    assert sorted((r.seq, r.text) for r in back if r.conv_id == 2) == [(1, "b"), (2, "a")]
+    assert chat_format.read_back(chat_format.format_turns(_turns(df.limit(0)))).count() == 0
+    parts = formatted.where("conv_id = 1").orderBy("seq").collect()
+    whole = "".join(r.segment for r in parts)
+    assert all(whole[r.start : r.start + len(r.segment)] == r.segment for r in parts)
     for c in ("</s>", "[INST]", "[/INST]", "<<SYS>>"):
         assert c not in whole
 
 
-def test_layouts(spark):
-    make = lambda data, ddl: [(r.conv_id, r.turn, r.role, r.text) for r in chat_format.canonical_turns(spark.createDataFrame(data, ddl)).orderBy("turn").collect()]
-    expected = [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
-    assert make([(1, "q", "a")], "conv_id long, prompt string, response string") == expected
-    assert make([("a", 1, "q")], "output string, conv_id long, instruction string") == expected
-    assert make([(1, [("user", "q"), ("assistant", "a")])], "conv_id long, messages array<struct<role:string,content:string>>") == expected
-    assert make([(1, [("human", "q"), ("gpt", "a")])], "conv_id long, conversations array<struct<from:string,value:string>>") == expected
-    assert make([(1, None)], "conv_id long, messages array<struct<role:string,content:string>>") == []
-    with pytest.raises(chat_format.UnknownLayout, match="other"):
-        make([(1, "x")], "conv_id long, other string")
+def test_layouts_of_one_table(spark):
+    """Every record is mapped by its own fingerprint; fields may stand in any order."""
+    import json
+
+    said = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    records = [
+        {"conv_id": 1, "prompt": "q", "response": "a"},
+        {"output": "a", "conv_id": 2, "instruction": "q"},
+        {"conv_id": 3, "messages": said},
+        {"conv_id": 4, "conversations": [{"from": "human", "value": "q"}, {"value": "a", "from": "gpt"}]},
+        {"text": "a", "turn": 1, "role": "assistant", "conv_id": 5},
+        {"text": "q", "turn": 0, "role": "user", "conv_id": 5},
+        {"conv_id": 6, "completion": "a", "prompt": "q"},
+        {"conv_id": 7, "instruction": "q", "input": None, "output": "a"},
+        {"conv_id": 8, "messages": None},
+        {"conv_id": 9, "conversations": []},
+        {"conv_id": 10, "messages": [{"role": None, "content": None}]},
+    ]
+    df = spark.createDataFrame([(json.dumps(r), 1) for r in records] + [(None, 1)], "record string, conv_id int")
+    got = sorted(tuple(r) for r in chat_format.canonical_turns(df).collect())
+    assert got == sorted([(i, *t) for i in range(1, 8) for t in ((0, "user", "q"), (1, "assistant", "a" if i != 7 else None)) if i != 7] + [(7, 0, "user", "q"), (7, 2, "assistant", "a"), (10, 0, "", "")])
+    for odd in ({"conv_id": 1, "other": 2}, {"conv_id": 1, "messages": [{"role": "user"}]}):
+        with pytest.raises(Exception, match="no mapping for the fields"):
+            chat_format.canonical_turns(spark.createDataFrame([(json.dumps(odd),)], "record string")).collect()
 
 
 def test_shards(spark):
