@@ -15,6 +15,7 @@ SPAN = 8
 
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """Counts over the whole text of each row; a null text has no words. All in one pass, row by row, without a shuffle.
+    Null ids stay, repeated rows are counted each, an empty table gives no row; columns that aren't named are ignored.
 
     Repeated windows are found by their 64-bit hashes: a set tells whether there are any, and only then are they sorted.
     """
@@ -89,8 +90,9 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = 15) -> tuple[f
     against = " OR ".join(f"{x} < 0" for x in names)
     q, prior, shares = F.expr(f"CASE WHEN {against} THEN 0.1D ELSE 0.95D END"), 0.5, {x: dict.fromkeys((-1, 1), (0.5, 0.5)) for x in names}
     for _ in range(rounds):
-        sums = {f"{x}_{v}_{side}": F.sum(F.when(F.col(x) == v, F.col("n") * w).otherwise(0.0)) for x in names for v in (-1, 1) for side, w in (("g", q), ("b", 1 - q))}
-        row = patterns.agg(F.sum("n").alias("all"), F.sum(F.col("n") * q).alias("good"), *[c.alias(k) for k, c in sums.items()]).first()
+        shared = patterns.select(*names, (F.col("n") * q).alias("_g"), (F.col("n") * (1 - q)).alias("_b"))
+        sums = {f"{x}_{v}_{side}": F.sum(F.when(F.col(x) == v, F.col(f"_{side}")).otherwise(0.0)) for x in names for v in (-1, 1) for side in "gb"}
+        row = shared.agg(F.sum(F.col("_g") + F.col("_b")).alias("all"), F.sum("_g").alias("good"), *[c.alias(k) for k, c in sums.items()]).first()
         if not row["all"]:
             break
         good, bad = row["good"], row["all"] - row["good"]
@@ -119,5 +121,6 @@ def judge(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: s
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() over all documents: the same rows, nulls and ties as there."""
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
