@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,16 +64,16 @@ class Packer:
         return done
 
 
-def pack(df: DataFrame, size: int = 1024, most: int = 64, tokenizer: str = "byte_bpe_50k", merge: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, size: int = 1024, most: int = 64, tokenizer: str = "byte_bpe_50k", merge: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and a closing 0, cut after every `size` ids; whole pieces are sequences of their own, the
     rest is placed best-fit. Each partition packs for itself with `most` open windows; the windows that it leaves open
     (`most` at most, whatever its size) meet those of `merge` partitions in one shuffle of piece rows, without ids,
-    and are merged best-fit decreasing. Ids of sequences come from the partition's number, so a task that is
-    run again gives the same rows.
+    and are merged best-fit decreasing. Ids of sequences come from the partition's number, and rows are sorted by id and checksum of the
+    text within it, so a task that is run again gives the same rows whatever order they reached it in.
 
-    Null text: only the closing 0. Null id: packed like any. Repeated rows: each packed. Empty input: no row.
+    Null text: only the closing 0. Null id: packed like any. Repeated rows: each packed. Ties between windows: the older one. Empty input: no row.
     Columns that aren't named are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +93,6 @@ def pack(df: DataFrame, size: int = 1024, most: int = 64, tokenizer: str = "byte
         left: dict[int, list[tuple]] = {}
         for batch in batches:
             is_open = batch.column(7)
-            import pyarrow.compute as pc
-
             yield batch.filter(pc.invert(is_open)).select(_FIELDS)
             for row in zip(*[c.to_pylist() for c in batch.filter(is_open).select(_FIELDS).columns], strict=True):
                 left.setdefault(row[5], []).append(row)
@@ -112,7 +111,7 @@ def pack(df: DataFrame, size: int = 1024, most: int = 64, tokenizer: str = "byte
 
     integers = [(n, pa.int64()) for n in _FIELDS]
     final, schema = pa.schema(integers), pa.schema([*integers, ("_open", pa.bool_()), ("_to", pa.int64())])
-    pieces = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"{PIECES}, _open boolean, _to long")
+    pieces = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, f"{PIECES}, _open boolean, _to long")
     return pieces.repartition(partitions(df.sparkSession), "_open", "_to").mapInArrow(join, PIECES)
 
 
@@ -122,4 +121,5 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() over all documents."""
     return pack(table(spark, sf_dir, "documents"))
