@@ -8,29 +8,35 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def interleave_shards(df: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "source", bucket_bits: int = 12) -> DataFrame:
+#: Rows of a bucket, about.
+BUCKET = 1 << 14
+
+
+def interleave_shards(df: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "source", bucket_bits: int | None = None) -> DataFrame:
     """Deal every row to one of `shards` shards so that each shard has the mixture of the whole.
 
     Rows are ranked in a seeded shuffle within their stratum; sorted by (rank - 1/2) / stratum size,
     they are cut into `shards` runs whose counts differ by one at most (law `rows`).
 
     A rank is the offset of a hash bucket plus a row number inside that bucket, so no task ever holds
-    a whole stratum, however hot: a bucket has about 2**-bucket_bits of it. Only ids, sizes and
-    checksums are shuffled, never texts.
+    a whole stratum, however hot: a bucket has about 2**-bucket_bits of it, at most about BUCKET rows unless bucket_bits
+    is given. The hash is of id and text, so rows that share an id, or have none, spread as well; only rows that are the same in
+    both share a bucket. Only ids, sizes and checksums are shuffled, never texts.
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, law, shard, slot (gapless from 0 in a shard),
     grown_shard (null: law `rows` has none). Null text: size 1, checksum 0. Null id: hashed like a value.
     Null stratum: a stratum of its own. Repeated rows: each is dealt; equal ones are interchangeable.
     Empty input: empty result. Columns that aren't named are ignored, so they can't clash.
     """
+    if bucket_bits is None:
+        bucket_bits = max(4, (df.count() // BUCKET).bit_length())
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("null")).alias("_s"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"),
-    ).withColumn("_b", F.shiftrightunsigned("_h", 64 - bucket_bits))
+    ).withColumn("_h", F.xxhash64("doc_id", "text_crc32", "size", F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 64 - bucket_bits))
 
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -62,4 +68,5 @@ def interleave_shards(df: DataFrame, shards: int = 16, seed: int = 17, id_col: s
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """interleave_shards() over all documents, 16 shards."""
     return interleave_shards(table(spark, sf_dir, "documents"))
