@@ -119,7 +119,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans, redacted: one row a document.
 
-    Null text: as an empty one, without spans; redacted stays null. Null id: kept. Repeated rows: each scanned.
+    Null text: as an empty one, without spans; redacted stays null. Null id: kept. Repeated rows: each scanned. Empty table: no row.
     Texts are scanned whole, in one pass, on the executors; nothing is shuffled. Columns that aren't named are ignored.
     """
 
@@ -143,7 +143,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with every found secret replaced by a mark."""
+    """The same rows and columns, with every found secret replaced by a mark. Null texts stay null, null ids and repeated rows stay; an
+    empty table gives no row, and no name of a column can clash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,4 +156,5 @@ def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_secrets() over all documents, without the redacted texts."""
     return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
