@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-#: Rows of a bucket, about.
+#: Rows of a bucket, about, at most.
 BUCKET = 1 << 14
 
 
@@ -29,7 +29,7 @@ def interleave_shards(df: DataFrame, shards: int = 16, seed: int = 17, id_col: s
     Empty input: empty result. Columns that aren't named are ignored, so they can't clash.
     """
     if bucket_bits is None:
-        bucket_bits = max(4, (df.count() // BUCKET).bit_length())
+        bucket_bits = max(8, (df.count() // BUCKET).bit_length())
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(
         F.col(id_col).alias("doc_id"),

@@ -158,7 +158,7 @@ def test_shards_are_those_of_a_plain_ranking(spark):
         text = F.col("text").cast("binary")
         keyed = df.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("s"))
         strata = defaultdict(list)
-        b = bits or 4
+        b = bits or 8
         for r in keyed.withColumn("h", F.xxhash64("doc_id", "crc", "size", F.lit(17))).collect():
             strata[r.s].append(((r.h % (1 << 64)) >> (64 - b), r.h, r.doc_id is not None, r.doc_id or 0, r.crc, r.size))
         line = []
