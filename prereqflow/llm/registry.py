@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, language_id, near_dedup, packing, phrase_dedup, quality, secret_scan, sharding, suffix_dedup
+from . import bpe, chat_format, decontamination, hard_negatives, language_id, merkle, near_dedup, packing, phrase_dedup, quality, secret_scan, sharding, suffix_dedup
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         sharding.op8_sharding,
         language_id.op9_language_id,
         secret_scan.op10_secret_scans,
+        merkle.op11_merkle_manifest,
+        hard_negatives.op12_hard_negatives,
+        bpe.op13_byte_bpe,
     )
 }
 
@@ -26,4 +29,6 @@ ORACLE_SQL = {
     "op5_benchmark_decontamination": decontamination.OP5_SQL,
     "op6_chat_formatting": chat_format.OP6_SQL,
     "op7_minhash_near_dedup": near_dedup.OP7_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
