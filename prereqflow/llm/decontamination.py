@@ -20,8 +20,10 @@ K, PERCENT = 5, 80
 BLOCKS, WIDTH, ERRORS = 8, 8, 2
 #: What the blocks guarantee. A window at the bound of similarity is about 10 bits away from its item, give or take 3.
 RADIUS = BLOCKS * (ERRORS + 1) - 1
-#: Rows of a side, all of fixed width, that may be broadcast; larger ones are shuffled.
+#: Rows of a side, or hashes in them, that may be broadcast (a few MB); larger sides are shuffled.
 BROADCAST_ROWS = 250_000
+#: Tasks that the rows of one shingle are dealt to where that side is shuffled.
+SALT = 16
 
 
 def _words(text: str) -> Column:
@@ -51,8 +53,14 @@ def _weighted(a: str, b: str) -> Column:
     return F.expr(f"aggregate(array_intersect({a}, {b}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
 
 
-def _joined(rows: DataFrame, small: DataFrame, on: list[str], n: int) -> DataFrame:
-    return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
+def _joined(rows: DataFrame, small: DataFrame, on: list[str], n: int, spread: list[str] | None = None) -> DataFrame:
+    """spread: columns that tell apart the rows of one key, so that a hot one is dealt to SALT tasks."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), on)
+    if not spread:
+        return rows.join(small, on)
+    rows, small = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALT)).cast("int")), small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.join(small, [*on, "_salt"]).drop("_salt")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PERCENT, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -60,18 +68,20 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, percent: int = P
     a shorter document) whose similarity reaches percent / 100.
 
     Null or empty texts, and those of fewer than k words, have no shingle and match nothing. Null ids of documents or items: left out.
-    Repeated rows: as one; texts that share an id: each is searched. Empty tables: no row. Columns that aren't named are ignored.
+    Repeated rows: as one; texts that share an id, of documents or of items: each is searched, and the best counts. Empty tables: no row. Columns that aren't named are ignored.
     """
     if radius > RADIUS:
         raise ValueError(f"the blocks guarantee a radius of {RADIUS}")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where("doc_id IS NOT NULL")
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_text")).where("item_id IS NOT NULL")
-    items = positions(items.dropDuplicates(["item_id"]), "_text", k).groupBy("item_id").agg(F.array_sort(F.collect_list("_x")).alias("_ih"))
-    items = durable(items.select("item_id", "_ih", F.size("_ih").alias("_n")))
+    # a number for each text of an item, written once
+    items = durable(items.dropDuplicates(["item_id", "_text"]).withColumn("_item", F.monotonically_increasing_id()))
+    items = positions(items, "_text", k).groupBy("item_id", "_item").agg(F.array_sort(F.collect_list("_x")).alias("_ih"))
+    items = durable(items.select("item_id", "_item", "_ih", F.size("_ih").alias("_n")))
     n_items, n_known = items.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
 
     known = items.select("_n", F.explode("_ih").alias("_x")).distinct()
-    hits = _joined(positions(docs, "_text", k), known, ["_x"], n_known).groupBy("doc_id", "_m", "_n").agg(F.array_sort(F.collect_set("_p")).alias("_p"))
+    hits = _joined(positions(docs, "_text", k), known, ["_x"], n_known, ["doc_id", "_p"]).groupBy("doc_id", "_m", "_n").agg(F.array_sort(F.collect_set("_p")).alias("_p"))
     hits = hits.withColumn("_l", F.least("_n", "_m"))
     hits = hits.withColumn("_need", F.ceil(F.lit(percent) * (F.col("_n") + F.col("_l")) / F.lit(100 + percent)).cast("int")).where(F.size("_p") >= F.col("_need"))
     start = "least(p, _m - _l)"
@@ -85,8 +95,8 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, percent: int = P
     hashed = split.select("doc_id", "_n", F.transform(F.sequence(F.col("_s") + 1, F.col("_s") + F.col("_l")), lambda i: _shingle("_w", i, k)).alias("_wh"))
     # written out, or each of a fingerprint's 64 bits would be taken from the text anew
     prints = durable(hashed).withColumn("_wf", _fingerprint("_wh"))
-    found = lookup(prints, items.select("item_id", "_n", _fingerprint("_ih").alias("_if")), n_items, radius)
-    near = _joined(found, items.select("item_id", "_ih"), ["item_id"], n_known).withColumn("_c", _weighted("_wh", "_ih"))
+    found = lookup(prints, items.select(F.col("_item").alias("item_id"), "_n", _fingerprint("_ih").alias("_if")), n_items, radius).withColumnRenamed("item_id", "_item")
+    near = _joined(found, items.select("_item", "item_id", "_ih"), ["_item"], n_known).withColumn("_c", _weighted("_wh", "_ih"))
     total = F.size("_wh") + F.size("_ih") - F.col("_c")
     similar = near.where(100 * F.col("_c") >= percent * total).withColumn("similarity", F.col("_c") / total)
     return similar.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))

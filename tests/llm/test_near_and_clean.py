@@ -121,6 +121,17 @@ def test_decontamination(spark):
     assert contaminated(df, it.limit(0)).count() == contaminated(df.limit(0), it).count() == 0
 
 
+def test_items_that_share_an_id_are_each_searched(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 20), ("b", 20), ("c", 33)))
+    near = b.replace("b19", "zz")
+    docs = [(1, f"x y {a} z"), (2, f"q {b}"), (3, "none of them " * 9), (4, f"{a} and {near} and {c}"), (5, c)]
+    items = [(1, a), (1, b), (1, near), (1, a), (2, c), (2, None)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*x, 0, "y") for x in items], "item_id long, text string, _n int, _item string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(df, it).collect()}
+    assert got == {(1, 1): 1.0, (2, 1): 1.0, (4, 1): 1.0, (4, 2): 1.0, (5, 2): 1.0}
+    assert [r.doc_id for r in clean(df, it).collect()] == [3]
+
+
 def _features(text, span=8):
     text = text or ""
     w = WORD.findall(text)
