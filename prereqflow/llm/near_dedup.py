@@ -38,6 +38,8 @@ _XOR = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * U(2) + U(1)
 #: Members compared with each other at once; those of them that go to every block of a larger group; tasks for such a group.
 BLOCK, PIVOTS, SALT = 1024, 64, 16
+#: Keys that are joined by broadcast at most, and the least rows of such a key.
+HOT = 1024
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -268,6 +270,14 @@ def _meeting(row: np.ndarray, column: np.ndarray, columns: int, size: np.ndarray
     return near
 
 
+def _with(rows: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows with the row of small that has their key. count: how many rows have it. Keys that have a HOT-th of all rows, or more, are HOT at
+    most; they are broadcast and their rows stay where they are, so no key fills a task."""
+    limit = max(HOT, (small.agg(F.sum(count)).first()[0] or 0) // HOT)
+    hot, rest = small.where(F.col(count) >= limit), small.where(F.col(count) < limit)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def _checked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, check, text: rows of one id are told apart by a checksum of their text."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("check"), F.col(text_col).alias("text"))
@@ -277,9 +287,9 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, check, n_shingles, first: the least struct(doc_id, check) of the component; null where no set or id is."""
     n = partitions(docs.sparkSession)
     feats = durable(docs.mapInArrow(lambda b: _features(b, k), "doc_id long, check long, n_shingles long, set binary, sig binary"))
-    classes = feats.where("doc_id IS NOT NULL AND set IS NOT NULL").groupBy("set", "sig").agg(F.min(F.struct("doc_id", "check")).alias("own"))
+    classes = feats.where("doc_id IS NOT NULL AND set IS NOT NULL").groupBy("set", "sig").agg(F.min(F.struct("doc_id", "check")).alias("own"), F.count("*").alias("copies"))
     # written once, so the numbers of nodes stay
-    nodes = durable(classes.select(F.monotonically_increasing_id().alias("node"), "own", "set", "sig"))
+    nodes = durable(classes.select(F.monotonically_increasing_id().alias("node"), "own", "set", "sig", "copies"))
     keyed = nodes.select("node", "sig").mapInArrow(_keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     h = F.xxhash64("node")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 30)).alias("y")).where("size > 1")
@@ -295,12 +305,14 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         wanted = rows.select("node").distinct().join(nodes.select("node", "own.*"), "node")
         return rows.join(wanted.join(docs, ["doc_id", "check"]).dropDuplicates(["doc_id", "check"]).select("node", F.col("text").alias("load")), "node")
 
-    roots = _connected(families.join(sizes, "grp"), texts, lambda b: _similar(b, k, percent))
+    roots = _connected(_with(families, durable(sizes), "grp", "size"), texts, lambda b: _similar(b, k, percent))
     roots = durable(roots.join(nodes.select("node", "own"), "node"))
-    firsts = roots.groupBy("root").agg(F.min("own").alias("first"))
-    linked = roots.join(firsts, "root").select("node", "first")
-    known = nodes.join(linked, "node", "left").select(F.col("set").alias("_set"), F.coalesce("first", "own").alias("first"))
-    return feats.drop("sig").join(known, F.when(F.col("doc_id").isNotNull(), F.col("set")) == F.col("_set"), "left").select("doc_id", "check", "n_shingles", "first")
+    firsts = durable(roots.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("n")))
+    linked = _with(roots, firsts, "root", "n").select("node", "first")
+    known = durable(nodes.join(linked, "node", "left").select("set", "copies", F.coalesce("first", "own").alias("first")))
+    feats, named = feats.drop("sig"), F.col("doc_id").isNotNull() & F.col("set").isNotNull()
+    out = _with(feats.where(named), known, "set", "copies").select("doc_id", "check", "n_shingles", "first")
+    return out.unionByName(feats.where(~named).select("doc_id", "check", "n_shingles"), allowMissingColumns=True)
 
 
 def near_duplicates(df: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
