@@ -80,26 +80,23 @@ def _log_odds(prior: float, shares: dict[str, dict[int, tuple[float, float]]]) -
 
 
 def estimate(patterns: DataFrame, names: list[str], rounds: int = 15) -> tuple[float, dict[str, dict[int, tuple[float, float]]]]:
-    """Share of good documents, and how each rule votes on good and on bad ones, from counts `n` of vote patterns
-    (3 ** rules rows at most).
+    """Share of good documents, and how each rule votes on good and on bad ones, from counts `n` of vote patterns.
 
-    Starts from: a document that any rule votes against is bad. Every round is one aggregate to one row: the
-    posterior of each pattern under the last estimates, then new estimates from it, smoothed by one document per
-    vote. No pattern: even odds.
+    There are 3 ** rules patterns at most, whatever the input (6,561 for eight rules): that table comes to the driver once, and rounds are
+    arithmetic on it. Starts from: a document that any rule votes against is bad. Every round takes the posterior of each
+    pattern under the last estimates, then new estimates from it, smoothed by one document per vote. No pattern: even odds.
     """
-    against = " OR ".join(f"{x} < 0" for x in names)
-    q, prior, shares = F.expr(f"CASE WHEN {against} THEN 0.1D ELSE 0.95D END"), 0.5, {x: dict.fromkeys((-1, 1), (0.5, 0.5)) for x in names}
-    for _ in range(rounds):
-        shared = patterns.select(*names, (F.col("n") * q).alias("_g"), (F.col("n") * (1 - q)).alias("_b"))
-        sums = {f"{x}_{v}_{side}": F.sum(F.when(F.col(x) == v, F.col(f"_{side}")).otherwise(0.0)) for x in names for v in (-1, 1) for side in "gb"}
-        row = shared.agg(F.sum(F.col("_g") + F.col("_b")).alias("all"), F.sum("_g").alias("good"), *[c.alias(k) for k, c in sums.items()]).first()
-        if not row["all"]:
-            break
-        good, bad = row["good"], row["all"] - row["good"]
-        prior = (good + 1) / (row["all"] + 2)
-        voted = {(x, side): row[f"{x}_-1_{side}"] + row[f"{x}_1_{side}"] + 2 for x in names for side in "gb"}
-        shares = {x: {v: tuple((row[f"{x}_{v}_{side}"] + 1) / voted[x, side] for side in "gb") for v in (-1, 1)} for x in names}
-        q = 1 / (1 + F.exp(-_log_odds(prior, shares)))
+    rows = sorted((tuple(r[x] for x in names), r["n"]) for r in patterns.select(*names, "n").toLocalIterator())
+    q, prior, shares = [0.1 if min(votes) < 0 else 0.95 for votes, _ in rows], 0.5, {x: dict.fromkeys((-1, 1), (0.5, 0.5)) for x in names}
+    total = sum(n for _, n in rows)
+    for _ in range(rounds if total else 0):
+        good = math.fsum(n * p for (_, n), p in zip(rows, q, strict=True))
+        prior = (good + 1) / (total + 2)
+        for i, x in enumerate(names):
+            sums = {v: [1 + math.fsum(n * (p if side else 1 - p) for (votes, n), p in zip(rows, q, strict=True) if votes[i] == v) for side in (1, 0)] for v in (-1, 1)}
+            shares[x] = {v: tuple(sums[v][side] / (sums[-1][side] + sums[1][side]) for side in (0, 1)) for v in (-1, 1)}
+        gains = [{v: math.log(g / b) for v, (g, b) in shares[x].items()} for x in names]
+        q = [1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(gain.get(v, 0.0) for gain, v in zip(gains, votes, strict=True))))) for votes, _ in rows]
     return prior, shares
 
 
@@ -114,8 +111,7 @@ def judge(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: s
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = features(df, id_col, text_col).withColumns({f"{k}_vote": v for k, v in rules().items()})
     voted = durable(counted.withColumn("base_failed", failed))
-    patterns = durable(voted.where("NOT base_failed").groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1))
-    prior, shares = estimate(patterns, votes)
+    prior, shares = estimate(voted.where("NOT base_failed").groupBy(*votes).agg(F.count("*").alias("n")), votes)
     p = 1 / (1 + F.exp(-_log_odds(prior, shares)))
     return voted.withColumn("p_good", p).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
 
