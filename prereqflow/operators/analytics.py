@@ -10,24 +10,36 @@ from ..functions.numbers import round_exact
 from ..functions.text import strip
 from ..plans.durable import durable
 from .graph import PrereqGraph
+from .reach import Reach
 from .sequence import in_order, topological_order
 from .traverse import ancestors, closure, edges_of
 
 
-def bottlenecks(graph: PrereqGraph, top_n: int | None = 10, reach: DataFrame | None = None) -> DataFrame:
-    """Concepts by how much they unlock: downstream, then direct dependents, then insertion order; rank from 1."""
+def bottlenecks(graph: PrereqGraph, top_n: int | None = 10, reach: DataFrame | Reach | None = None) -> DataFrame:
+    """Concepts by how much they unlock: downstream, then direct dependents, then insertion order; rank from 1.
+
+    reach: the closure as pairs (src, dst) or as bits; by default pairs. What is unlocked is listed for the concepts that stay alone.
+    """
     reach = closure(edges_of(graph.dependencies)) if reach is None else reach
-    down = reach.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("downstream_count"), F.array_sort(F.collect_list("dst")).alias("unlocked_concept_ids"))
+    if isinstance(reach, Reach):
+        down = reach.counts()
+    else:
+        down = reach.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("downstream_count"))
     direct = graph.dependencies.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("direct_dependents_count"))
     total = graph.concepts.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("_most"))
     out = graph.concepts.join(down, "id", "left").join(direct, "id", "left").fillna(0, ["downstream_count", "direct_dependents_count"]).crossJoin(F.broadcast(total))
-    out = out.withColumn("unlocked_concept_ids", F.coalesce("unlocked_concept_ids", F.array().cast("array<string>")))
     out = out.withColumn("impact_score", round_exact(F.col("downstream_count") / F.col("_most"), 3)).withColumn(
         "description", F.concat(F.lit("Mastering '"), "name", F.lit("' unlocks "), F.col("downstream_count").cast("string"), F.lit(" downstream topics ("), F.col("direct_dependents_count").cast("string"), F.lit(" immediate)."))
     )
     out = out.drop("_most", "metadata").withColumn("key", F.struct(-F.col("downstream_count"), -F.col("direct_dependents_count"), F.col("seq")))
     out = durable(out.orderBy("key").limit(top_n) if top_n else out)
-    return in_order(out).withColumn("rank", (F.col("_i") + 1).cast("long")).drop("key", "_i").orderBy("rank")
+    if isinstance(reach, Reach):
+        pairs = reach.of(out.select("id"))
+    else:
+        pairs = reach.join(out.select(F.col("id").alias("src")), "src", "left_semi") if top_n else reach
+    lists = pairs.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("unlocked_concept_ids"))
+    out = in_order(out).withColumn("rank", (F.col("_i") + 1).cast("long")).drop("key", "_i").join(lists, "id", "left")
+    return out.withColumn("unlocked_concept_ids", F.coalesce("unlocked_concept_ids", F.array().cast("array<string>"))).orderBy("rank")
 
 
 def readiness(graph: PrereqGraph, mastery: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -57,20 +69,34 @@ def concept_readiness(graph: PrereqGraph, concept_id: str, mastery: DataFrame) -
     return readiness(graph, mastery, asked).join(F.broadcast(one), "concept_id")
 
 
+def _needed(graph: PrereqGraph, target: str) -> DataFrame:
+    """concept_id of all that the target needs."""
+    return durable(ancestors(edges_of(graph.dependencies), graph.concept(target).select("id")).where(F.col("node") != target).select(F.col("node").alias("concept_id")))
+
+
+def _known(need: DataFrame, mastery: DataFrame) -> DataFrame:
+    """user_id, total, known, progress_percentage: only what a user knows meets what is needed, never all users all of it."""
+    known = mastery.select("user_id", strip(F.col("concept_id")).alias("concept_id")).distinct().join(need, "concept_id").groupBy("user_id").agg(F.count("*").alias("known"))
+    out = mastery.select("user_id").distinct().join(known, "user_id", "left").fillna(0, ["known"]).crossJoin(F.broadcast(need.agg(F.count("*").alias("total"))))
+    return out.withColumn("progress_percentage", F.when(F.col("total") == 0, 100.0).otherwise(round_exact(F.col("known") / F.col("total") * 100, 1)))
+
+
+def progress(graph: PrereqGraph, target: str, mastery: DataFrame) -> DataFrame:
+    """user_id, total, known, progress_percentage of missing_prerequisites(), without what is missing; so no order is asked for, and a cycle doesn't matter."""
+    return _known(_needed(graph, graph.require(target)), mastery)
+
+
 def missing_prerequisites(graph: PrereqGraph, target: str, mastery: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """user_id, total, known, progress_percentage, missing (ids in study order) for each user of mastery. Ids are trimmed. A target that
     needs nothing is 100 % and asks for no order; else a cycle anywhere raises CycleDetected."""
     target = graph.require(target)
-    need = ancestors(edges_of(graph.dependencies), graph.concept(target).select("id")).where(F.col("node") != target).select(F.col("node").alias("concept_id"))
-    users = mastery.select("user_id").distinct()
+    need = _needed(graph, target)
+    counts = _known(need, mastery)
+    none = F.array().cast("array<string>")
     if not need.take(1):  # nothing to order
-        return users.select("user_id", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("known"), F.array().cast("array<string>").alias("missing"), F.lit(100.0).alias("progress_percentage"))
+        return counts.withColumn("missing", none)
     order = topological_order(graph) if order is None else order
-    known = mastery.select("user_id", strip(F.col("concept_id")).alias("concept_id")).distinct().withColumn("_k", F.lit(1))
-    each = users.crossJoin(need.join(order.select(F.col("id").alias("concept_id"), "pos"), "concept_id")).join(known, ["user_id", "concept_id"], "left")
-    got = each.groupBy("user_id").agg(
-        F.count("*").alias("total"), F.count("_k").alias("known"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("_k").isNull(), F.struct("pos", "concept_id")))), lambda x: x.concept_id).alias("missing"),
-    )
-    out = users.join(got, "user_id", "left").fillna(0, ["total", "known"]).withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
-    return out.withColumn("progress_percentage", F.when(F.col("total") == 0, 100.0).otherwise(round_exact(F.col("known") / F.col("total") * 100, 1)))
+    known = mastery.select("user_id", strip(F.col("concept_id")).alias("concept_id")).distinct()
+    each = mastery.select("user_id").distinct().crossJoin(need.join(order.select(F.col("id").alias("concept_id"), "pos"), "concept_id")).join(known, ["user_id", "concept_id"], "left_anti")
+    lists = each.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "concept_id"))), lambda x: x.concept_id).alias("missing"))
+    return counts.join(lists, "user_id", "left").withColumn("missing", F.coalesce("missing", none))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, graph as G, infer, recommend, sequence, syllabus, traverse
+from ..operators import analytics, graph as G, infer, maintain, reach, recommend, sequence, syllabus, traverse
 from ..sources import store, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,6 +232,46 @@ def unlocked_ids(spark, d):
     return analytics.bottlenecks(views.graph(spark, d), None).select("id", F.array_join("unlocked_concept_ids", ",").alias("unlocked"))
 
 
+_REACH = ", dc AS (SELECT s AS id, count(*) AS n FROM r GROUP BY s), uc AS (SELECT t AS id, count(*) AS n FROM r GROUP BY t)"
+
+
+def _reach(g):
+    return reach.reach(traverse.edges_of(g.dependencies), g.concepts)
+
+
+@query(f"{_REACH} SELECT c.id, coalesce(dc.n, 0) AS downstream_count, coalesce(uc.n, 0) AS upstream_count FROM c LEFT JOIN dc ON dc.id = c.id LEFT JOIN uc ON uc.id = c.id", all_pairs=True)
+def closure_bitmap_counts(spark, d, views=views):
+    bits = _reach(views.graph(spark, d))
+    return bits.counts().join(bits.upstream_counts(), "id")
+
+
+@query(f"{_DOWN} SELECT {_RANK}, {_BOTTLE}, unlocked FROM b ORDER BY downstream_count DESC, direct_dependents_count DESC, seq LIMIT 10", all_pairs=True)
+def bottlenecks_by_bits(spark, d, views=views):
+    g = views.graph(spark, d)
+    return analytics.bottlenecks(g, 10, _reach(g)).select("rank", *_BOTTLE.split(", "), F.array_join("unlocked_concept_ids", ",").alias("unlocked"))
+
+
+@query(f"{_DOWN}, top AS (SELECT id FROM b ORDER BY downstream_count DESC, direct_dependents_count DESC, seq LIMIT 10) SELECT m.u AS user_id, r.s AS id, count(*) AS common FROM r JOIN top ON top.id = r.s JOIN m ON m.id = r.t GROUP BY 1, 2", all_pairs=True)
+def mastered_below_bottlenecks(spark, d, views=views):
+    """How many of the concepts that each bottleneck unlocks each cohort has mastered, by bits of both."""
+    g = views.graph(spark, d)
+    bits = _reach(g)
+    top = analytics.bottlenecks(g, 10, bits).select("id")
+    return bits.common(reach.bits_of(views.mastery(spark, d).withColumnRenamed("concept_id", "id"), bits.ids, "user_id"), "user_id", top)
+
+
+_CHANGED = """, ne AS MATERIALIZED (SELECT s, t FROM e WHERE seq % 53 <> 0 UNION SELECT 'p' || least(a, b), 'p' || greatest(a, b) FROM st WHERE (a + b) % 97 = 0), nr AS (SELECT s, t FROM ne UNION SELECT nr.s, ne.t FROM nr JOIN ne ON nr.t = ne.s)"""
+
+
+@query(f"{_CHANGED} SELECT s AS src, t AS dst FROM nr")
+def closure_after_changes(spark, d):
+    """The closure of the sparse view, after a batch of deleted edges and of inserted ones, without being computed anew."""
+    old = views.dependencies(spark, d)
+    new = views.all_dependencies(spark, d).where("(CAST(substring(source_id, 2) AS BIGINT) + CAST(substring(target_id, 2) AS BIGINT)) % 97 = 0")
+    live = maintain.LiveClosure.of(traverse.edges_of(old))
+    return live.apply(traverse.edges_of(new), traverse.edges_of(old.where("seq % 53 = 0"))).pairs
+
+
 _READY = "SELECT u.u AS user_id, e.t AS concept_id, coalesce(string_agg(CASE WHEN m.id IS NULL THEN e.s END, ',' ORDER BY e.seq), '') AS unmet FROM (SELECT DISTINCT u FROM m) u CROSS JOIN e LEFT JOIN m ON m.u = u.u AND m.id = e.s GROUP BY 1, 2"
 
 
@@ -273,24 +313,25 @@ def unmet_prerequisites(spark, d):
 _MISS = f", need AS MATERIALIZED (SELECT s AS id FROM r WHERE t = {_TARGET}), us AS (SELECT DISTINCT u FROM m)"
 
 
-def _missing(spark, d, views=views):
+def _progress(spark, d, views):
     g = views.graph(spark, d)
-    return analytics.missing_prerequisites(g, _target(g)[1], views.mastery(spark, d))
+    return analytics.progress(g, _target(g)[1], views.mastery(spark, d))
 
 
 @query(f"{_MISS} SELECT us.u AS user_id, need.id AS concept_id FROM us CROSS JOIN need WHERE (us.u, need.id) NOT IN (SELECT u, id FROM m)")
 def missing_prerequisites(spark, d):
-    return _missing(spark, d).select("user_id", F.explode("missing").alias("concept_id"))
+    g = views.graph(spark, d)
+    return analytics.missing_prerequisites(g, _target(g)[1], views.mastery(spark, d)).select("user_id", F.explode("missing").alias("concept_id"))
 
 
 @query(f"{_MISS} SELECT us.u AS user_id, (SELECT count(*) FROM m JOIN need USING (id) WHERE m.u = us.u) AS known FROM us", all_customers=True)
 def known_ancestors(spark, d, views=views):
-    return _missing(spark, d, views).select("user_id", "known")
+    return _progress(spark, d, views).select("user_id", "known")
 
 
 @query(f"{_MISS} SELECT us.u AS user_id, round_even((SELECT count(*) FROM m JOIN need USING (id) WHERE m.u = us.u) / (SELECT count(*) FROM need) * 100, 1) AS progress_percentage FROM us", all_customers=True)
 def progress_percentage(spark, d, views=views):
-    return _missing(spark, d, views).select("user_id", "progress_percentage")
+    return _progress(spark, d, views).select("user_id", "progress_percentage")
 
 
 @query("SELECT u AS user_id, count(*) AS known, CAST(printf('%.1f', count(*) / (SELECT count(*) FROM c) * 100) AS DOUBLE) AS mastery_percentage FROM m WHERE id IN (SELECT id FROM c) GROUP BY u", all_customers=True)
@@ -384,7 +425,7 @@ def concept_texts(spark, d):
 
 
 _CAND = f"""{_COS}, q AS (SELECT *, CASE WHEN lb < la THEN seq_b WHEN la = lb AND contains('topic ' || seq_a, 'topic ' || seq_b) AND NOT contains('topic ' || seq_b, 'topic ' || seq_a) THEN seq_b ELSE seq_a END AS s FROM p WHERE sim >= 0.30),
-t AS (SELECT *, CASE WHEN s = seq_a THEN seq_b ELSE seq_a END AS t FROM q), f AS (SELECT seq_a, seq_b, 'v' || s AS source_id, 'v' || t AS target_id,
+t AS (SELECT *, CASE WHEN s = seq_a THEN seq_b ELSE seq_a END AS t FROM q), f AS (SELECT seq_a, seq_b, sim, la, lb, 'v' || s AS source_id, 'v' || t AS target_id,
  0.40::DOUBLE * sim + 0.30::DOUBLE * (CASE WHEN la = lb THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END) + 0.15::DOUBLE * (CASE WHEN contains('topic ' || t, 'topic ' || s) THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END) + 0.15::DOUBLE * 0.5::DOUBLE AS confidence FROM t)"""
 
 
@@ -405,7 +446,7 @@ def inference_existing_edge_skip(spark, d):
     return infer.infer_prerequisites(G.PrereqGraph(g.concepts, old), _vectors(spark, d), auto_add=False).select("source_id", "target_id")
 
 
-@query(f"{_CAND} SELECT source_id, target_id, 'Inferred via local SentenceTransformer embeddings (similarity: ' || printf('%.2f', sim) || ') and unit precedence (Unit ' || CASE WHEN source_id = 'v' || seq_a THEN la ELSE lb END || ' -> Unit ' || CASE WHEN source_id = 'v' || seq_a THEN lb ELSE la END || ').' AS reason FROM (SELECT f.*, p.sim, p.la, p.lb FROM f JOIN p USING (seq_a, seq_b)) WHERE confidence >= 0.50", views_too=False)
+@query(f"{_CAND} SELECT source_id, target_id, 'Inferred via local SentenceTransformer embeddings (similarity: ' || printf('%.2f', sim) || ') and unit precedence (Unit ' || CASE WHEN source_id = 'v' || seq_a THEN la ELSE lb END || ' -> Unit ' || CASE WHEN source_id = 'v' || seq_a THEN lb ELSE la END || ').' AS reason FROM f WHERE confidence >= 0.50", views_too=False)
 def inferred_edge_reasons(spark, d):
     return infer.infer_prerequisites(_vector_graph(spark, d), _vectors(spark, d), auto_add=False).select("source_id", "target_id", "reason")
 
