@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +53,8 @@ def clean_topic(c: Column) -> Column:
 
 
 def is_topic(c: Column) -> Column:
-    low, bad = F.lower(c), F.lit(False)
-    for p in IGNORED_PREFIXES:
-        bad = bad | low.startswith(p)
-    return F.length(c).between(3, 75) & ~bad & ~c.rlike(COURSE_CODE)
+    ignored = "^(?:" + "|".join(map(re.escape, IGNORED_PREFIXES)) + ")"
+    return F.length(c).between(3, 75) & ~F.lower(c).rlike(ignored) & ~c.rlike(COURSE_CODE)
 
 
 def unit_number(unit: Column) -> Column:

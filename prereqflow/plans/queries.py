@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics, graph as G, infer, maintain, reach, recommend, sequence, syllabus, traverse
 from ..sources import store, views
+from .durable import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,6 +197,12 @@ def cycle_path_all_pairs(spark, d):
     return _cycle_path(spark, d, ALL_PAIRS)
 
 
+def _held(spark, d, views=views):
+    """The graph with its edges written once, for queries that read them several times."""
+    g = views.graph(spark, d)
+    return G.PrereqGraph(g.concepts, durable(g.dependencies))
+
+
 _TARGET = "(SELECT t FROM r GROUP BY t ORDER BY count(*) DESC, t LIMIT 1)"
 
 
@@ -219,17 +226,17 @@ _BOTTLE = "id, downstream_count, direct_dependents_count, impact_score, descript
 
 @query(f"{_DOWN} SELECT {_RANK}, {_BOTTLE} FROM b ORDER BY downstream_count DESC, direct_dependents_count DESC, seq LIMIT 10")
 def bottlenecks_top10(spark, d):
-    return analytics.bottlenecks(views.graph(spark, d), 10).select("rank", *_BOTTLE.split(", "))
+    return analytics.bottlenecks(_held(spark, d), 10).select("rank", *_BOTTLE.split(", "))
 
 
 @query(f"{_DOWN} SELECT {_RANK}, {_BOTTLE} FROM b")
 def bottlenecks_all(spark, d):
-    return analytics.bottlenecks(views.graph(spark, d), None).select("rank", *_BOTTLE.split(", "))
+    return analytics.bottlenecks(_held(spark, d), None).select("rank", *_BOTTLE.split(", "))
 
 
 @query(f"{_DOWN} SELECT id, unlocked FROM b")
 def unlocked_ids(spark, d):
-    return analytics.bottlenecks(views.graph(spark, d), None).select("id", F.array_join("unlocked_concept_ids", ",").alias("unlocked"))
+    return analytics.bottlenecks(_held(spark, d), None).select("id", F.array_join("unlocked_concept_ids", ",").alias("unlocked"))
 
 
 _REACH = ", dc AS (SELECT s AS id, count(*) AS n FROM r GROUP BY s), uc AS (SELECT t AS id, count(*) AS n FROM r GROUP BY t)"
@@ -247,14 +254,14 @@ def closure_bitmap_counts(spark, d, views=views):
 
 @query(f"{_DOWN} SELECT {_RANK}, {_BOTTLE}, unlocked FROM b ORDER BY downstream_count DESC, direct_dependents_count DESC, seq LIMIT 10", all_pairs=True)
 def bottlenecks_by_bits(spark, d, views=views):
-    g = views.graph(spark, d)
+    g = _held(spark, d, views)
     return analytics.bottlenecks(g, 10, _reach(g)).select("rank", *_BOTTLE.split(", "), F.array_join("unlocked_concept_ids", ",").alias("unlocked"))
 
 
 @query(f"{_DOWN}, top AS (SELECT id FROM b ORDER BY downstream_count DESC, direct_dependents_count DESC, seq LIMIT 10) SELECT m.u AS user_id, r.s AS id, count(*) AS common FROM r JOIN top ON top.id = r.s JOIN m ON m.id = r.t GROUP BY 1, 2", all_pairs=True)
 def mastered_below_bottlenecks(spark, d, views=views):
     """How many of the concepts that each bottleneck unlocks each cohort has mastered, by bits of both."""
-    g = views.graph(spark, d)
+    g = _held(spark, d, views)
     bits = _reach(g)
     top = analytics.bottlenecks(g, 10, bits).select("id")
     return bits.common(reach.bits_of(views.mastery(spark, d).withColumnRenamed("concept_id", "id"), bits.ids, "user_id"), "user_id", top)
@@ -277,7 +284,7 @@ _READY = "SELECT u.u AS user_id, e.t AS concept_id, coalesce(string_agg(CASE WHE
 
 def _ready(spark, d):
     """Asked: every user, every concept with prerequisites."""
-    g, mastery = views.graph(spark, d), views.mastery(spark, d)
+    g, mastery = _held(spark, d), durable(views.mastery(spark, d))
     asked = mastery.select("user_id").distinct().crossJoin(g.dependencies.select(F.col("target_id").alias("concept_id")).distinct())
     return analytics.readiness(g, mastery, asked)
 
@@ -314,14 +321,14 @@ _MISS = f", need AS MATERIALIZED (SELECT s AS id FROM r WHERE t = {_TARGET}), us
 
 
 def _progress(spark, d, views):
-    g = views.graph(spark, d)
-    return analytics.progress(g, _target(g)[1], views.mastery(spark, d))
+    g = _held(spark, d, views)
+    return analytics.progress(g, _target(g)[1], durable(views.mastery(spark, d)))
 
 
 @query(f"{_MISS} SELECT us.u AS user_id, need.id AS concept_id FROM us CROSS JOIN need WHERE (us.u, need.id) NOT IN (SELECT u, id FROM m)")
 def missing_prerequisites(spark, d):
-    g = views.graph(spark, d)
-    return analytics.missing_prerequisites(g, _target(g)[1], views.mastery(spark, d)).select("user_id", F.explode("missing").alias("concept_id"))
+    g = _held(spark, d)
+    return analytics.missing_prerequisites(g, _target(g)[1], durable(views.mastery(spark, d))).select("user_id", F.explode("missing").alias("concept_id"))
 
 
 @query(f"{_MISS} SELECT us.u AS user_id, (SELECT count(*) FROM m JOIN need USING (id) WHERE m.u = us.u) AS known FROM us", all_customers=True)
@@ -353,9 +360,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY u, status ORDER BY score DESC, s
 
 
 def _recommended(spark, d, k=5, views=views):
-    g = views.graph(spark, d)
+    g = _held(spark, d, views)
     reach, target = _target(g)
-    return recommend.recommend(g, views.mastery(spark, d), target, k, reach)
+    return recommend.recommend(g, durable(views.mastery(spark, d)), target, k, durable(reach))
 
 
 @query(f"{_REC} SELECT u AS user_id, rank, id, score, CAST(downstream AS BIGINT) AS downstream FROM k WHERE status = 'NOW' AND rank <= 5", all_customers=True)
@@ -503,13 +510,13 @@ def _outlines(spark, d):
 
 
 @query(_LINES + r", t AS (SELECT doc_id, line, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM k), f AS (SELECT doc_id, min_by(trim(regexp_replace(regexp_replace(line, '(?i)^[A-Z]{2,4}\s*[-:]?\s*\d{3,4}\s*[:|-]?\s*', ''), '(?i)^(course|syllabus|subject)\s*[:|-]\s*', '')), line_no) AS title FROM t WHERE r <= 5 AND length(line) BETWEEN 4 AND 79 AND NOT " + _HEAD + r" GROUP BY doc_id) SELECT d.doc_id, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM k) THEN 'Empty Syllabus' ELSE coalesce(f.title, 'Course Syllabus') END AS title FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id", views_too=False)
-def course_title(spark, d):
-    return syllabus.headers(_outlines(spark, d)).select("doc_id", F.col("course_title").alias("title"))
+def course_title(spark, d, texts=_outlines):
+    return syllabus.headers(texts(spark, d)).select("doc_id", F.col("course_title").alias("title"))
 
 
 @query(_LINES + f" SELECT doc_id, line_no, {_HEAD} AS is_header, CAST(sum(CAST({_HEAD} AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS block FROM k", views_too=False)
-def segment_units(spark, d):
-    return syllabus.blocks(_outlines(spark, d)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_header", "block")
+def segment_units(spark, d, texts=_outlines):
+    return syllabus.blocks(texts(spark, d)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_header", "block")
 
 
 _WORDCH = r"[\p{L}\p{N}_]"
@@ -530,8 +537,8 @@ tp AS MATERIALIZED (SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id O
 
 
 @query(f"{_TOPICS} SELECT * FROM tp", views_too=False)
-def topic_candidates(spark, d):
-    return syllabus.topics(_outlines(spark, d))
+def topic_candidates(spark, d, texts=_outlines):
+    return syllabus.topics(texts(spark, d))
 
 
 _PAIRS = f"""{_TOPICS}, pv AS (SELECT *, CASE WHEN unit_title = '' THEN 'Unit ' || unit_number ELSE 'Unit ' || unit_number || ': ' || unit_title END AS label, lag(id) OVER (PARTITION BY doc_id, unit_number ORDER BY topic_pos) AS p FROM tp),
@@ -539,8 +546,8 @@ pr AS (SELECT * FROM pv WHERE p IS NOT NULL AND p <> id QUALIFY row_number() OVE
 
 
 @query(f"{_PAIRS} SELECT row_number() OVER (ORDER BY doc_id, unit_number, topic_pos) AS seq, p AS source_id, id AS target_id, 'unit_sequence' AS relationship_type, 0.8::DOUBLE AS confidence, 'Sequential topic order within ' || label AS reason FROM pr", views_too=False)
-def outline_graph_edges(spark, d):
-    return syllabus.build_graph(_outlines(spark, d), sequential=True).dependencies
+def outline_graph_edges(spark, d, texts=_outlines):
+    return syllabus.build_graph(texts(spark, d), sequential=True).dependencies
 
 
 _TITLE = SQL["course_title"].removeprefix("WITH")
@@ -548,19 +555,61 @@ _NAMED = f"{_PAIRS}, hd AS (WITH {_TITLE}), cc AS ({SQL['course_code']})"
 
 
 @query(f"""{_NAMED}, nf AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM tp QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id, unit_number, topic_pos) = 1) GROUP BY doc_id), ef AS (SELECT doc_id, count(*) AS n FROM pr GROUP BY doc_id)
-SELECT u.doc_id, hd.title AS course_title, cc.code AS course_code, coalesce(nf.n, 0) AS nodes_added, coalesce(ef.n, 0) AS edges_added, u.n AS units_processed, u.k AS total_topics_count FROM (SELECT doc_id, count(DISTINCT unit_number) AS n, count(*) AS k FROM tp GROUP BY doc_id) u JOIN hd USING (doc_id) JOIN cc USING (doc_id) LEFT JOIN nf USING (doc_id) LEFT JOIN ef USING (doc_id)""", views_too=False)
-def outline_build_stats(spark, d):
-    docs = _outlines(spark, d)
-    return syllabus.graph_of_topics(syllabus.topics(docs).join(syllabus.headers(docs), "doc_id"), sequential=True)[1]
+SELECT hd.doc_id, hd.title AS course_title, cc.code AS course_code, coalesce(nf.n, 0) AS nodes_added, coalesce(ef.n, 0) AS edges_added, coalesce(u.n, 0) AS units_processed, coalesce(u.k, 0) AS total_topics_count FROM hd JOIN cc USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT unit_number) AS n, count(*) AS k FROM tp GROUP BY doc_id) u USING (doc_id) LEFT JOIN nf USING (doc_id) LEFT JOIN ef USING (doc_id)""", views_too=False)
+def outline_build_stats(spark, d, texts=_outlines):
+    docs = texts(spark, d)
+    heads = syllabus.headers(docs)
+    return syllabus.graph_of_topics(syllabus.topics(docs).join(heads, "doc_id"), sequential=True, outlines=heads)[1]
 
 
 @query(f"""{_NAMED} SELECT t.id, t.name, t.unit_number, t.unit_title, hd.title AS course_title, cc.code AS course_code, 'Concept extracted from ' || hd.title AS description
 FROM (SELECT * FROM tp QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id, unit_number, topic_pos) = 1) t JOIN hd USING (doc_id) JOIN cc USING (doc_id)""", views_too=False)
-def outline_concepts(spark, d):
-    c = syllabus.build_graph(_outlines(spark, d)).concepts
+def outline_concepts(spark, d, texts=_outlines):
+    c = syllabus.build_graph(texts(spark, d)).concepts
     return c.select("id", "name", "unit_number", *[F.col("metadata")[k].alias(k) for k in ("unit_title", "course_title", "course_code")], "description")
 
 
+#: The outline queries once more over texts with unit headers of each kind, and over parsed outlines.
+_PLACED = """o AS (SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS doc_id, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders),
+oi AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 5 <> 0)"""
+_COURSES = f"""{_PLACED},
+ot AS (SELECT l_orderkey, string_agg(chr(10) || l_linenumber || '. ' || p_name || ' (3 hours)', '' ORDER BY l_linenumber, l_partkey) AS t FROM oi JOIN part ON p_partkey = l_partkey GROUP BY 1),
+courses AS MATERIALIZED (SELECT doc_id, 'CS ' || (doc_id % 900 + 100) || ': Customer ' || doc_id || ' plan' || chr(10) || string_agg(CASE k % 4 WHEN 0 THEN 'Unit ' || k || ': ' || p WHEN 1 THEN 'MODULE ' || k WHEN 2 THEN 'Chapter ' || k || ' - ' || p ELSE 'Section: ' || p END || coalesce(t, ''), chr(10) ORDER BY k) AS text
+  FROM o LEFT JOIN ot ON l_orderkey = o_orderkey GROUP BY doc_id)"""
+
+for _name in ("course_title", "segment_units", "topic_candidates", "outline_graph_edges", "outline_build_stats", "outline_concepts"):
+    QUERIES[f"{_name}_of_courses"] = partial(QUERIES[_name], texts=views.course_texts)
+    SQL[f"{_name}_of_courses"] = f"WITH {_COURSES}, {SQL[_name].removeprefix('WITH ')}".replace("FROM documents", "FROM courses")
+
+_PARSED = f"""WITH {_PLACED}, x AS MATERIALIZED (SELECT doc_id, k, o_orderkey % 3 + 1 AS number, CASE WHEN k % 4 = 0 THEN '' ELSE p END AS title, 'p' || l_partkey AS id, p_name AS name, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) AS pos
+  FROM o JOIN oi ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+y AS MATERIALIZED (SELECT *, CASE WHEN title = '' THEN 'Unit ' || number ELSE 'Unit ' || number || ': ' || title END AS label, lag(id) OVER (PARTITION BY doc_id, k ORDER BY pos) AS p FROM x),
+n1 AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id, k, pos) = 1),
+e1 AS (SELECT * FROM y WHERE p <> id QUALIFY row_number() OVER (PARTITION BY p, id ORDER BY doc_id, k, pos) = 1)"""
+
+
+def _parsed(spark, d):
+    outlines = views.course_outlines(spark, d)
+    return syllabus.graph_of_topics(store.topics_of_outlines(outlines), True, outlines=store.heads_of_outlines(outlines))
+
+
+@query(f"{_PARSED} SELECT id, name, label AS unit, CAST(number AS INT) AS unit_number, title AS unit_title, 'Customer ' || doc_id AS course_title, 'CS' || doc_id AS course_code FROM n1", views_too=False)
+def parsed_outline_concepts(spark, d):
+    """Parsed outlines whose unit numbers repeat and aren't sorted: the place in the list decides."""
+    c = _parsed(spark, d)[0].concepts
+    return c.select("id", "name", "unit", "unit_number", *[F.col("metadata")[k].alias(k) for k in ("unit_title", "course_title", "course_code")])
+
+
+@query(f"{_PARSED} SELECT row_number() OVER (ORDER BY doc_id, k, pos) AS seq, p AS source_id, id AS target_id, 'Sequential topic order within ' || label AS reason FROM e1", views_too=False)
+def parsed_outline_edges(spark, d):
+    return _parsed(spark, d)[0].dependencies.select("seq", "source_id", "target_id", "reason")
+
+
+@query(f"{_PARSED} SELECT a.doc_id, 'Customer ' || a.doc_id AS course_title, 'CS' || a.doc_id AS course_code, (SELECT count(*) FROM n1 WHERE n1.doc_id = a.doc_id) AS nodes_added, (SELECT count(*) FROM e1 WHERE e1.doc_id = a.doc_id) AS edges_added, a.n AS units_processed, (SELECT count(*) FROM y WHERE y.doc_id = a.doc_id) AS total_topics_count FROM (SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id) a", views_too=False)
+def parsed_outline_stats(spark, d):
+    return _parsed(spark, d)[1]
+
+
 @query("SELECT u AS user_id, id AS concept_id, 'known' AS status FROM m WHERE u % 2 = 1 UNION ALL SELECT u, 'p' || (u * 3), 'known' FROM (SELECT DISTINCT u FROM m WHERE u % 2 = 0)", all_customers=True)
 def replace_user_progress(spark, d, views=views):
     stored = views.mastery(spark, d).withColumn("status", F.lit("known"))

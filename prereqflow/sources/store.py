@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, strip
@@ -64,14 +64,24 @@ def read_outlines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OUTLINE).json(path)
 
 
+def _outline_id(outlines: DataFrame) -> Column:
+    """An outline's own doc_id, or a hash of it."""
+    return F.col("doc_id") if "doc_id" in outlines.columns else F.xxhash64("course_title", "course_code", F.to_json("units"))
+
+
 def topics_of_outlines(outlines: DataFrame) -> DataFrame:
-    """A row for each topic of parsed outlines, as syllabus.graph_of_topics takes them; an outline's doc_id is its own, or a hash of it."""
-    whole = F.col("doc_id") if "doc_id" in outlines.columns else F.xxhash64("course_title", "course_code", F.to_json("units"))
-    head = outlines.select(whole.alias("doc_id"), "course_title", "course_code", F.posexplode("units").alias("unit_pos", "u"))
+    """A row for each topic of parsed outlines, as syllabus.graph_of_topics takes them, with the places of units and topics in their lists."""
+    head = outlines.select(_outline_id(outlines).alias("doc_id"), "course_title", "course_code", F.posexplode("units").alias("unit_pos", "u"))
     each = head.select("doc_id", "course_title", "course_code", "unit_pos", "u.unit_number", F.col("u.title").alias("unit_title"), F.posexplode("u.topics").alias("topic_pos", "t"))
     return each.select("doc_id", "course_title", "course_code", "unit_pos", "unit_number", "unit_title", "topic_pos", "t.id", "t.name", F.col("t.unit_number").alias("topic_unit_number"), F.col("t.unit_title").alias("topic_unit_title"))
 
 
+def heads_of_outlines(outlines: DataFrame) -> DataFrame:
+    """doc_id, course_title, course_code, units_processed (all units, with topics or not) of parsed outlines, once an id."""
+    units = F.coalesce(F.size("units"), F.lit(0))
+    return outlines.select(_outline_id(outlines).alias("doc_id"), "course_title", "course_code", F.greatest(units, F.lit(0)).alias("units_processed")).dropDuplicates(["doc_id"])
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
 

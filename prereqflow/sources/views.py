@@ -92,3 +92,35 @@ def mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, concept_id: what each customer has ordered, over all orders."""
     return _ordered(spark, sf_dir, F.col("c_custkey").cast("long"))
+
+
+def _ordered_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders with their place k among those of a customer, newest first; the parts of each order, but of every fifth, in the order of lines."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("doc_id"), "o_orderpriority", place.alias("k"))
+    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 0").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    parts = items.join(names, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("parts"))
+    return orders, orders.join(parts, "o_orderkey", "left")
+
+
+def course_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: an outline a customer, of all orders: a title line with a course code, then for each order a header of one of four kinds and a line a part; some units are empty."""
+    rank, priority = F.col("k").cast("string"), F.col("o_orderpriority")
+    kind = F.col("k") % 4
+    header = F.when(kind == 0, F.concat(F.lit("Unit "), rank, F.lit(": "), priority)).when(kind == 1, F.concat(F.lit("MODULE "), rank)).when(kind == 2, F.concat(F.lit("Chapter "), rank, F.lit(" - "), priority)).otherwise(F.concat(F.lit("Section: "), priority))
+    line = lambda x: F.concat(x.l_linenumber.cast("string"), F.lit(". "), x.p_name, F.lit(" (3 hours)"))
+    unit = F.array_join(F.concat(F.array(header), F.coalesce(F.transform("parts", line), F.array().cast("array<string>"))), "\n")
+    units = _ordered_parts(spark, sf_dir)[1].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", unit.alias("unit")))).alias("units"))
+    title = F.concat(F.lit("CS "), (F.col("doc_id") % 900 + 100).cast("string"), F.lit(": Customer "), F.col("doc_id").cast("string"), F.lit(" plan\n"))
+    return units.select("doc_id", F.concat(title, F.array_join(F.transform("units", lambda x: x.unit), "\n")).alias("text"))
+
+
+def course_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, course_title, course_code, units: the same as parsed outlines, as read_outlines gives them. Unit numbers, from 1 to 3, repeat and aren't sorted; some units have no title."""
+    number, title = (F.col("o_orderkey") % 3 + 1).cast("int"), F.when(F.col("k") % 4 == 0, "").otherwise(F.col("o_orderpriority"))
+    topic = lambda x: F.struct(F.concat(F.lit("p"), x.l_partkey).alias("id"), x.p_name.alias("name"), number.alias("unit_number"), title.alias("unit_title"))
+    unit = F.struct("k", number.alias("unit_number"), title.alias("title"), F.transform("parts", topic).alias("topics"))
+    rows = _ordered_parts(spark, sf_dir)[1].groupBy("doc_id").agg(F.array_sort(F.collect_list(unit), lambda a, b: a.k - b.k).alias("units"))
+    name = F.col("doc_id").cast("string")
+    return rows.select("doc_id", F.concat(F.lit("Customer "), name).alias("course_title"), F.concat(F.lit("CS"), name).alias("course_code"), F.transform("units", lambda u: u.dropFields("k")).alias("units"))

@@ -388,6 +388,28 @@ def test_graph_of_parsed_outlines(spark, tmp_path, monkeypatch):
     assert tuple(stats.drop("doc_id").first()) == ("T", "C1", 3, 3, 2, 5)
 
 
+def test_outlines_in_the_order_of_their_lists(spark):
+    topic = lambda i: (i, i.upper(), None, None)
+    unit = "struct<unit_number: int, title: string, topics: array<struct<id: string, name: string, unit_number: int, unit_title: string>>>"
+    rows = [
+        (1, "A", "C1", [(1, "x", [topic("x")]), (1, "y", [topic("y"), topic("z")]), (3, "", [])]),  # one number twice, and an empty unit
+        (2, "B", "C2", [(2, "late", [topic("q"), topic("x")]), (1, "early", [topic("q")]), (7, "none", None)]),  # not sorted
+        (3, "C", "C3", []), (4, "D", "C4", None),
+    ]
+    outlines = spark.createDataFrame(rows, f"doc_id long, course_title string, course_code string, units array<{unit}>")
+    g, stats = syllabus.graph_of_topics(store.topics_of_outlines(outlines), sequential=True, outlines=store.heads_of_outlines(outlines))
+    assert [(r.id, r.unit) for r in g.concepts.orderBy("seq").collect()] == [("x", "Unit 1: x"), ("y", "Unit 1: y"), ("z", "Unit 1: y"), ("q", "Unit 2: late")]
+    assert [(r.source_id, r.target_id) for r in g.dependencies.orderBy("seq").collect()] == [("y", "z"), ("q", "x")]
+    assert [tuple(r)[3:] for r in stats.orderBy("doc_id").collect()] == [(3, 1, 3, 3), (1, 1, 3, 3), (0, 0, 0, 0), (0, 0, 0, 0)]
+    plan = syllabus.study_plan(spark.createDataFrame([(0, "Unit 1: a\n- Trees"), (1, ""), (2, None)], "doc_id long, text string"))
+    assert [tuple(r) for r in plan.stats.orderBy("doc_id").select("doc_id", "nodes_added", "units_processed", "total_topics_count").collect()] == [(0, 1, 1, 1), (1, 0, 0, 0), (2, 0, 0, 0)]
+
+
+def test_an_empty_graph_with_a_target_has_nothing_to_recommend(spark):
+    mastery = spark.createDataFrame([("u", "a")], "user_id string, concept_id string")
+    assert recommend.recommend(PrereqGraph.empty(spark), mastery, "nowhere").count() == 0
+
+
 def test_stores(spark, tmp_path):
     stored = spark.createDataFrame([("u1", "a", "known"), ("u2", "b", "known")], "user_id string, concept_id string, status string")
     new = spark.createDataFrame([("u1", " python "), ("u1", "python")], "user_id string, concept_id string")
