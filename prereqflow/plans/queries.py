@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 from types import SimpleNamespace
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics, graph as G, infer, maintain, reach, recommend, sequence, syllabus, traverse
 from ..sources import store, views
-from .durable import durable
+from .durable import checkpoint_folder, durable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -617,6 +618,28 @@ def replace_user_progress(spark, d, views=views):
     return store.replace_progress(stored, new)
 
 
+@query("SELECT u AS user_id, id AS concept_id, 'known' AS status FROM m WHERE u % 3 = 1 UNION ALL SELECT u, 'p' || (u * 3), 'known' FROM (SELECT DISTINCT u FROM m WHERE u % 3 = 0)", all_customers=True)
+def stored_progress_replaced(spark, d, views=views):
+    """The stored table after three writes: all progress, one concept for every third user, nothing for the next but one."""
+    path = f"{checkpoint_folder(spark)}/progress-{uuid.uuid4().hex}"
+    all_ = durable(views.mastery(spark, d))
+    users = all_.select("user_id").distinct()
+    store.write_progress(path, all_)
+    store.write_progress(path, users.where("user_id % 3 = 0").select("user_id", F.concat(F.lit(" p"), (F.col("user_id") * 3).cast("string")).alias("concept_id")))
+    store.write_progress(path, users.where("user_id % 3 = 2").select("user_id", F.lit(None).cast("string").alias("concept_id")))
+    return store.read_progress(spark, path)
+
+
+@query("SELECT id, CASE WHEN unit_number % 2 = 0 THEN upper(name) ELSE name END AS name FROM c WHERE unit_number <= 40 OR unit_number % 2 = 0")
+def stored_concepts_merged(spark, d):
+    """merge_upsert_sync into a stored table."""
+    path = f"{checkpoint_folder(spark)}/concepts-{uuid.uuid4().hex}"
+    c = views.concepts(spark, d)
+    store.write_merged(path, c.where("unit_number <= 40").select("id", "name"), "id")
+    store.write_merged(path, c.where("unit_number % 2 = 0").select("id", F.upper("name").alias("name")), "id")
+    return spark.read.parquet(path).drop("bucket")
+
+
 @query("SELECT id, CASE WHEN unit_number % 2 = 0 THEN upper(name) ELSE name END AS name FROM c WHERE unit_number <= 40 OR unit_number % 2 = 0")
 def merge_upsert_sync(spark, d):
     c = views.concepts(spark, d)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, strip
 from ..operators.graph import CONCEPTS, DEPENDENCIES, METADATA, PrereqGraph
+from ..plans.durable import durable
 
 # Fixed value: a message that callers compare.
 NO_PAGES = "PDF document contains no pages."
@@ -54,6 +56,50 @@ def replace_progress(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.select("user_id", "concept_id", "status").join(incoming.select("user_id").distinct(), "user_id", "left_anti").unionByName(new)
 
 
+#: Folders of a keyed table; a key's rows are all in the one that its hash names.
+BUCKETS = 64
+
+
+def with_bucket(rows: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def _touched(spark: SparkSession, path: str, incoming: DataFrame, key: str, buckets: int) -> DataFrame | None:
+    """Stored rows of the buckets that incoming keys fall into (other folders aren't listed or read), or None if nothing is stored yet."""
+    places = [r.bucket for r in with_bucket(incoming.select(key), key, buckets).select("bucket").distinct().toLocalIterator()]
+    try:
+        return spark.read.parquet(path).where(F.col("bucket").isin(places))
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _overwrite(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Writes whole buckets and leaves all others alone. The rows are checkpointed before, as they come from the folders that are replaced."""
+    out = durable(with_bucket(rows.drop("bucket"), key, buckets).repartition("bucket"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def write_progress(path: str, incoming: DataFrame, buckets: int = BUCKETS) -> None:
+    """replace_progress() in the stored table: all rows of incoming users are replaced, those of other users stay. A write reads and replaces the buckets of
+    the incoming users alone, of `buckets` in all, so there is no folder a user. A user whose rows are all to go is given with a null concept_id; that row is stored, as each
+    bucket that is replaced must have one, and read_progress leaves it out."""
+    users = incoming.select("user_id", "concept_id")
+    old = _touched(incoming.sparkSession, path, users, "user_id", buckets)
+    _overwrite(replace_progress(old if old is not None else users.limit(0).withColumn("status", F.lit("known")), users), path, "user_id", buckets)
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("concept_id IS NOT NULL").drop("bucket")
+
+
+def write_merged(path: str, incoming: DataFrame, key: str, buckets: int = BUCKETS) -> None:
+    """merge() into the stored table by one key: incoming values win, stored rows that aren't incoming stay; only the buckets of incoming keys are read and replaced."""
+    old = _touched(incoming.sparkSession, path, incoming, key, buckets)
+    _overwrite(incoming if old is None else merge(old.drop("bucket"), incoming, [key]), path, key, buckets)
+
+
 def save_outline(outlines: DataFrame, path: str, user_id: str | None = None) -> None:
     """Appends outlines with a random id of their own, their owner (null: none) and the time of writing."""
     rows = outlines.withColumn("user_id", F.lit(user_id).cast("string")).withColumn("id", F.concat(F.lit("syl_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))).withColumn("created_at", F.current_timestamp())
@@ -108,7 +154,7 @@ def read_pdfs(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[s
 
 
 def create_tables(spark: SparkSession) -> None:
-    spark.sql("CREATE TABLE IF NOT EXISTS user_progress (user_id STRING, concept_id STRING, status STRING) USING parquet PARTITIONED BY (user_id)")
+    spark.sql("CREATE TABLE IF NOT EXISTS user_progress (user_id STRING, concept_id STRING, status STRING, bucket INT) USING parquet PARTITIONED BY (bucket)")
     spark.sql(f"CREATE TABLE IF NOT EXISTS concepts ({CONCEPTS}, metadata {METADATA}) USING parquet")
     spark.sql(f"CREATE TABLE IF NOT EXISTS dependencies ({DEPENDENCIES}) USING parquet")
     spark.sql("CREATE TABLE IF NOT EXISTS users (id STRING, email STRING, name STRING, created_at TIMESTAMP) USING parquet")

@@ -410,6 +410,26 @@ def test_an_empty_graph_with_a_target_has_nothing_to_recommend(spark):
     assert recommend.recommend(PrereqGraph.empty(spark), mastery, "nowhere").count() == 0
 
 
+def test_keyed_tables_replace_whole_keys(spark, tmp_path):
+    path = str(tmp_path / "progress")
+    write = lambda *rows: store.write_progress(path, spark.createDataFrame(rows, "user_id string, concept_id string"), buckets=4)
+    read = lambda: sorted((r.user_id, r.concept_id, r.status) for r in store.read_progress(spark, path).collect())
+    write(*[(f"u{i}", c) for i in range(20) for c in "ab"])
+    assert len(read()) == 40 and len([p for p in (tmp_path / "progress").iterdir() if p.is_dir()]) == 4
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "progress").rglob("*.parquet")}
+    write(("u3", " c "), ("u3", "c"), ("u4", None), ("new", "x"))
+    write(("u5", None))
+    want = sorted([(f"u{i}", c, "known") for i in range(20) for c in "ab" if i not in (3, 4, 5)] + [("u3", "c", "known")] * 2 + [("new", "x", "known")])
+    assert read() == want
+    kept = [p for p in (tmp_path / "progress").rglob("*.parquet") if files.get(p) == p.stat().st_mtime_ns]
+    touched = {r.bucket for r in store.with_bucket(spark.createDataFrame([(u,) for u in ("u3", "u4", "u5", "new")], "user_id string"), "user_id", 4).collect()}
+    assert {p.parent.name for p in kept} == {f"bucket={b}" for b in range(4) if b not in touched}
+    concepts = str(tmp_path / "concepts")
+    for rows in ([("a", "x"), ("b", "y")], [("b", None), ("c", "z")]):
+        store.write_merged(concepts, spark.createDataFrame(rows, "id string, name string"), "id", buckets=2)
+    assert sorted((r.id, r.name) for r in spark.read.parquet(concepts).collect()) == [("a", "x"), ("b", None), ("c", "z")]
+
+
 def test_stores(spark, tmp_path):
     stored = spark.createDataFrame([("u1", "a", "known"), ("u2", "b", "known")], "user_id string, concept_id string, status string")
     new = spark.createDataFrame([("u1", " python "), ("u1", "python")], "user_id string, concept_id string")
