@@ -21,7 +21,7 @@ from .common import table
 #: Characters of text that are cut, encoded and emitted together, about.
 STRETCH = 1 << 20
 #: Words, and characters of them, that a worker remembers; beyond either it starts anew.
-KNOWN_WORDS, KNOWN_CHARS = 500_000, 8_000_000
+KNOWN_WORDS, KNOWN_CHARS = 250_000, 4_000_000
 _WORD_END = regex.compile(r"(?<=\S)\s")
 
 
