@@ -46,20 +46,34 @@ def closure(edges: DataFrame) -> DataFrame:
     return known.rows()
 
 
-def _search(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, node of everything reachable from each start, the start included; only new pairs go on to the next round and are written."""
+def _search(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """start, node of everything reachable from each start, the start included, over `depth` edges at most; only new pairs go on to the next round and are written."""
     frontier = durable(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct())
-    seen = Grown(frontier)
-    while frontier.take(1):
+    seen, rounds = Grown(frontier), 0
+    while (depth is None or rounds < depth) and frontier.take(1):
         step = frontier.join(edges, frontier.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
         frontier = durable(step.join(seen.rows(), ["start", "node"], "left_anti"))
         seen.add(frontier)
+        rounds += 1
     return seen.rows()
 
 
-def descendants(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    return _search(edges, starts)
+def _recursive(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """_search() as one recursive statement, which Spark plans and runs as a whole: no job and no checkpoint a round. Its rows are paths and not pairs, as
+    recursion keeps repeated rows, so it is for a few edges' depth, and Spark stops it at its own limit of rows (an error, never a part of the result)."""
+    sql = """WITH RECURSIVE found(start, node, depth) AS (
+      SELECT DISTINCT id, id, 0 FROM {starts} UNION ALL SELECT f.start, e.dst, f.depth + 1 FROM found f JOIN {edges} e ON e.src = f.node WHERE f.depth < {depth})
+    SELECT DISTINCT start, node FROM found"""
+    return edges.sparkSession.sql(sql, starts=starts, edges=edges, depth=depth)
 
 
-def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    return _search(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts)
+def descendants(edges: DataFrame, starts: DataFrame, depth: int | None = None, recursive: bool = False) -> DataFrame:
+    """start, node reachable from each start (id), itself included; depth: over so many edges at most; recursive (with a depth): by one recursive statement in place of a loop."""
+    if recursive and depth is None:
+        raise ValueError("a recursive statement needs a depth")
+    return _recursive(edges, starts, depth) if recursive else _search(edges, starts, depth)
+
+
+def ancestors(edges: DataFrame, starts: DataFrame, depth: int | None = None, recursive: bool = False) -> DataFrame:
+    """descendants() against the edges."""
+    return descendants(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, depth, recursive)

@@ -142,6 +142,22 @@ def descendants_of(spark, d):
     return traverse.descendants(traverse.edges_of(g.dependencies), g.concepts.select("id"))
 
 
+@query("SELECT id AS start, id AS node FROM c UNION SELECT e.t, e.s FROM e UNION SELECT f.t, e.s FROM e JOIN e f ON e.t = f.s UNION SELECT g.t, e.s FROM e JOIN e f ON e.t = f.s JOIN e g ON f.t = g.s")
+def ancestors_within_3(spark, d):
+    """Over three edges at most, by one recursive statement."""
+    g = _held(spark, d)
+    return traverse.ancestors(traverse.edges_of(g.dependencies), g.concepts.select("id"), 3, recursive=True)
+
+
+@query("SELECT s AS source_id, t AS target_id, 'f' AS found FROM e WHERE s IN ('p7', 'p9') OR t IN ('p7', 'p9') UNION ALL SELECT id, name, 'c' FROM c WHERE id IN ('p7', 'p9')", all_pairs=True)
+def stored_lookup(spark, d, views=views):
+    """Concepts and edges of two ids from a stored graph."""
+    path = f"{checkpoint_folder(spark)}/graph-{uuid.uuid4().hex}"
+    store.write_graph(views.graph(spark, d), path)
+    edges = store.stored_edges(spark, path, ["p7", " p9 "]).select("source_id", "target_id", F.lit("f").alias("found"))
+    return edges.union(store.stored_concepts(spark, path, ["p7", " p9 "]).select("id", "name", F.lit("c")))
+
+
 _LEVEL = ", w AS (SELECT id, 0 AS l FROM c UNION SELECT e.t, w.l + 1 FROM w JOIN e ON e.s = w.id)"
 
 
@@ -422,6 +438,12 @@ def cosine_pairs(spark, d):
     return infer.similar_pairs(_vectors(spark, d), 0.30).withColumn("sim", F.round("sim", 4))
 
 
+@query()
+def cosine_pairs_by_projection(spark, d):
+    """The documented option that may miss a few pairs; tests measure its recall against cosine_pairs, so there is no SQL."""
+    return infer.similar_pairs_by_projection(_vectors(spark, d), 0.30).withColumn("sim", F.round("sim", 4))
+
+
 @query("SELECT vec_id, round(CASE WHEN list_inner_product(embedding, embedding) = 0 THEN 1e-10 ELSE sqrt(list_inner_product(list_transform(embedding, lambda q: q::DOUBLE), list_transform(embedding, lambda q: q::DOUBLE))) END, 6) AS norm FROM embeddings", views_too=False)
 def norms_zero_guard(spark, d):
     return views.table(spark, d, "embeddings").select("vec_id", F.round(infer.norm("embedding"), 6).alias("norm"))

@@ -305,6 +305,18 @@ def test_inference(spark):
     assert infer.infer_prerequisites(with_edge, vectors, 0.25, 0.45).count() == 0
 
 
+def test_pairs_by_projection_are_exact_and_nearly_all(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS seq", "embedding")
+    found = lambda df: {(r.seq_a, r.seq_b): round(r.sim, 9) for r in df.collect()}
+    for threshold in (0.3, 0.4):
+        all_, some = found(infer.similar_pairs(vectors, threshold, block=100)), found(infer.similar_pairs_by_projection(vectors, threshold, block=150))
+        assert some.items() <= all_.items() and len(some) >= 0.9 * len(all_) > 20
+    assert found(infer.similar_pairs(vectors, 0.3)) == found(infer.similar_pairs(vectors, 0.3, block=60))
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(90)] + [(99, [0.0, 0.0]), (98, [-1.0, 0.5])], "seq long, embedding array<double>")
+    assert len(found(infer.similar_pairs_by_projection(same, 0.9, block=20))) == 90 * 89 // 2 == len(found(infer.similar_pairs(same, 0.9, block=20)))
+    assert infer.similar_pairs_by_projection(same.limit(0), 0.5).count() == 0 and infer.projections(0.8, 0.9)[0] > infer.projections(0.3, 0.9)[0]
+
+
 def test_greedy_insertion_closes_no_cycle(spark):
     # same unit: the name that is part of the other comes first, against insertion order
     names = [(0, "a", "graph theory basics", "Unit 1", "", 1), (1, "b", "graph theory", "Unit 1", "", 1), (2, "c", "trees", "Unit 1", "", 1)]
@@ -410,6 +422,35 @@ def test_an_empty_graph_with_a_target_has_nothing_to_recommend(spark):
     assert recommend.recommend(PrereqGraph.empty(spark), mastery, "nowhere").count() == 0
 
 
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    concepts = spark.range(60_000).selectExpr("id AS seq", "concat('k', sha1(string(id))) AS id", "'n' AS name", "'' AS unit", "'' AS description", "1 AS unit_number")
+    rows = concepts.selectExpr("seq", "id AS source_id", "concat('k', sha1(string(seq + 1))) AS target_id", "'x' AS relationship_type", "1.0D AS confidence", "'' AS reason")
+    spark.conf.set("parquet.block.size", 1 << 18)
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        store.write_graph(PrereqGraph(concepts, rows), str(tmp_path / "g"))
+    finally:
+        spark.conf.unset("parquet.block.size")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    one = concepts.where("seq = 777").first().id
+    got = store.stored_concepts(spark, str(tmp_path / "g"), [one])
+    assert [r.seq for r in got.collect()] == [777]
+    read = lambda df: df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().get("numOutputRows").get().value()
+    assert read(got) <= 6_000  # of 60,000
+    assert sorted(r.seq for r in store.stored_edges(spark, str(tmp_path / "g"), [one]).collect()) == [776, 777]
+
+
+def test_recursive_statement_is_the_loop(spark):
+    g = make(spark, "a,b,c,d,e", "a>b,b>c,c>d,a>d,d>e,e>a")
+    edges, starts = traverse.edges_of(g.dependencies), g.concepts.select("id")
+    for way in (traverse.ancestors, traverse.descendants):
+        for depth in (0, 1, 2, 7):
+            got = [sorted(map(tuple, way(edges, starts, depth, recursive).collect())) for recursive in (False, True)]
+            assert got[0] == got[1] and len(got[0]) == len(set(got[0]))
+    with pytest.raises(ValueError):
+        traverse.ancestors(edges, starts, recursive=True)
+
+
 def test_keyed_tables_replace_whole_keys(spark, tmp_path):
     path = str(tmp_path / "progress")
     write = lambda *rows: store.write_progress(path, spark.createDataFrame(rows, "user_id string, concept_id string"), buckets=4)
