@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prereqflow.llm import bpe, hard_negatives, merkle
+from prereqflow.llm import bpe, hard_negatives, merkle, secret_scan
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, source string, lang string, n_chars int, text string"
@@ -215,3 +215,17 @@ def test_op13_digests(spark, reference):
     for r in got:
         ids = reference.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+# op10
+def test_entropy_gives_its_own_verdict_on_every_span(spark):
+    key = "".join(random.Random(9).sample("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", 32))
+    texts = [f"token = {key}", "password: aaaaaaaaaaaa", f"bare {key} key", "nothing", None, f"password=aaaaaaaaaaaa and token={key}", "a" * 40]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, confirmed string")
+    got = {r.doc_id: (r.n_assign, r.n_entropy, r.n_confirmed, r.spans, r.confirmed) for r in secret_scan.scan_secrets(rows).collect()}
+    assert got[0][:3] == (1, 0, 1) and got[0][3] == got[0][4]
+    assert got[1][:3] == (1, 0, 0) and got[1][4] == ""
+    assert got[2][:3] == (0, 1, 1) and got[2][4] == f"entropy:5:{5 + len(key)}"
+    assert got[3] == got[4] == (0, 0, 0, "", "")
+    assert got[5][:3] == (2, 0, 1) and got[5][4] == got[5][3].split(",")[1]
+    assert got[6][:3] == (0, 0, 0) or got[6][2] == 0
