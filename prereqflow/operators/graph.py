@@ -1,21 +1,23 @@
 """The prerequisite graph as two DataFrames; every change gives a new graph.
 
-concepts: seq, id, name, unit, description, unit_number, metadata (the other fields that a caller gives, as texts). dependencies: seq, source_id, target_id, relationship_type,
+concepts: seq, id, name, unit, description, unit_number, metadata (the other fields that a caller gives: as texts, or in a typed graph as VARIANT
+values, which keep numbers, booleans and nesting). dependencies: seq, source_id, target_id, relationship_type,
 confidence, reason. seq carries insertion order, which decides ties and neighbour order.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import NO_EDGE, ConceptNotFound, DuplicateConcept, InvalidDependency, SelfLoop
 from ..functions.text import strip
 
 CONCEPTS = "seq bigint, id string, name string, unit string, description string, unit_number int"
-METADATA = "map<string,string>"
+METADATA, TYPED_METADATA = "map<string,string>", "map<string,variant>"
 DEPENDENCIES = "seq bigint, source_id string, target_id string, relationship_type string, confidence double, reason string"
 
 
@@ -29,6 +31,18 @@ class PrereqGraph:
         if "metadata" not in self.concepts.columns:
             object.__setattr__(self, "concepts", self.concepts.withColumn("metadata", F.create_map().cast(METADATA)))
 
+    @property
+    def is_typed(self) -> bool:
+        return self.concepts.schema["metadata"].dataType.valueType.typeName() == "variant"
+
+    def typed(self) -> PrereqGraph:
+        """The graph with VARIANT metadata; texts stay texts."""
+        return self if self.is_typed else PrereqGraph(self.concepts.withColumn("metadata", F.col("metadata").cast(TYPED_METADATA)), self.dependencies)
+
+    def field(self, name: str, kind: str = "string", path: str = "$") -> Column:
+        """A field of the concepts' metadata as the given type, null where it is missing or doesn't fit; path: inside a nested value, of a typed graph."""
+        return _field(F.col("metadata"), name, kind, path, self.is_typed)
+
     @staticmethod
     def empty(spark: SparkSession) -> PrereqGraph:
         return PrereqGraph(spark.createDataFrame([], CONCEPTS), spark.createDataFrame([], DEPENDENCIES))
@@ -82,7 +96,7 @@ class PrereqGraph:
 
     def course_title(self) -> DataFrame:
         """course_title of the first concept, which heads the page; null for none."""
-        return self.concepts.agg(F.min_by(F.try_element_at("metadata", F.lit("course_title")), "seq").alias("course_title"))
+        return self.concepts.agg(F.min_by(self.field("course_title"), "seq").alias("course_title"))
 
     def display_nodes(self, known: DataFrame, target: str | None = None) -> DataFrame:
         """id, name, x, y, is_known, is_target for one student's known(concept_id)."""
@@ -98,13 +112,17 @@ class PrereqGraph:
     def _next(self, df: DataFrame) -> int:
         return (df.agg(F.max("seq")).first()[0] or 0) + 1
 
-    def add_concept(self, concept_id: str, name: str, unit: str = "", description: str = "", unit_number: int | None = None, metadata: dict[str, str] | None = None) -> PrereqGraph:
+    def add_concept(self, concept_id: str, name: str, unit: str = "", description: str = "", unit_number: int | None = None, metadata: dict[str, object] | None = None) -> PrereqGraph:
         if not concept_id.strip():
             raise ValueError("Concept ID cannot be empty.")
         if self.has_concept(concept_id):
             raise DuplicateConcept(concept_id.strip())
         row = (self._next(self.concepts), concept_id.strip(), name.strip(), unit.strip(), description.strip(), unit_number)
-        new = self.concepts.sparkSession.createDataFrame([(*row, {k: str(v) for k, v in (metadata or {}).items()})], f"{CONCEPTS}, metadata {METADATA}")
+        spark, given = self.concepts.sparkSession, metadata or {}
+        if self.is_typed:
+            new = spark.createDataFrame([(*row, json.dumps(given))], f"{CONCEPTS}, metadata string").withColumn("metadata", F.from_json("metadata", TYPED_METADATA))
+        else:
+            new = spark.createDataFrame([(*row, {k: str(v) for k, v in given.items()})], f"{CONCEPTS}, metadata {METADATA}")
         return PrereqGraph(self.concepts.unionByName(new), self.dependencies)
 
     def remove_concept(self, concept_id: str) -> PrereqGraph:
@@ -137,23 +155,25 @@ class PrereqGraph:
         of a page's size, as the format is one value; large ones are written as tables, by store.write_graph."""
         by_seq = lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0)
         pack = lambda df, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct("*")), by_seq), lambda x: x.dropFields("seq")).alias(name))
-        unit = F.when(F.col("unit_number").isNotNull(), F.create_map(F.lit("unit_number"), F.col("unit_number").cast("string"))).otherwise(F.create_map().cast(METADATA))
+        kind, none = ("variant", F.from_json(F.lit("{}"), TYPED_METADATA)) if self.is_typed else ("string", F.create_map().cast(METADATA))
+        unit = F.when(F.col("unit_number").isNotNull(), F.create_map(F.lit("unit_number"), F.col("unit_number").cast(kind))).otherwise(none)
         rest = F.map_filter("metadata", lambda k, _: k != "unit_number")
         nodes = pack(self.concepts.select("seq", "id", "name", "unit", "description", F.map_concat(unit, rest).alias("metadata")), "nodes")
         edges = pack(self.dependencies.select("seq", "source_id", "target_id", "relationship_type", "confidence", "reason"), "edges")
         return nodes.crossJoin(edges).select(F.to_json(F.struct("nodes", "edges")).alias("graph"))
 
     @staticmethod
-    def from_json(df: DataFrame, column: str = "graph", strict: bool = True) -> PrereqGraph:
+    def from_json(df: DataFrame, column: str = "graph", strict: bool = True, typed: bool = False) -> PrereqGraph:
         """Left out: a node's name, unit and description are "", its unit_number that of its metadata; an edge is a prerequisite of confidence 1.0 without reason.
 
-        A blank or repeated node, a self loop or a missing end raises what inserting it would raise; with strict=False they are left out.
+        A blank or repeated node, a self loop or a missing end raises what inserting it would raise; with strict=False they are left out. typed: metadata keeps its types.
         """
+        kind = TYPED_METADATA if typed else METADATA
         node, edge = CONCEPTS.removeprefix("seq bigint, "), DEPENDENCIES.removeprefix("seq bigint, ")
-        parsed = df.select(F.from_json(column, f"nodes array<struct<{node.replace(' ', ': ').replace(',:', ',')}, metadata: {METADATA}>>, edges array<struct<{edge.replace(' ', ': ').replace(',:', ',')}>>").alias("g"))
+        parsed = df.select(F.from_json(column, f"nodes array<struct<{node.replace(' ', ': ').replace(',:', ',')}, metadata: {kind}>>, edges array<struct<{edge.replace(' ', ': ').replace(',:', ',')}>>").alias("g"))
         out = [parsed.select(F.posexplode(f"g.{k}").alias("seq", "x")).select((F.col("seq") + 1).cast("long").alias("seq"), "x.*") for k in ("nodes", "edges")]
-        metadata = F.coalesce("metadata", F.create_map().cast(METADATA))
-        rows = out[0].withColumns({"unit_number": F.coalesce("unit_number", F.try_element_at(metadata, F.lit("unit_number")).try_cast("int")), "metadata": F.map_filter(metadata, lambda k, _: k != "unit_number")})
+        metadata = F.coalesce("metadata", F.from_json(F.lit("{}"), kind))
+        rows = out[0].withColumns({"unit_number": F.coalesce("unit_number", _field(metadata, "unit_number", "int", "$", typed)), "metadata": F.map_filter(metadata, lambda k, _: k != "unit_number")})
         nodes, bad = first_concepts(rows)
         given = {"relationship_type": "prerequisite", "confidence": 1.0, "reason": ""}
         edges, lost = upsert_edges(out[1].withColumns({k: F.coalesce(k, F.lit(v)) for k, v in given.items()}), nodes)
@@ -165,6 +185,11 @@ class PrereqGraph:
         return PrereqGraph(nodes, edges)
 
 
+def _field(metadata: Column, name: str, kind: str, path: str, typed: bool) -> Column:
+    value = F.try_element_at(metadata, F.lit(name))
+    return F.try_variant_get(value, path, kind) if typed else value.try_cast(kind)
+
+
 def first_concepts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bulk insert: the first row of each id stays; rejects(reason, ...) are blank or repeated ids."""
     tidy = rows.withColumns({c: strip(F.coalesce(F.col(c), F.lit(""))) for c in ("id", "name", "unit", "description") if c in rows.columns})

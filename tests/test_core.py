@@ -422,6 +422,20 @@ def test_an_empty_graph_with_a_target_has_nothing_to_recommend(spark):
     assert recommend.recommend(PrereqGraph.empty(spark), mastery, "nowhere").count() == 0
 
 
+def test_typed_metadata_keeps_its_types(spark, tmp_path):
+    text = '{"nodes": [{"id": "a", "metadata": {"unit_number": 4, "week": 3, "done": true, "share": 2.5, "inner": {"tags": ["x", null]}, "none": null}}, {"id": "b"}], "edges": []}'
+    g = PrereqGraph.from_json(spark.createDataFrame([(text,)], "graph string"), typed=True).add_concept("c", "C", metadata={"week": 9, "inner": {"tags": [1]}, "course_title": "T"})
+    store.write_graph(g, str(tmp_path / "g"))
+    for h in (g, PrereqGraph.from_json(g.to_json(), typed=True), store.read_graph(spark, str(tmp_path / "g"))):
+        assert h.is_typed and h.typed() is h
+        rows = h.concepts.orderBy("seq").select("id", "unit_number", h.field("week", "int"), h.field("done", "boolean"), h.field("share", "double"), h.field("inner", "string", "$.tags[0]"), h.field("done", "int"), h.field("none")).collect()
+        assert [tuple(r) for r in rows] == [("a", 4, 3, True, 2.5, "x", 1, None), ("b", *[None] * 7), ("c", None, 9, None, None, "1", None, None)]
+    assert '"metadata":{"unit_number":4,"week":3,"done":true,"share":2.5,"inner":{"tags":["x",null]},"none":null}' in g.to_json().first()[0]
+    texts = PrereqGraph.empty(spark).add_concept("x", "X", metadata={"week": 3})
+    assert not texts.is_typed and [tuple(r) for y in (texts, texts.typed()) for r in y.concepts.select(y.field("week"), y.field("week", "int"), y.field("w")).collect()] == [("3", 3, None)] * 2
+    assert texts.typed().course_title().first()[0] is None and g.remove_concept("a").remove_concept("b").course_title().first()[0] == "T"
+
+
 def test_a_lookup_reads_few_row_groups(spark, tmp_path):
     concepts = spark.range(60_000).selectExpr("id AS seq", "concat('k', sha1(string(id))) AS id", "'n' AS name", "'' AS unit", "'' AS description", "1 AS unit_number")
     rows = concepts.selectExpr("seq", "id AS source_id", "concat('k', sha1(string(seq + 1))) AS target_id", "'x' AS relationship_type", "1.0D AS confidence", "'' AS reason")
