@@ -36,6 +36,9 @@ _ARROW = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("kind", pa.int3
 FLAGS, SEGMENTS, SPANS = range(3)
 #: Bytes of text for each chunk and each bucket.
 CHUNK, BUCKET = 4 << 20, 8 << 20
+#: Tasks up to which each chunk has a task of its own, and chunks of a task where there are far more. A task holds one chunk after the other, so its memory
+#: is that of a chunk, and the number of tasks stays one that a driver can track.
+TASKS, CHUNKS_A_TASK = 20_000, 16
 #: An anchor that occurs more often is hot.
 HOT = 4096
 _LAST = np.iinfo(np.int64).max
@@ -124,7 +127,7 @@ def remove_repeats(df: DataFrame, method: Method, id_col: str = "doc_id", text_c
     chunks, n, hot = size // CHUNK + 1, size // BUCKET + 1, HOT
     buckets = np.uint64(n)
     key = F.pmod(F.xxhash64("doc_id", "check"), F.lit(chunks))
-    docs = docs.withColumn("key", key).repartition(max(partitions(df.sparkSession), chunks), "key")
+    docs = docs.withColumn("key", key).repartition(max(partitions(df.sparkSession), min(chunks, TASKS), -(-chunks // CHUNKS_A_TASK)), "key")
 
     def offer(t: pa.Table) -> pa.Table:
         """Step 1: (bucket, chunk, distinct hashes and their counts up to 255)."""
