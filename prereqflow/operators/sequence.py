@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CycleDetected
-from ..plans.durable import durable
+from ..plans.durable import checkpoint_folder, durable
 from .graph import PrereqGraph
 from .traverse import Grown, ancestors, edges_of
 
@@ -56,7 +60,7 @@ def find_cycle(graph: PrereqGraph) -> list[str] | None:
     return [r.id for r in walk.where(F.col("pos").between(ends.a, ends.b)).orderBy("pos").select("id").toLocalIterator()]
 
 
-#: Rows of one level that are sorted in one task; a larger level is sorted by ranges.
+#: Rows that are sorted or placed in one task; more are sorted by ranges.
 ONE_TASK = 200_000
 
 
@@ -71,54 +75,155 @@ def in_order(rows: DataFrame, n: int | None = None) -> DataFrame:
     return ranged.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("_i", F.col("_i") + F.col("_o")).drop("_p", "_c", "_o")
 
 
-def topological_order(graph: PrereqGraph) -> DataFrame:
-    """id, level, pos: first-in first-out order of nodes whose prerequisites are all placed.
+#: Numbered nodes of a block. Edges inside a block, 8 million without a cycle, are settled in one task; edges between blocks are joined.
+BLOCK = 4096
+#: Levels whose cuts are sent to every task, 12 bytes each; more are shuffled.
+SENT_LEVELS = 500_000
+
+
+def _settle(size: int):
+    """For a block's edges (u, v) and nodes (n, level at least): the levels by its own edges, -1 for all if these close a cycle."""
+
+    def settle(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        n = nodes["n"].to_numpy()
+        start = int(n[0]) // size * size if len(n) else 0
+        level = np.zeros(size, np.int32)
+        level[n - start] = nodes["level"].to_numpy()
+        edges = edges.sort_values("u")
+        u, v = edges["u"].to_numpy() - start, edges["v"].to_numpy() - start
+        first, waits = np.searchsorted(u, np.arange(size + 1)), np.bincount(v, minlength=size)
+        ready, done = np.flatnonzero(waits == 0), 0
+        while len(ready):
+            done += len(ready)
+            out = np.concatenate([np.arange(first[r], first[r + 1]) for r in ready])
+            np.maximum.at(level, v[out], level[u[out]] + 1)
+            np.subtract.at(waits, v[out], 1)
+            met = np.unique(v[out])
+            ready = met[waits[met] == 0]
+        return pd.DataFrame({"n": n, "level": level[n - start] if done == size else np.full(len(n), -1, np.int32)})
 
-    A round places one level: the order inside it follows the last-placed prerequisite, which is of the level before, and that edge's
-    place. So a round reads the edges of one level and drops them, and writes one level. The number of rounds is the depth.
-    A cycle raises CycleDetected. No concept: no row.
+    return settle
+
+
+def _leveled(graph: PrereqGraph) -> DataFrame:
+    """id, seq, n, level, checkpointed: n numbers concepts in insertion order, from 0.
+
+    Blocks of consecutive numbers settle their own edges, each in a task; then edges between blocks tell nodes of higher levels, and blocks where one rises
+    settle again. So rounds are as many as the longest path changes its block at most, and not as its edges.
     """
-    held = durable(graph.dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("seq").alias("eseq")))
-    nodes = graph.concepts.select("id", "seq")
-    total = nodes.count()
-    ready = durable(nodes.join(held.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.struct(F.col("seq"), F.lit(0).cast("long").alias("eseq")).alias("key")))
-    found, placed, level = None, 0, 0
-    while placed < total:
-        if not (n := ready.count()):
+    ids = durable(in_order(durable(graph.concepts.select("id", "seq", F.struct("seq", "id").alias("key")))).select("id", "seq", F.col("_i").cast("long").alias("n")))
+    end = lambda a, n: ids.select(F.col("id").alias(a), F.col("n").alias(n))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    edges = durable(edges_of(graph.dependencies).distinct().join(end("src", "u"), "src").join(end("dst", "v"), "dst").select("u", "v"))
+    inner = edges.where(block("u") == block("v")).withColumn("b", block("u"))
+    cross = edges.where(block("u") != block("v"))
+
+    def settled(nodes: DataFrame) -> DataFrame:
+        own = inner.join(nodes.select("b").distinct(), "b", "left_semi")
+        found = durable(own.groupBy("b").cogroup(nodes.groupBy("b")).applyInPandas(_settle(BLOCK), "n long, level int"))
+        if found.where("level < 0").take(1):
             raise CycleDetected(find_cycle(graph) or [])
-        now = durable(in_order(ready, n).select("id", F.lit(level).alias("level"), (F.col("_i") + placed).cast("long").alias("pos")))
-        found = Grown(now) if found is None else found
-        if level:
-            found.add(now)
-        placed, level = placed + n, level + 1
-        if placed < total:
-            at = now.select(F.col("id").alias("src"), "pos")
-            best = held.join(at, "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.struct(F.col("pos").alias("seq"), F.col("eseq"))).alias("key"))
-            held = durable(held.join(at, "src", "left_anti"))
-            ready = durable(best.join(held.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "key"))
-    return found.rows() if found else nodes.select("id", F.lit(0).alias("level"), F.col("seq").alias("pos"))
+        return found
+
+    raised, rounds = settled(ids.select(block("n").alias("b"), "n", F.lit(0).alias("level"))), 1
+    known, patience = Grown(raised), 2 * (ids.count() // BLOCK + 2)
+    while True:
+        now = known.rows().groupBy("n").agg(F.max("level").alias("level"))
+        told = cross.join(raised, F.col("u") == F.col("n")).groupBy(F.col("v").alias("n")).agg((F.max("level") + 1).alias("told"))
+        higher = durable(told.join(now, "n").where("told > level").select("n", "told"))
+        if not higher.take(1):
+            return durable(ids.join(now, "n"))
+        if rounds == patience and has_cycle(graph):  # forward edges would long be settled; a cycle over several blocks never is
+            raise CycleDetected(find_cycle(graph) or [])
+        at = now.withColumn("b", block("n")).join(higher.select(block("n").alias("b")).distinct(), "b", "left_semi")
+        nodes = at.join(higher, "n", "left").select("b", "n", F.greatest("level", F.coalesce("told", F.lit(0))).alias("level"))
+        raised = durable(settled(nodes).join(now.withColumnRenamed("level", "_was"), "n").where("level > _was").select("n", "level"))
+        known.add(raised)
+        rounds += 1
 
 
 def levels(graph: PrereqGraph) -> DataFrame:
-    """id, level: 0 without prerequisites, else one more than the highest level of those; nothing is sorted.
+    """id, level: 0 without prerequisites, else one more than the highest level of those; nothing but the numbers of concepts is sorted.
 
-    A round takes the concepts that no edge holds, and drops their edges. A cycle raises CycleDetected. No concept: no row.
+    A cycle raises CycleDetected. Edges with an end that isn't a concept are left out. No concept: no row.
     """
-    held = durable(edges_of(graph.dependencies))
-    left = durable(graph.concepts.select("id"))
-    n, level, found = left.count(), 0, None
-    while n:
-        ready = durable(left.join(held.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
-        if not (taken := ready.count()):
-            raise CycleDetected(find_cycle(graph) or [])
+    return _leveled(graph).select("id", "level")
+
+
+def _place(placed: int):
+    """For rows (level, u, v, eseq, pos) of whole consecutive levels: the places of all v, from `placed`. pos is u's place where u is of an earlier run."""
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("level", kind="stable")
+        level, u, eseq, given = (rows[c].to_numpy() for c in ("level", "u", "eseq", "pos"))
+        nodes, v = np.unique(rows["v"].to_numpy(), return_inverse=True)
+        at = np.minimum(np.searchsorted(nodes, u), len(nodes) - 1)
+        here, pos, deep, start = nodes[at] == u, np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int32), placed
+        cuts = np.flatnonzero(np.diff(level)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(level)], strict=True):
+            before = np.where(here[a:b], pos[at[a:b]], given[a:b])
+            by = np.lexsort((eseq[a:b], before, v[a:b]))
+            last = by[np.append(np.diff(v[a:b][by]) != 0, True)]  # of each v, the edge from the last-placed prerequisite
+            last = last[np.lexsort((v[a:b][last], eseq[a:b][last], before[last]))]
+            pos[v[a:b][last]], deep[v[a:b][last]] = np.arange(start, start + len(last)), level[a]
+            start += len(last)
+        return pd.DataFrame({"n": nodes, "level": deep, "pos": pos})
+
+    return place
+
+
+def _runs(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """level, run, rows, nodes, big of each level: consecutive levels of ONE_TASK rows or so are a run, a level of more is one of its own (big)."""
+    of = durable(held.groupBy("level").agg(F.count("*").alias("rows")).join(nodes.groupBy("level").agg(F.count("*").alias("nodes")), "level").withColumn("big", F.col("rows") > ONE_TASK))
+    small, big = F.when(F.col("big"), 0).otherwise(F.col("rows")), F.col("big").cast("long")
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if of.count() <= ONE_TASK:
+        w = Window.orderBy("level")
+        of = of.select("*", before(small, w).alias("_s"), before(big, w).alias("_b"))
+    else:
+        ranged = durable(of.repartitionByRange("level").withColumn("_p", F.spark_partition_id()))
+        w, each = Window.partitionBy("_p").orderBy("level"), Window.orderBy("_p")
+        sums = ranged.groupBy("_p").agg(F.sum(small).alias("_s"), F.sum(big).alias("_b")).select("_p", before("_s", each).alias("_s0"), before("_b", each).alias("_b0"))
+        of = ranged.select("*", before(small, w).alias("_s"), before(big, w).alias("_b")).join(F.broadcast(sums), "_p").withColumns({"_s": F.col("_s") + F.col("_s0"), "_b": F.col("_b") + F.col("_b0")})
+    run = F.floor(F.col("_s") / max(ONE_TASK, 1)) + 2 * F.col("_b") + big
+    return durable(of.select("level", run.alias("run"), "rows", "nodes", "big"))
+
+
+def topological_order(graph: PrereqGraph) -> DataFrame:
+    """id, level, pos: first-in first-out order of nodes whose prerequisites are all placed.
+
+    The order inside a level follows the last-placed prerequisite, which is of the level before, and that edge's place; so only edges
+    from one level to the next count. Levels are cut into runs of some ONE_TASK of these edges; a run, whose edges are a folder of their own, is placed in one
+    task, a larger level by ranges. So rounds follow the size of the graph and not its depth.
+    A cycle raises CycleDetected. Edges with an end that isn't a concept are left out. No concept: no row.
+    """
+    spark, at = graph.concepts.sparkSession, _leveled(graph)
+    end = lambda a, n, level: at.select(F.col("id").alias(a), F.col("n").alias(n), F.col("level").alias(level))
+    edges = graph.dependencies.groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.max("seq").alias("eseq"))
+    tight = edges.join(end("src", "u", "_l"), "src").join(end("dst", "v", "level"), "dst").where("level = _l + 1").select("level", "u", "v", "eseq")
+    held = durable(tight.unionByName(at.where("level = 0").select("level", F.lit(-1).cast("long").alias("u"), F.col("n").alias("v"), F.col("seq").alias("eseq"))))
+    of = _runs(held, at)
+    cut = of.select("level", "run")
+    held = held.join(F.broadcast(cut) if of.count() <= SENT_LEVELS else cut, "level")
+    path = f"{checkpoint_folder(spark)}/order-{uuid.uuid4().hex}"
+    held.repartitionByRange("run", "v").write.partitionBy("run").parquet(path)
+    found, placed, last = None, 0, None
+    for r in of.groupBy("run").agg(F.max("level").alias("last"), F.sum("nodes").alias("nodes"), F.max("big").alias("big")).orderBy("run").collect():
+        rows = spark.read.schema("level int, u long, v long, eseq long").parquet(f"{path}/run={r.run}")
+        rows = rows.join(last, "u", "left") if last else rows.withColumn("pos", F.lit(None).cast("long"))
+        rows = rows.withColumn("pos", F.coalesce("pos", F.lit(-1).cast("long")))
+        if r.big:
+            best = rows.groupBy("v").agg(F.max(F.struct("pos", "eseq", "v")).alias("key"))
+            now = in_order(durable(best), r.nodes).select(F.col("v").alias("n"), F.lit(r.last).alias("level"), (F.col("_i") + placed).cast("long").alias("pos"))
+        else:
+            now = rows.groupBy().applyInPandas(_place(placed), "n long, level int, pos long")
+        now = durable(now)
         if found is None:
-            found = Grown(ready)
+            found = Grown(now)
         else:
-            found.add(ready)
-        left = durable(left.join(ready, "id", "left_anti"))
-        held = durable(held.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
-        n, level = n - taken, level + 1
-    return found.rows() if found else left.withColumn("level", F.lit(level))
+            found.add(now)
+        last, placed = now.where(F.col("level") == r.last).select(F.col("n").alias("u"), "pos"), placed + r.nodes
+    return durable(at.select("id", "n").join(found.rows(), "n").select("id", "level", "pos")) if found else at.select("id", "level", F.col("seq").alias("pos"))
 
 
 def prerequisite_chain(graph: PrereqGraph, target: str) -> DataFrame:

@@ -161,8 +161,8 @@ def stored_lookup(spark, d, views=views):
 _LEVEL = ", w AS (SELECT id, 0 AS l FROM c UNION SELECT e.t, w.l + 1 FROM w JOIN e ON e.s = w.id)"
 
 
-@query(f"{_LEVEL} SELECT id, CAST(max(l) AS INT) AS level FROM w GROUP BY id")
-def topological_levels(spark, d):
+@query(f"{_LEVEL} SELECT id, CAST(max(l) AS INT) AS level FROM w GROUP BY id", all_pairs=True)
+def topological_levels(spark, d, views=views):
     return sequence.levels(views.graph(spark, d))
 
 
@@ -173,8 +173,8 @@ o AS (SELECT id, level, row_number() OVER (ORDER BY seq) AS rk FROM lv WHERE lev
 po AS MATERIALIZED (SELECT id, CAST(level AS INT) AS level, CAST(rk - 1 + (SELECT count(*) FROM lv WHERE lv.level < o.level) AS BIGINT) AS pos FROM o)"""
 
 
-@query(f"{_ORDER} SELECT id, level, pos FROM po")
-def topological_positions(spark, d):
+@query(f"{_ORDER} SELECT id, level, pos FROM po", all_pairs=True)
+def topological_positions(spark, d, views=views):
     return sequence.topological_order(views.graph(spark, d))
 
 

@@ -533,3 +533,37 @@ def test_entry_registers_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_order_in_blocks_and_runs(spark, monkeypatch):
+    """Small blocks, whose levels rise in rounds, and runs of a few levels, or larger levels alone, against plain Python; insertion order is at odds with the edges."""
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(60)]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 : i + 9] if rng.random() < 0.3]
+    pairs += [("n0", n) for n in names[30:]]  # a node that holds many
+    rng.shuffle(pairs)
+    listed = names[:]
+    rng.shuffle(listed)
+    need, queue, expected, depth = {n: sum(b == n for _, b in pairs) for n in names}, [], [], {}
+    queue = [n for n in listed if not need[n]]
+    while queue:
+        expected.append(x := queue.pop(0))
+        depth[x] = max([depth[a] + 1 for a, b in pairs if b == x], default=0)
+        for a, b in pairs:
+            if a == x:
+                need[b] -= 1
+                if not need[b]:
+                    queue.append(b)
+    g = make(spark, ",".join(listed), ",".join(f"{a}>{b}" for a, b in pairs))
+    for block, one_task in ((8, 12), (4096, 30), (8, 3)):
+        monkeypatch.setattr(sequence, "BLOCK", block)
+        monkeypatch.setattr(sequence, "ONE_TASK", one_task)
+        rows = sequence.topological_order(g).collect()
+        assert [r.id for r in sorted(rows, key=lambda r: r.pos)] == expected and {r.id: r.level for r in rows} == depth
+        assert sorted(r.pos for r in rows) == list(range(60))
+    monkeypatch.setattr(sequence, "ONE_TASK", 200_000)
+    monkeypatch.setattr(sequence, "BLOCK", 2)
+    ring = make(spark, "a,b,c,d,e,f", "a>c,c>e,e>a,b>d")  # over three blocks
+    with pytest.raises(CycleDetected):
+        sequence.levels(ring)
+    assert {r.id: r.level for r in sequence.levels(make(spark, "a,b,c,d,e", "e>a,a>d,d>b")).collect()} == {"e": 0, "a": 1, "d": 2, "b": 3, "c": 0}
