@@ -129,3 +129,16 @@ def test_loser_tree():
         at[r] += 1
     assert out == sorted(x for r in runs for x in r)
     assert shared[1:] == [lcp(a, b) for a, b in zip(out, out[1:], strict=False)]
+
+
+def test_phrase_dedup_with_clashing_and_repeated_columns(spark):
+    """Columns beside id and text, named as inner ones are or might be, change nothing."""
+    rng = random.Random(8)
+    passage = " ".join(rng.choices("abcdefghij", k=30))
+    rows = [(d, f"x{d} {passage} y{d}" if d % 3 else (None if d == 3 else f"z{d}")) for d in range(9)]
+    extra = ("key", "chunk", "n", "pos", "words", "n_words", "n_removed", "kept_text", "_d", "_n", "w")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = spark.createDataFrame([(*r, *["q"] * len(extra)) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    digest = lambda df: sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in phrase_dedup(df).collect())
+    assert digest(clash) == digest(plain)
+    assert {d: n for d, _, n, _ in digest(plain)} == {d: 30 if d % 3 and d > 1 else 0 for d in range(9)}

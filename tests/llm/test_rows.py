@@ -251,3 +251,16 @@ def test_pipeline_reads_what_a_stage_has_written(spark, monkeypatch):
     assert left == {r.doc_id for r in documents(spark).collect() if r.doc_id % 12 == 0}
     assert "documents.parquet" in read[0][0]
     assert all("/first-" in f for f in read[1]) and all("/second-" in f for f in read[2]) and read[1] and read[2]
+
+
+def test_turns_and_shards_with_clashing_columns_and_long_texts(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a" * 3_000_000), (2, 0, "assistant", None)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").fillna("", ["text"])
+    clash = plain.selectExpr("*", "'x' AS seq", "'x' AS segment", "'x' AS start", "'x' AS loss_end", "'x' AS _head", "'x' AS _n", "'x' AS _s", "'x' AS _c")
+    formatted = lambda df: sorted(tuple(r) for r in chat_format.format_turns(df).collect())
+    assert formatted(clash) == formatted(plain) and len(formatted(plain)) == 3
+    docs = [(d, "é" * 1_000_000 if d == 5 else f"t{d}", "s") for d in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS slot", "3 AS _rank", "4 AS _s", "5 AS _b", "6 AS _g")
+    got = {r.doc_id: r for r in interleave_shards(df).collect()}
+    assert len(got) == 40 and got[5].size == 2_000_001 and got[5].text_crc32 == zlib.crc32(docs[5][1].encode())
+    assert sorted(Counter(r.shard for r in got.values()).values()) == [2] * 8 + [3] * 8
