@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CycleDetected
@@ -15,26 +15,81 @@ from .graph import PrereqGraph
 from .traverse import Grown, ancestors, edges_of
 
 
-def _cyclic_part(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without an edge to what is left go, again and again; none if there is no cycle."""
-    left = durable(edges)
-    n = left.count()
-    while n:
-        left = durable(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns))
-        n, before = left.count(), n
-        if n == before:
+#: Numbered nodes of a block. Edges inside a block, 8 million without a cycle and twice as many with, are settled in one task; edges between blocks are joined.
+BLOCK = 4096
+
+
+def _block(n: str) -> Column:
+    return F.floor(F.col(n) / BLOCK)
+
+
+def _peel(size: int):
+    """For a block's edges (u, v) and nodes (n, held: whether an edge leads to a node of another block): the nodes that go, as no edge leads on to what is left."""
+
+    def peel(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        n = nodes["n"].to_numpy()
+        start = int(n[0]) // size * size
+        edges = edges.sort_values("v")
+        u, v = edges["u"].to_numpy() - start, edges["v"].to_numpy() - start
+        first, leads, there = np.searchsorted(v, np.arange(size + 1)), np.bincount(u, minlength=size), np.zeros(size, bool)
+        leads[n[nodes["held"].to_numpy(bool)] - start] += 1
+        there[n - start] = True
+        ready = np.flatnonzero(there & (leads == 0))
+        gone = [ready]
+        while len(ready):
+            into = np.concatenate([np.arange(first[r], first[r + 1]) for r in ready])
+            np.subtract.at(leads, u[into], 1)
+            met = np.unique(u[into])
+            ready = met[leads[met] == 0]
+            gone.append(ready)
+        return pd.DataFrame({"n": np.concatenate(gone) + start})
+
+    return peel
+
+
+def _cyclic_part(edges: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """Edges left when nodes without an edge to what is left go, again and again; none if there is no cycle.
+
+    Nodes are numbered in insertion order of the concepts (id, seq), if given, else by id. A block of consecutive numbers peels in one task whatever its own edges and
+    those to other blocks let go; then only blocks peel again from which an edge led to a node of another one that went. So rounds are as many as a path
+    changes its block, and not as its edges. Repeated edges stay or go together; an edge whose dst is null goes.
+    """
+    edges = durable(edges)
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id IS NOT NULL").distinct()
+    if concepts is None:
+        keyed = ends.withColumn("key", F.col("id"))
+    else:
+        keyed = ends.join(concepts.groupBy("id").agg(F.min("seq").alias("_s")), "id", "left").select("id", F.struct("_s", "id").alias("key"))
+    ids = durable(in_order(durable(keyed)).select("id", F.col("_i").cast("long").alias("n")))
+    end = lambda a, n: ids.select(F.col("id").alias(a), F.col("n").alias(n))
+    pairs = durable(edges.select("src", "dst").distinct().join(end("src", "u"), "src").join(end("dst", "v"), "dst").select("u", "v"))
+    inner, cross = pairs.where(_block("u") == _block("v")).withColumn("b", _block("u")), pairs.where(_block("u") != _block("v"))
+    nodes = ids.select(_block("n").alias("b"), "n")
+    asked, gone = nodes, Grown(ids.limit(0).select("n"))
+    while True:
+        held = cross.select(F.col("u").alias("n")).distinct().withColumn("held", F.lit(True))
+        at = asked.join(held, "n", "left").select("b", "n", F.coalesce("held", F.lit(False)).alias("held"))
+        own = inner.join(asked.select("b").distinct(), "b", "left_semi")
+        went = own.groupBy("b").cogroup(at.groupBy("b")).applyInPandas(_peel(BLOCK), "n long")
+        went = durable(went.join(gone.rows(), "n", "left_anti"))
+        gone.add(went)
+        lost = went.select(F.col("n").alias("v"))
+        again = durable(cross.join(lost, "v", "left_semi").select(_block("u").alias("b")).distinct())
+        if not again.take(1):
             break
-    return left
+        cross = durable(cross.join(lost, "v", "left_anti"))
+        asked = nodes.join(again, "b", "left_semi")
+    return durable(edges.join(ids.join(gone.rows(), "n", "left_anti").select(F.col("id").alias("dst")), "dst", "left_semi").select(*edges.columns))
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
+def cyclic_core(edges: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
     """Edges (src, dst) left when nodes that no edge leaves or none enters go, again and again: all that lie on a cycle, or between two."""
     turn = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return turn(_cyclic_part(turn(_cyclic_part(edges))))
+    return turn(_cyclic_part(turn(_cyclic_part(edges, concepts)), concepts))
 
 
 def has_cycle(graph: PrereqGraph) -> bool:
-    return bool(_cyclic_part(edges_of(graph.dependencies)).take(1))
+    return bool(_cyclic_part(edges_of(graph.dependencies), graph.concepts).take(1))
 
 
 def find_cycle(graph: PrereqGraph) -> list[str] | None:
@@ -43,7 +98,7 @@ def find_cycle(graph: PrereqGraph) -> list[str] | None:
     Where every node left leads on to another, such a search never turns back: it takes the first edge of each node, from the
     first node, until it meets its own path. So the walk doubles its length in each round, and only the cycle, which is the result, reaches the driver.
     """
-    part = _cyclic_part(graph.dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "seq"))
+    part = _cyclic_part(graph.dependencies.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "seq"), graph.concepts)
     jump = durable(part.groupBy("src").agg(F.min(F.struct("seq", "dst")).alias("m")).select("src", F.col("m.dst").alias("dst")))
     start = jump.join(graph.concepts.select(F.col("id").alias("src"), "seq"), "src").orderBy("seq", "src").select("src").first()
     if start is None:
@@ -75,8 +130,8 @@ def in_order(rows: DataFrame, n: int | None = None) -> DataFrame:
     return ranged.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("_i", F.col("_i") + F.col("_o")).drop("_p", "_c", "_o")
 
 
-#: Numbered nodes of a block. Edges inside a block, 8 million without a cycle, are settled in one task; edges between blocks are joined.
-BLOCK = 4096
+#: Rounds of levels after which a cycle over several blocks is looked for.
+PATIENCE = 32
 #: Levels whose cuts are sent to every task, 12 bytes each; more are shuffled.
 SENT_LEVELS = 500_000
 
@@ -113,10 +168,9 @@ def _leveled(graph: PrereqGraph) -> DataFrame:
     """
     ids = durable(in_order(durable(graph.concepts.select("id", "seq", F.struct("seq", "id").alias("key")))).select("id", "seq", F.col("_i").cast("long").alias("n")))
     end = lambda a, n: ids.select(F.col("id").alias(a), F.col("n").alias(n))
-    block = lambda c: F.floor(F.col(c) / BLOCK)
     edges = durable(edges_of(graph.dependencies).distinct().join(end("src", "u"), "src").join(end("dst", "v"), "dst").select("u", "v"))
-    inner = edges.where(block("u") == block("v")).withColumn("b", block("u"))
-    cross = edges.where(block("u") != block("v"))
+    inner = edges.where(_block("u") == _block("v")).withColumn("b", _block("u"))
+    cross = edges.where(_block("u") != _block("v"))
 
     def settled(nodes: DataFrame) -> DataFrame:
         own = inner.join(nodes.select("b").distinct(), "b", "left_semi")
@@ -125,17 +179,17 @@ def _leveled(graph: PrereqGraph) -> DataFrame:
             raise CycleDetected(find_cycle(graph) or [])
         return found
 
-    raised, rounds = settled(ids.select(block("n").alias("b"), "n", F.lit(0).alias("level"))), 1
-    known, patience = Grown(raised), 2 * (ids.count() // BLOCK + 2)
+    raised, rounds = settled(ids.select(_block("n").alias("b"), "n", F.lit(0).alias("level"))), 1
+    known, patience = Grown(raised), min(2 * (ids.count() // BLOCK + 2), PATIENCE)
     while True:
         now = known.rows().groupBy("n").agg(F.max("level").alias("level"))
         told = cross.join(raised, F.col("u") == F.col("n")).groupBy(F.col("v").alias("n")).agg((F.max("level") + 1).alias("told"))
         higher = durable(told.join(now, "n").where("told > level").select("n", "told"))
         if not higher.take(1):
             return durable(ids.join(now, "n"))
-        if rounds == patience and has_cycle(graph):  # forward edges would long be settled; a cycle over several blocks never is
+        if rounds == patience and has_cycle(graph):  # asked once: a cycle over several blocks never settles
             raise CycleDetected(find_cycle(graph) or [])
-        at = now.withColumn("b", block("n")).join(higher.select(block("n").alias("b")).distinct(), "b", "left_semi")
+        at = now.withColumn("b", _block("n")).join(higher.select(_block("n").alias("b")).distinct(), "b", "left_semi")
         nodes = at.join(higher, "n", "left").select("b", "n", F.greatest("level", F.coalesce("told", F.lit(0))).alias("level"))
         raised = durable(settled(nodes).join(now.withColumnRenamed("level", "_was"), "n").where("level > _was").select("n", "level"))
         known.add(raised)

@@ -567,3 +567,49 @@ def test_order_in_blocks_and_runs(spark, monkeypatch):
     with pytest.raises(CycleDetected):
         sequence.levels(ring)
     assert {r.id: r.level for r in sequence.levels(make(spark, "a,b,c,d,e", "e>a,a>d,d>b")).collect()} == {"e": 0, "a": 1, "d": 2, "b": 3, "c": 0}
+
+
+def peeled(pairs):
+    """What is left of edges when those to nodes without an edge go, again and again."""
+    left = set(pairs)
+    while (kept := {(a, b) for a, b in left if b in {x for x, _ in left}}) != left:
+        left = kept
+    return left
+
+
+def test_cyclic_part_in_blocks(spark, monkeypatch):
+    """Small blocks, that peel in rounds, against plain Python: random graphs, self loops, repeated edges, ends that aren't concepts, null ends."""
+    rng = random.Random(17)
+    for block, n, m, by_id in ((4, 40, 44, False), (4096, 40, 44, True), (2, 9, 0, True)):
+        monkeypatch.setattr(sequence, "BLOCK", block)
+        edges = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+        edges += [(f"n{i}", f"n{i + 1}") for i in range(n, n + 12)]  # a path of ends that aren't concepts
+        listed = [f"n{i}" for i in range(n)]
+        rng.shuffle(listed)
+        concepts = spark.createDataFrame([(i, x) for i, x in enumerate(listed)], "seq long, id string")
+        df = spark.createDataFrame([*edges, *edges[:3], ("n1", None), (None, "n2")], "src string, dst string").withColumn("extra", sequence.F.lit(1))
+        back = lambda x: {(b, a) for a, b in x}
+        given = None if by_id else concepts
+        rows = sequence._cyclic_part(df.where("src IS NOT NULL"), given).collect()
+        assert {(r.src, r.dst) for r in rows} == peeled(edges) and {r.extra for r in rows} <= {1}
+        assert len(rows) == sum(e in peeled(edges) for e in [*edges, *edges[:3]])
+        core = sequence.cyclic_core(df.where("src IS NOT NULL AND dst IS NOT NULL"), given).collect()
+        assert {(r.src, r.dst) for r in core} == back(peeled(back(peeled(edges))))
+
+
+def test_rounds_of_a_deep_graph(spark, monkeypatch):
+    """A path of 600 nodes in blocks of 100 takes as many rounds as it has blocks, with and without a cycle at its end."""
+    monkeypatch.setattr(sequence, "BLOCK", 100)
+    rounds, grow = [], traverse.Grown.add
+    monkeypatch.setattr(traverse.Grown, "add", lambda self, part: (rounds.append(1), grow(self, part))[1])
+    names = [f"n{i:03}" for i in range(600)]
+    path = list(zip(names, names[1:], strict=False))
+    g = make(spark, ",".join(names), ",".join(f"{a}>{b}" for a, b in path))
+    assert not sequence.has_cycle(g) and len(rounds) == 6
+    ring = make(spark, ",".join(names), ",".join(f"{a}>{b}" for a, b in [*path, ("n599", "n590")]))
+    rounds.clear()
+    assert sequence.has_cycle(ring) and len(rounds) == 1
+    assert sequence.find_cycle(ring) == [*names[590:], "n590"]
+    monkeypatch.setattr(sequence, "PATIENCE", 1)
+    with pytest.raises(CycleDetected):
+        sequence.levels(make(spark, ",".join(names), ",".join(f"{a}>{b}" for a, b in [*path, ("n450", "n250")])))
