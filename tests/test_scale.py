@@ -1,6 +1,9 @@
 """Rounds, partitions and sizes that must not grow as they did: what larger tables showed."""
 
-from prereqflow.operators import traverse
+import random
+
+from prereqflow.operators import analytics, infer, recommend, traverse
+from prereqflow.operators.graph import DEPENDENCIES, PrereqGraph
 
 
 def path_of(spark, n):
@@ -26,3 +29,59 @@ def test_a_search_derives_edges_once_and_takes_few_rounds_from_everywhere(spark,
         assert len(written) <= 2 * 10
     ring = path_of(spark, 5).union(spark.createDataFrame([("n4", "n0")], "src string, dst string"))
     assert traverse.descendants(ring, spark.range(5).selectExpr("concat('n', id) AS id")).count() == 25
+
+
+def test_one_plan_has_no_limit_of_rows(spark):
+    """A thousand paths a pair: Spark's recursive statements stop at a million rows."""
+    layers = spark.range(4).crossJoin(spark.range(35).withColumnRenamed("id", "a")).crossJoin(spark.range(35).withColumnRenamed("id", "b"))
+    edges = layers.selectExpr("concat('l', id, '_', a) AS src", "concat('l', id + 1, '_', b) AS dst")
+    starts = spark.range(35).selectExpr("concat('l0_', id) AS id")
+    assert traverse.descendants(edges, starts, 4, recursive=True).count() == 35 + 35 * 4 * 35
+
+
+def test_exchange_in_parts_is_that_of_one_value(spark):
+    nodes = spark.range(23).selectExpr("100 - id AS seq", "concat('n', id) AS id", "'N' AS name", "'' AS unit", "'' AS description", "CAST(id AS INT) AS unit_number", "map('k', concat('v', id)) AS metadata")
+    edges = spark.range(22).selectExpr("1000 - id AS seq", "concat('n', id) AS source_id", "concat('n', id + 1) AS target_id", "'x' AS relationship_type", "0.5D AS confidence", "'r' AS reason")
+    rows = lambda g: [sorted(map(str, df.collect())) for df in (g.concepts, g.dependencies)]
+    for given in (PrereqGraph(nodes, edges), PrereqGraph(nodes, edges.limit(0)), PrereqGraph(nodes, edges).typed()):
+        parts = given.to_json(7).orderBy("first")
+        assert [r.first for r in parts.select("first").collect()] == [0, 7, 14, 21]
+        assert max(r.graph.count('"id"') for r in parts.collect()) == 7
+        assert rows(PrereqGraph.from_json(parts, typed=given.is_typed)) == rows(PrereqGraph.from_json(given.to_json(), typed=given.is_typed))
+    assert PrereqGraph.empty(spark).to_json(7).count() == 0
+
+
+def test_toggling_sends_rows_through_one_exchange(spark, monkeypatch):
+    mastery = spark.createDataFrame([("u", "a"), ("u", "b"), ("u", "b"), (None, "a")], "user_id string, concept_id string")
+    flips = spark.createDataFrame([("u", "b"), ("u", "c"), ("u", "c"), (None, "a"), ("w", "a")], "user_id string, concept_id string")
+    got = recommend.toggled(mastery, flips)
+    assert {tuple(r) for r in got.collect()} == {("u", "a"), ("u", "c"), ("w", "a")} and got.count() == 3
+    plan = lambda: recommend.toggled(mastery, flips)._jdf.queryExecution().executedPlan().toString()
+    assert plan().count("Exchange ") == 1
+    monkeypatch.setattr(recommend, "TASK_ROWS", 3)
+    assert "hashpartitioning(user_id" in plan() and ", 4)" in plan() and recommend.toggled(mastery, flips).count() == 3
+
+
+def test_readiness_of_all_and_of_started_is_that_of_pairs(spark):
+    rng = random.Random(5)
+    nodes = spark.range(30).selectExpr("id AS seq", "concat('n', id) AS id", "'N' AS name", "'' AS unit", "'' AS description", "1 AS unit_number")
+    edges = [(i, f"n{a}", f"n{b}", "x", 1.0, "") for i, (a, b) in enumerate(sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(60)}))]
+    g = PrereqGraph(nodes, spark.createDataFrame([*edges, (99, None, "n9", "x", 1.0, "")], DEPENDENCIES))
+    known = [(u, f" n{c} ") for u in range(-70, 70) for c in rng.sample(range(30), rng.choice([1, 5, 29]))] + [(500, "ghost"), (3, "n1"), (3, "n1")]
+    mastery = spark.createDataFrame(known, "user_id int, concept_id string")
+    rows = lambda df: sorted((r.user_id, r.concept_id, *r[2:]) for r in df.collect())
+    asked = mastery.select("user_id").distinct().crossJoin(g.dependencies.selectExpr("target_id AS concept_id").distinct())
+    every = analytics.readiness_of_all(g, mastery)
+    assert rows(every) == rows(analytics.readiness(g, mastery, asked)) and every.count() == asked.count()
+    assert rows(analytics.readiness_of_started(g, mastery)) == rows(analytics.readiness(g, mastery).select("user_id", "concept_id", "is_ready"))
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert "user_id" not in "".join(x for x in plan.splitlines() if "collect_list" in x and "bit_and" in x)  # no shuffle of users x edges
+    assert analytics.readiness_of_all(g, mastery.limit(0)).count() == 0
+
+
+def test_pairs_of_buckets_come_once_without_a_shuffle_of_pairs(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS seq", "embedding")
+    found = infer.similar_pairs_by_projection(vectors, 0.3, block=150)
+    assert "max(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(r.seq_a, r.seq_b) for r in found.collect()]
+    assert len(rows) == len(set(rows)) > 20
