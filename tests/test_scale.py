@@ -4,6 +4,8 @@ import random
 
 from prereqflow.operators import analytics, infer, recommend, traverse
 from prereqflow.operators.graph import DEPENDENCIES, PrereqGraph
+from prereqflow.plans import queries
+from prereqflow.sources import views
 
 
 def path_of(spark, n):
@@ -85,3 +87,22 @@ def test_pairs_of_buckets_come_once_without_a_shuffle_of_pairs(spark):
     assert "max(" not in found._jdf.queryExecution().optimizedPlan().toString()
     rows = [(r.seq_a, r.seq_b) for r in found.collect()]
     assert len(rows) == len(set(rows)) > 20
+
+
+def test_queries_that_read_edges_often_derive_them_once(spark, monkeypatch):
+    nodes = spark.range(6).selectExpr("id AS seq", "concat('n', id) AS id", "'N' AS name", "'' AS unit", "'' AS description", "1 AS unit_number")
+    rows = spark.range(5).selectExpr("id AS seq", "concat('n', id) AS source_id", "concat('n', id + 1) AS target_id", "'x' AS relationship_type", "1.0D AS confidence", "'' AS reason")
+    mastery = spark.createDataFrame([(1, "n5"), (2, "n1")], "user_id int, concept_id string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(views, "graph", lambda *_: PrereqGraph(nodes, rows.mapInArrow(counted, rows.schema)))
+    monkeypatch.setattr(views, "mastery", lambda *_: mastery)
+    for name, n in (("topological_positions", 6), ("downstream_unmastered", 8)):
+        before = read.value
+        assert queries.QUERIES[name](spark, "").count() == n
+        assert read.value - before == 5
