@@ -2,7 +2,7 @@
 
 import random
 
-from prereqflow.operators import analytics, infer, recommend, traverse
+from prereqflow.operators import analytics, infer, recommend, sequence, traverse
 from prereqflow.operators.graph import DEPENDENCIES, PrereqGraph
 from prereqflow.plans import queries
 from prereqflow.sources import views
@@ -106,3 +106,24 @@ def test_queries_that_read_edges_often_derive_them_once(spark, monkeypatch):
         before = read.value
         assert queries.QUERIES[name](spark, "").count() == n
         assert read.value - before == 5
+
+
+def test_blocks_are_cut_by_edges(spark, monkeypatch):
+    """A sparse graph of many nodes is one block, so one round; a cycle inside a block ends the search in the first; few edges a block give the same levels."""
+    rounds, grow = [], traverse.Grown.add
+    monkeypatch.setattr(traverse.Grown, "add", lambda self, part: (rounds.append(1), grow(self, part))[1])
+    concepts = spark.range(9000).selectExpr("id AS seq", "concat('n', id) AS id", "'' AS name", "'' AS unit", "'' AS description", "1 AS unit_number")
+    edge = lambda df: df.selectExpr("id AS seq", "concat('n', a) AS source_id", "concat('n', b) AS target_id", "'' AS relationship_type", "1D AS confidence", "'' AS reason")
+    path = edge(spark.range(8999).selectExpr("id", "id AS a", "id + 1 AS b"))
+    assert not sequence.has_cycle(PrereqGraph(concepts, path)) and len(rounds) == 1
+    assert sequence.levels(PrereqGraph(concepts, path)).where("level <> CAST(substring(id, 2) AS INT)").count() == 0 and len(rounds) == 1
+    monkeypatch.setattr(sequence, "BLOCK_EDGES", 3)
+    small, some = concepts.where("seq < 12"), [(i, a, b) for i, (a, b) in enumerate([(0, 5), (0, 6), (0, 7), (0, 8), (5, 9), (9, 10), (10, 11), (1, 2), (2, 3), (3, 1)])]
+    rows = lambda e: edge(spark.createDataFrame(e, "id long, a long, b long"))
+    ids, pairs = sequence._blocks(small.selectExpr("id", "seq AS n"), rows(some).selectExpr("source_id AS src", "target_id AS dst"))
+    assert pairs.count() == 10 and max(r["count"] for r in pairs.groupBy("bu").count().collect()) <= 3 + 4 and ids.select("b").distinct().count() > 1
+    got = {r.id: r.level for r in sequence.levels(PrereqGraph(small, rows(some[:9]))).collect()}
+    assert [got[f"n{i}"] for i in range(12)] == [0, 0, 1, 2, 0, 1, 1, 1, 1, 2, 3, 4]
+    rounds.clear()
+    monkeypatch.setattr(sequence, "BLOCK_EDGES", 100)
+    assert sequence.has_cycle(PrereqGraph(concepts, rows(some).union(path.where("seq > 20")))) and len(rounds) == 1
