@@ -101,3 +101,25 @@ def test_refusals_hang_on_refusals(spark):
     name = lambda e: [(f"n{a}", f"n{b}") for a, b in e]
     got, rounds = acyclic.refused(spark.createDataFrame(name(existing), EDGE), spark.createDataFrame([(k, *e) for k, e in enumerate(name(asked))], "k long, src string, dst string"))
     assert sorted(r.k for r in got.collect()) == want and len(want) > 15 and rounds > 1
+
+
+def test_stretches_are_closed_without_rounds(spark, monkeypatch):
+    """Three parts of consecutive numbers, with cycles and words shared between them: the closure takes no round of joins. With short stretches refused, all or the largest, rounds give the same rows."""
+    rng, grown = random.Random(34), []
+    monkeypatch.setattr(R, "Grown", lambda first, old=R.Grown: (grown.append(1), old(first))[1])
+    edges = {(f"n{at + a}", f"n{at + b}") for at, n, m in ((0, 90, 130), (90, 40, 30), (130, 200, 420)) for a, b in [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]}
+    concepts = spark.createDataFrame([(f"n{i}", i) for i in range(340)], "id string, seq long")
+    want, rows = plain_closure(edges), []
+    for most, stripe, rounds in ((32_768, 4096, 0), (32_768, 64, 0), (150, 64, 1), (0, 64, 1)):
+        monkeypatch.setattr(R, "STRETCH", most)
+        monkeypatch.setattr(R, "STRIPE", stripe)
+        if not most:
+            monkeypatch.setattr(R, "STRETCH", 64)
+            monkeypatch.setattr(R, "STRETCH_EDGES", 0)
+        grown.clear()
+        got = R.reach(spark.createDataFrame(sorted(edges), EDGE), concepts)
+        assert len(grown) == rounds and pairs(got.pairs()) == want
+        rows.append(sorted(map(tuple, got.rows.select("n", "word", "bits").collect())))
+        ups = {r.id: r.upstream_count for r in got.upstream_counts().collect()}
+        assert ups == {f"n{i}": sum(b == f"n{i}" != a for a, b in want) for i in range(340)}
+    assert all(r == rows[0] for r in rows)
