@@ -127,3 +127,24 @@ def test_blocks_are_cut_by_edges(spark, monkeypatch):
     rounds.clear()
     monkeypatch.setattr(sequence, "BLOCK_EDGES", 100)
     assert sequence.has_cycle(PrereqGraph(concepts, rows(some).union(path.where("seq > 20")))) and len(rounds) == 1
+
+
+def test_recommendations_count_what_can_matter(spark, monkeypatch):
+    """Mastery below concepts that no user's best k can have isn't counted: of 400 free concepts in courses of three, some few are looked at, and the result is that of all scores."""
+    concepts = spark.range(1200).selectExpr("id AS seq", "concat('n', id) AS id", "concat('N', id) AS name", "'' AS unit", "'' AS description", "CAST(id % 7 AS INT) AS unit_number")
+    edges = spark.range(1200).where("id % 3 < 2").selectExpr("id AS seq", "concat('n', id) AS source_id", "concat('n', id + 1) AS target_id", "'' AS relationship_type", "1D AS confidence", "'' AS reason")
+    mastery = spark.range(20).crossJoin(spark.range(60).withColumnRenamed("id", "i")).selectExpr("id AS user_id", "concat('n', (id * 37 + i * 19) % 1200) AS concept_id")
+    g, counted, got = PrereqGraph(concepts, edges), [], recommend._Facts.got
+
+    def count(self, asked=None, shared=False):
+        found = got(self, asked, shared)
+        counted.append(found.count())
+        return found
+
+    monkeypatch.setattr(recommend._Facts, "got", count)
+    rows = recommend.recommend(g, mastery, "n5", 2).select("user_id", "status", "rank", "id", "score", "downstream").collect()
+    seen = sum(counted)
+    place = recommend.F.row_number().over(recommend.Window.partitionBy("user_id", "status").orderBy(recommend.F.desc("score"), "seq"))
+    want = recommend.scored(g, mastery, "n5").where("status IS NOT NULL").withColumn("rank", place).where("rank <= 2").select("user_id", "status", "rank", "id", "score", "downstream").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and len(rows) >= 40
+    assert len(counted) == 3 and 5 * seen < counted[2]
