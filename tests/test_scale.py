@@ -148,3 +148,33 @@ def test_recommendations_count_what_can_matter(spark, monkeypatch):
     want = recommend.scored(g, mastery, "n5").where("status IS NOT NULL").withColumn("rank", place).where("rank <= 2").select("user_id", "status", "rank", "id", "score", "downstream").collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and len(rows) >= 40
     assert len(counted) == 3 and 5 * seen < counted[2]
+
+
+def test_pairs_of_vectors_are_neither_joined_nor_shuffled(spark):
+    """What concepts decide goes with their vectors, and edges go to the blocks of their ends; edges either way, across blocks and inside one, leave no candidate."""
+    d = "/root/testdata/sf0.01"
+    g, vectors = queries._vector_graph(spark, d), queries._vectors(spark, d)
+    free = infer.candidates(g, vectors)
+    plan = free._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+    take = lambda df: {(r.seq_a, r.seq_b): (r.source_id, r.target_id, r.confidence) for r in df.collect()}
+    every = take(free)
+    gone = {p for p in every if sum(p) % 3}
+    rows = [(i, f"v{p[i % 2]}", f"v{p[1 - i % 2]}", "prerequisite", 1.0, "") for i, p in enumerate(sorted(gone))] + [(9999, "v1", "none", "prerequisite", 1.0, "")]
+    left = take(infer.candidates(PrereqGraph(g.concepts, spark.createDataFrame(rows, DEPENDENCIES)), vectors))
+    assert left == {p: v for p, v in every.items() if p not in gone} and len(left) > 100
+
+
+def test_no_pair_is_met_to_learn_that_all_candidates_ascend(spark, monkeypatch):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            met.add(len(b))
+            yield b
+
+    vectors = queries._vectors(spark, "/root/testdata/sf0.001").mapInPandas(counted, "seq long, embedding array<float>")
+    n = vectors.count()
+    met.value = 0
+    infer.infer_prerequisites(queries._vector_graph(spark, "/root/testdata/sf0.001"), vectors).count()
+    assert met.value == 2 * n  # once to count them, once for the result
