@@ -72,7 +72,7 @@ def topics(docs: DataFrame) -> DataFrame:
 
 def build_graph(docs: DataFrame, sequential: bool = False, into: PrereqGraph | None = None) -> PrereqGraph:
     """The graph of outline texts (doc_id, text); see graph_of_topics."""
-    return graph_of_topics(topics(docs).join(headers(docs), "doc_id"), sequential, into)[0]
+    return graph_of_topics(durable(topics(docs).join(headers(docs), "doc_id")), sequential, into)[0]
 
 
 def graph_of_topics(parsed: DataFrame, sequential: bool = False, into: PrereqGraph | None = None, outlines: DataFrame | None = None) -> tuple[PrereqGraph, DataFrame]:
@@ -85,7 +85,7 @@ def graph_of_topics(parsed: DataFrame, sequential: bool = False, into: PrereqGra
     Stats: doc_id, course_title, course_code, nodes_added, edges_added, units_processed, total_topics_count (a topic of two units counts twice), for
     each of the outlines (doc_id, course_title, course_code, and optionally units_processed), also those that add nothing; without `outlines`, for each that has a topic. units_processed
     counts all units where the outlines tell, else those with a topic.
-    Places are numbered by ranges, so no task holds all concepts or edges.
+    Places are numbered by ranges, so no task holds all concepts or edges. The parsed topics are read several times, so what is costly to derive should be written before.
     """
     place = "unit_pos" if "unit_pos" in parsed.columns else "unit_number"
     bare = F.col("unit_title").isNull() | (F.col("unit_title") == "")

@@ -178,3 +178,16 @@ def test_no_pair_is_met_to_learn_that_all_candidates_ascend(spark, monkeypatch):
     met.value = 0
     infer.infer_prerequisites(queries._vector_graph(spark, "/root/testdata/sf0.001"), vectors).count()
     assert met.value == 2 * n  # once to count them, once for the result
+
+
+def test_course_texts_are_made_once(spark, monkeypatch):
+    made, texts, d = spark.sparkContext.accumulator(0), views.course_texts, "/root/testdata/sf0.001"
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    n = texts(spark, d).count()
+    monkeypatch.setattr(views, "course_texts", lambda s, d: texts(s, d).mapInPandas(counted, "doc_id long, text string"))
+    assert queries.QUERIES["outline_build_stats_of_courses"](spark, d).count() == n == made.value
