@@ -123,3 +123,32 @@ def test_stretches_are_closed_without_rounds(spark, monkeypatch):
         ups = {r.id: r.upstream_count for r in got.upstream_counts().collect()}
         assert ups == {f"n{i}": sum(b == f"n{i}" != a for a, b in want) for i in range(340)}
     assert all(r == rows[0] for r in rows)
+
+
+def test_batches_decide_as_one_after_another_does(spark, monkeypatch):
+    """Batches whose edges go on to the next, candidates looked up together, and the rest by rounds where edges are too many for a task; no round otherwise."""
+    rng, n = random.Random(5), 40
+    existing = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(25)) if a < b}
+    asked = [(rng.randrange(n), rng.randrange(n)) for _ in range(400)]
+    out, want = {}, []
+    for a, b in existing:
+        out.setdefault(a, set()).add(b)
+    for k, (a, b) in enumerate(asked):
+        seen, todo = {b}, [b]
+        while todo:
+            for x in out.get(todo.pop(), set()) - seen:
+                seen.add(x)
+                todo.append(x)
+        if a in seen:
+            want.append(k)
+        else:
+            out.setdefault(a, set()).add(b)
+    name = lambda e: [(f"n{a}", f"n{b}") for a, b in e]
+    rows = spark.createDataFrame(name(existing), EDGE), spark.createDataFrame([(k, *e) for k, e in enumerate(name(asked))], "k long, src string, dst string")
+    monkeypatch.setattr(acyclic, "BATCH", 150)
+    monkeypatch.setattr(acyclic, "LOOKED_UP", 16)
+    rounds, by_rounds = [], acyclic.refused
+    monkeypatch.setattr(acyclic, "refused", lambda e, c: rounds.append(c.count()) or by_rounds(e, c))
+    assert sorted(r.k for r in acyclic.refused_in_batches(*rows).collect()) == want and len(want) > 100 and not rounds
+    monkeypatch.setattr(acyclic, "EDGES", len(existing) + 1)
+    assert sorted(r.k for r in acyclic.refused_in_batches(*rows).collect()) == want and rounds == [250]
