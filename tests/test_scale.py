@@ -191,3 +191,16 @@ def test_course_texts_are_made_once(spark, monkeypatch):
     n = texts(spark, d).count()
     monkeypatch.setattr(views, "course_texts", lambda s, d: texts(s, d).mapInPandas(counted, "doc_id long, text string"))
     assert queries.QUERIES["outline_build_stats_of_courses"](spark, d).count() == n == made.value
+
+
+def test_users_times_concepts_are_neither_joined_nor_shuffled(spark, monkeypatch):
+    g, mastery = views.graph(spark, "/root/testdata/sf0.001"), views.mastery(spark, "/root/testdata/sf0.001").where("user_id % 9 < 4")
+    every = recommend.scored(g, mastery)
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate")]
+    take = lambda df: sorted(tuple(r) for r in df.select("user_id", "id", "score", "unmet", "downstream", "reason").na.fill("").collect())
+    want = take(every)
+    users, concepts = mastery.select("user_id").distinct().count(), g.concepts.count()
+    assert len(want) == users * concepts - recommend.sanitised(g, mastery).count() and users > 4
+    monkeypatch.setattr(recommend, "USERS", 2)
+    assert take(recommend.scored(g, mastery)) == want
