@@ -24,6 +24,8 @@ RADIUS = BLOCKS * (ERRORS + 1) - 1
 BROADCAST_ROWS = 250_000
 #: Tasks that the rows of one shingle are dealt to where that side is shuffled.
 SALT = 16
+#: Bits, 64 in a row, that say which ids may be asked for, where these are too many to be broadcast. A text whose bit isn't set stays where it is.
+MARKS = 1 << 24
 
 
 def _words(text: str) -> Column:
@@ -63,6 +65,21 @@ def _joined(rows: DataFrame, small: DataFrame, on: list[str], n: int, spread: li
     return rows.join(small, [*on, "_salt"]).drop("_salt")
 
 
+def _marked(rows: DataFrame, ids: DataFrame, key: str, kind: str = "inner") -> DataFrame:
+    """Rows with _bits, not 0 for each whose key is a doc_id of ids and for few others; kind: inner leaves out most others, left has 0 or null for them."""
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS).cast("long"))
+    word, bit = lambda c: F.shiftright(h(c), 6), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), h(c).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    marks = ids.groupBy(word("doc_id").alias("_mark")).agg(F.bit_or(bit("doc_id")).alias("_bits"))
+    return rows.join(F.broadcast(marks), word(F.col(key)) == F.col("_mark"), kind).withColumn("_bits", F.col("_bits").bitwiseAND(bit(F.col(key)))).drop("_mark")
+
+
+def _asked(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """Rows of docs with the rows of asked that have their doc_id. Of many, only texts that may be asked for are shuffled, not the corpus."""
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(asked), "doc_id")
+    return _marked(docs, asked, "doc_id").where("_bits <> 0").drop("_bits").join(asked, "doc_id")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, k: int = K, percent: int = PERCENT, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity: for every document and item the best window with as many shingles as the item (all of
     a shorter document) whose similarity reaches percent / 100.
@@ -89,9 +106,10 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, percent: int = P
     windows = durable(hits.select("doc_id", "_m", "_n", "_l", F.explode(starts).alias("_s")))
     n_windows = windows.count()
 
-    # whole texts again, but only those of documents with a window
-    split = docs.select("doc_id", "_text", (F.size(_words("_text")) - (k - 1)).alias("_m"))
-    split = _joined(split, windows, ["doc_id", "_m"], n_windows).select("doc_id", "_n", "_s", "_l", F.explode(F.array(_words("_text"))).alias("_w"))
+    # whole texts again, but only those of documents with a window, each split once for all its windows
+    asked = durable(windows.groupBy("doc_id", "_m").agg(F.collect_list(F.struct("_n", "_s", "_l")).alias("_each")))
+    split = _asked(docs.select("doc_id", "_text"), asked, n_windows).select("doc_id", "_m", "_each", F.explode(F.array(_words("_text"))).alias("_w"))
+    split = split.where(F.size("_w") - (k - 1) == F.col("_m")).select("doc_id", "_w", F.explode("_each").alias("_a")).select("doc_id", "_a.*", "_w")
     hashed = split.select("doc_id", "_n", F.transform(F.sequence(F.col("_s") + 1, F.col("_s") + F.col("_l")), lambda i: _shingle("_w", i, k)).alias("_wh"))
     # written out, or each of a fingerprint's 64 bits would be taken from the text anew
     prints = durable(hashed).withColumn("_wf", _fingerprint("_wh"))
@@ -131,8 +149,13 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows, all columns, that hold no item. Null ids and texts stay; of rows that share an id all go if one holds an item. Empty tables: as they are."""
-    found = contaminated(docs, items).select(F.col("doc_id").alias("_found_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_found_id"), "left_anti").select(*docs.columns)
+    names, found = docs.columns, durable(contaminated(docs, items).select(F.col("doc_id").alias("_found_id")).distinct())
+    if found.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(found), F.col("doc_id") == F.col("_found_id"), "left_anti").select(*names)
+    # of many ids, only rows that may have one are shuffled; an anti join would be moved below the marks
+    marked = _marked(docs, found.withColumnRenamed("_found_id", "doc_id"), "doc_id", "left")
+    rest = marked.where("_bits <> 0").join(found, F.col("doc_id") == F.col("_found_id"), "left").where("_found_id IS NULL")
+    return marked.where("coalesce(_bits, 0L) = 0").select(*names).unionByName(rest.select(*names))
 
 
 OP5_SQL = r"""
