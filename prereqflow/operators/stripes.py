@@ -15,59 +15,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
+from .packed import ints, packed, peeled, spans, whole
 from .reach import WORD, Reach, numbered, reach
 
-#: Nodes and edges of a graph that one task puts in order (some 40 bytes an edge); larger ones are closed by reach().
-NODES, EDGES = 4_000_000, 30_000_000
+#: Edges of a graph that one task puts in order; larger ones are closed by reach().
+EDGES = 30_000_000
 #: Targets of a stripe at most, bytes of the bits that a task holds, tasks at most, edges of a packed row.
 STRIPE, HELD, TASKS, PACKED = 4096, 1 << 28, 64, 1 << 18
 #: Edges whose bits are gathered at once.
 STEP = 1 << 15
-#: Nodes whose numbers are sent to every task; more are shuffled.
-SENT_NODES = 200_000
 #: Starts that are followed in one pass.
 STARTS = 4096
 
 _CHUNK = "p long, n binary, layer binary, grp binary, count binary, v binary"
-_ints = lambda column: np.concatenate([np.frombuffer(x, "<i4") for x in column] or [np.zeros(0, "<i4")])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            u, v = (batch.column(i).to_numpy().astype("<i4").tobytes() for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([u]), pa.array([v])], names=["edges", "u", "v"])
-
-
-def _spans(first: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Places first[x] to first[x + 1] of each x of `of`, one after another."""
-    count = first[of + 1] - first[of]
-    return np.repeat(first[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-
-
-def _ordered(stripe: int = STRIPE, packed: int = PACKED) -> Callable[[pa.Table], pa.Table]:
+def _ordered(stripe: int = STRIPE, size_of_row: int = PACKED) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For all edges, packed: nodes in such order that edges lead back, with their layer (-1: reaches a cycle; these come last) and the places of what they lead to.
 
     Groups of consecutive numbers between which no edge leads follow each other, each of a stripe's width at least unless it is the last."""
 
-    def ordered(t: pa.Table) -> pa.Table:
-        u, v = (_ints(t.column(c).to_pylist()) for c in ("u", "v"))
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = whole(batches)
+        if not len(u):
+            return
         size = int(max(u.max(), v.max())) + 1
         over = np.bincount(np.minimum(u, v), minlength=size) - np.bincount(np.maximum(u, v), minlength=size)
         starts = np.append(True, np.cumsum(over)[:-1] == 0)
         group = (np.maximum.accumulate(np.where(starts, np.arange(size), 0)) // stripe).astype("<i4")
-        back = np.argsort(v, kind="stable")
-        into, first = u[back], np.append(0, np.cumsum(np.bincount(v, minlength=size)))
-        del back
-        leads, layer, deep = np.bincount(u, minlength=size), np.full(size, -1, "<i4"), 0
-        ready = np.flatnonzero(leads == 0)
-        while len(ready):
-            layer[ready] = deep
-            met = into[_spans(first, ready)]
-            np.subtract.at(leads, met, 1)
-            met = np.unique(met)
-            ready, deep = met[leads[met] == 0], deep + 1
-        del into
+        layer = peeled(v, u, size)
+        deep = layer.max() + 1
         n = np.lexsort((np.where(layer < 0, deep, layer), group)).astype("<i4")
         place = np.empty(size, "<i4")
         place[n] = np.arange(size)
@@ -76,11 +53,10 @@ def _ordered(stripe: int = STRIPE, packed: int = PACKED) -> Callable[[pa.Table],
         v, count = place[v[by]], np.bincount(u, minlength=size).astype("<i4")
         del u, by
         end = np.append(0, np.cumsum(count, dtype=np.int64))
-        cuts = np.unique(np.append(np.searchsorted(end, np.arange(0, len(v), packed)), size))
-        cuts = cuts if cuts[0] == 0 else np.append(0, cuts)
-        rows = [(int(a), *(x[a:b].astype("<i4").tobytes() for x in (n, layer[n], group[n], count)), v[end[a] : end[b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        names = [x.split()[0] for x in _CHUNK.split(", ")]
-        return pa.table({name: pa.array(x, pa.int64() if name == "p" else pa.binary()) for name, x in zip(names, zip(*rows, strict=True), strict=True)})
+        cuts = np.unique(np.append(np.searchsorted(end, np.arange(0, len(v), size_of_row)), [0, size]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            columns = [n[a:b], layer[n[a:b]], group[n[a:b]], count[a:b], v[end[a] : end[b]]]
+            yield pa.RecordBatch.from_arrays([pa.array([a]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=[x.split()[0] for x in _CHUNK.split(", ")])
 
     return ordered
 
@@ -90,7 +66,7 @@ class _Graph:
 
     def __init__(self, batches: list[pa.RecordBatch]):
         rows = pa.Table.from_batches(batches).sort_by("p")
-        self.n, self.layer, self.group, count, self.v = (_ints(rows.column(c).to_pylist()) for c in ("n", "layer", "grp", "count", "v"))
+        self.n, self.layer, self.group, count, self.v = (ints(rows.column(c).to_pylist()) for c in ("n", "layer", "grp", "count", "v"))
         self.first = np.append(0, np.cumsum(count, dtype=np.int64))
         cuts = np.flatnonzero(np.diff(self.group)) + 1
         self.groups = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.n)], strict=True))
@@ -183,7 +159,7 @@ def _followed(starts: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     while old is None or (again and (old != got[x:y]).any()):
                         old = got[x:y].copy()
                         of = x + np.flatnonzero(got[x:y] | own[x:y])
-                        np.bitwise_or.at(got, g.v[_spans(g.first, of)], np.repeat(got[of] | own[of], g.first[of + 1] - g.first[of]))
+                        np.bitwise_or.at(got, g.v[spans(g.first, of)], np.repeat(got[of] | own[of], g.first[of + 1] - g.first[of]))
             for j, s in enumerate(mine.tolist()):
                 n = np.sort(g.n[(got >> np.uint64(j)) & np.uint64(1) != 0]).astype(np.int64)
                 if len(n):
@@ -240,14 +216,10 @@ def striped(edges: DataFrame, concepts: DataFrame) -> Striped | Reach:
     Graphs that no task can put in order are closed by reach()."""
     ids = numbered(concepts)
     size = ids.count()
-    if size > NODES:
-        return reach(edges, concepts)
-    end = lambda a, n: (F.broadcast if size <= SENT_NODES else lambda x: x)(ids.select(F.col("id").alias(a), F.col("n").alias(n)))
-    step = edges.select("src", "dst").join(end("src", "u"), "src").join(end("dst", "v"), "dst").select("u", "v")
-    packed = durable(step.mapInArrow(_pack, "edges long, u binary, v binary"))
-    if (packed.agg(F.sum("edges")).first()[0] or 0) > EDGES:
+    rows = packed(edges, ids, size, EDGES)
+    if rows is None:
         return reach(edges, concepts)
-    chunks = durable(packed.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(_ordered(STRIPE, PACKED), _CHUNK))
+    chunks = durable(rows.mapInArrow(_ordered(STRIPE, PACKED), _CHUNK))
     tasks = min(TASKS, 2 * size // STRIPE + 1)
     some = _read(chunks, tasks).mapInArrow(_counted(tasks, STRIPE, HELD), "n long, down long, up long")
     return Striped(ids, chunks, durable(some.groupBy("n").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))), lambda: reach(edges, concepts))

@@ -2,7 +2,7 @@
 
 import random
 
-from prereqflow.operators import stripes as S
+from prereqflow.operators import packed, sequence, stripes as S
 from prereqflow.operators import reach as R
 from test_reach import EDGE, drawn, pairs, plain_closure
 
@@ -14,7 +14,7 @@ def test_stripes_count_what_the_closure_has(spark, monkeypatch):
         monkeypatch.setattr(S, "STRIPE", stripe)
         monkeypatch.setattr(S, "HELD", held)
         monkeypatch.setattr(S, "PACKED", 50)
-        monkeypatch.setattr(S, "SENT_NODES", 1000 * at)
+        monkeypatch.setattr(packed, "SENT_NODES", 1000 * at)
         monkeypatch.setattr(S, "reach", None)
         edges = {(f"n{a + int(x[1:])}", f"n{a + int(y[1:])}") for a, size, m in parts for x, y in drawn(rng, size, m)}
         concepts = spark.createDataFrame([(f"n{i}", i) for i in range(n)], "id string, seq long")
@@ -37,3 +37,20 @@ def test_stripes_count_what_the_closure_has(spark, monkeypatch):
     assert S.striped(given.limit(0), concepts).counts().agg({"downstream_count": "sum"}).first()[0] == 0 and S.striped(given, concepts.limit(0)).counts().count() == 0
     monkeypatch.setattr(S, "EDGES", 10)
     assert {r.id: r.downstream_count for r in S.striped(given, concepts).counts().collect()} == down
+
+
+def test_one_task_levels_a_graph_as_rounds_do(spark, monkeypatch):
+    """No round of blocks where a task can hold the edges; the same levels by rounds where it can't."""
+    rng = random.Random(42)
+    edges = sorted({tuple(sorted(rng.sample(range(120), 2))) for _ in range(400)})
+    concepts = spark.createDataFrame([(f"n{i}", i) for i in range(130)], "id string, seq long")
+    rows = lambda e: spark.createDataFrame([(i, f"n{a}", f"n{b}") for i, (a, b) in enumerate(e)], "seq long, source_id string, target_id string")
+    g, settled = sequence.PrereqGraph(concepts, rows([*edges, *edges[:3], (3, 999)])), []
+    monkeypatch.setattr(sequence, "BLOCK", 16)
+    monkeypatch.setattr(sequence, "_settle", lambda old=sequence._settle: settled.append(1) or old())
+    want = {}
+    for b in range(130):
+        want[b] = max([want[a] + 1 for a, x in edges if x == b], default=0)
+    for most, rounds in ((1000, False), (10, True)):
+        monkeypatch.setattr(sequence, "LEVELED", most)
+        assert {r.id: r.level for r in sequence.levels(g).collect()} == {f"n{i}": x for i, x in want.items()} and bool(settled) == rounds
